@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from mailgrain.functions.text import has, has_any, labelled, squeeze, strip
+from mailgrain.functions.text import has, has_any, labelled, let, squeeze, strip
 
 # What counts as a link, as a character class so that long links need no recursion.
 LINK = r"https?://[!$-_a-z]+"
@@ -84,17 +84,22 @@ def hour_received(received: Column, zone: str = "UTC") -> Column:
 
 def hour_header(date_header: Column) -> Column:
     """Hour as written in a mail date, whatever its offset; NULL unless the whole date is sound."""
-    part = lambda i: F.regexp_extract(date_header, _MAIL_DATE, i)
-    number = lambda i: F.nullif(part(i), F.lit("")).cast("int")
-    short_year = F.length(part(3)) == 2
-    year = number(3) + F.when(short_year & (number(3) < 69), 2000).when(short_year, 1900).otherwise(0)
-    month = F.nullif(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(part(2))), F.lit(0))
-    second = F.coalesce(number(6), F.lit(0))
-    whole = F.try_make_timestamp(year, month.cast("int"), number(1), number(4), number(5), second.cast("double"))
-    offset = F.regexp_extract(part(7), r"(\d{2})\d{2}", 1)
-    offset_ok = (offset == "") | (F.nullif(offset, F.lit("")).cast("int") < 24)
-    # A second of 60 is a valid Spark timestamp, but not a valid clock reading.
-    return F.when(whole.isNotNull() & (second < 60) & offset_ok, number(4))
+    months = F.array(*[F.lit(m) for m in MONTHS])
+
+    def hour(piece: Column) -> Column:
+        number = lambda i: F.get(piece, i).try_cast("int")
+        year, second = number(2), F.coalesce(number(5), F.lit(0))
+        century = F.when(F.length(F.get(piece, 2)) > 2, 0).when(year < 69, 2000).otherwise(1900)
+        month = F.nullif(F.array_position(months, F.lower(F.get(piece, 1))), F.lit(0)).cast("int")
+        moment = F.try_make_timestamp(
+            year + century, month, number(0), number(3), number(4), second.cast("double")
+        )
+        offset = F.coalesce(F.substring(F.get(piece, 6), 2, 2).try_cast("int"), F.lit(0))
+        # A second of 60 is a valid Spark timestamp, but not a valid clock reading.
+        return F.when(moment.isNotNull() & (second < 60) & (offset < 24), number(3))
+
+    pieces = F.split(F.regexp_replace(date_header, _MAIL_DATE, "$1|$2|$3|$4|$5|$6|$7"), r"\|")
+    return let(pieces, lambda piece: F.when(F.size(piece) == 7, hour(piece)))
 
 
 def subject_markers(subject: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # One blank as a mail client sees it: Unicode white space plus the four separator controls.
@@ -40,3 +42,8 @@ def labelled(*pairs: tuple[Column, Column | str]) -> Column:
     return F.array_compact(
         F.array(*[F.when(cond, label if isinstance(label, Column) else F.lit(label)) for cond, label in pairs])
     )
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """Use a computed value several times while it is computed once, wherever the plan puts it."""
+    return F.get(F.transform(F.array(value), then), 0)

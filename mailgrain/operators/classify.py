@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mailgrain.functions import features as X
 from mailgrain.functions.text import found, has, has_any, labelled
-from mailgrain.operators.joins import salted_join
+from mailgrain.operators.joins import copied_join, salted_join
 
 # Default weights of the two weighted classifiers, in the order they are checked.
 RATIO_WEIGHTS = {
@@ -188,7 +188,7 @@ def classify_learned(
 
     Returns ``message_id``, ``hits``, ``ratio_score``, ``ratio_bot``, ``mean_score``, ``mean_bot``.
     Hits are joined to the weights, since learned header names are unbounded; names such as
-    ``from`` sit in every message, so the join is salted. A message's weights are added in a fixed
+    ``from`` sit in every message, so each weight is copied to several partitions. A message's weights are added in a fixed
     order, and their number is bounded by its own header.
     """
     keywords = list(RATIO_WEIGHTS["keywords"]) if keywords is None else keywords
@@ -203,7 +203,7 @@ def classify_learned(
         .select("message_id", "_long", "hit.*")
     )
     table = weights.filter(F.col("category").isin(READ_CATEGORIES)).select("category", "pattern", "weight")
-    joined = salted_join(hits, table, ["category", "pattern"], F.col("message_id"), "left")
+    joined = copied_join(hits, table, ["category", "pattern"], F.col("message_id"), "left")
     known = F.when(F.col("weight").isNotNull(), F.struct("category", "pattern", "weight"))
     folded = joined.groupBy("message_id", "_long").agg(F.array_sort(F.collect_list(known)).alias("w"))
     total = F.aggregate("w", F.lit(0.0), lambda acc, x: acc + x["weight"])
@@ -224,14 +224,15 @@ def flag_importance(mail: DataFrame, whitelist: DataFrame) -> DataFrame:
     """Important by known sender, by word, or by being part of a reply chain.
 
     ``whitelist`` has one column, ``sender``. Thread sizes are counted before they are joined, and
-    both joins go through the salted form, for a sender or thread may hold much of the mailbox.
+    both joins spread hot keys, for a sender or thread may hold much of the mailbox.
     """
     threads = mail.groupBy("thread_id").agg((F.count(F.lit(1)) > 1).alias("in_chain"))
     known = whitelist.select("sender").distinct().withColumn("known_sender", F.lit(True))
     words = F.lower(F.concat_ws(" ", "subject", "body_text"))
     marked = mail.select("message_id", "thread_id", "sender", has_any(words, IMPORTANT_WORDS).alias("has_word"))
     spread = F.col("message_id")
-    joined = salted_join(salted_join(marked, known, ["sender"], spread, "left"), threads, ["thread_id"], spread, "left")
+    joined = copied_join(marked, known, ["sender"], spread, "left")
+    joined = salted_join(joined, threads, ["thread_id"], spread, "left")
     known_sender = F.coalesce("known_sender", F.lit(False))
     in_chain = F.coalesce("in_chain", F.lit(False))
     return joined.select(

@@ -42,6 +42,19 @@ def salted_join(
     return spread_rows.drop("_hot").join(copies.drop("_hot"), [*keys, "_salt"], how).drop("_salt")
 
 
+def copied_join(
+    big: DataFrame, lookup: DataFrame, keys: list[str], spread: Column, how: str = "inner", salts: int = 16
+) -> DataFrame:
+    """Equi-join with a lookup far smaller than ``big``: every lookup row is copied ``salts`` times.
+
+    No counting pass is needed, so ``big`` is computed once; any key is spread over ``salts``
+    partitions. Spark broadcasts the copies only while they stay under its size threshold.
+    """
+    salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
+    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return big.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def pick_per_key(rows: DataFrame, keys: list[str], seq: str, latest: bool) -> DataFrame:
     """Whole rows with the first or last ``seq`` of each key.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from mailgrain.operators.joins import salted_join
+from mailgrain.operators.joins import copied_join
 
 
 def apply_rules(mail: DataFrame, rules: DataFrame) -> DataFrame:
@@ -27,25 +27,22 @@ def apply_rules(mail: DataFrame, rules: DataFrame) -> DataFrame:
         .agg(first.alias("rule"))
     )
     sizes = active.filter(by_subject).agg(F.collect_set(F.length("condition_value"))).scalar()
-    text = F.lower("subject")
+    # All pieces of one size in a single linear pass: a match of nothing at each place, looking ahead.
+    ahead = lambda n: F.concat(F.lit("(?s)(?=(.{"), n.cast("string"), F.lit("}))"))
     pieces = F.flatten(
-        F.transform(
-            F.filter(sizes, lambda n: n <= F.length(text)),
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.length(text) - n + 1), lambda at: F.substring(text, at, n)
-            ),
-        )
+        F.transform("_sizes", lambda n: F.array_distinct(F.regexp_extract_all("_text", ahead(n), F.lit(1))))
     )
     entry = lambda kind, v: F.struct(F.lit(kind).alias("condition_type"), v.alias("condition_value"))
     offers = F.concat(
         F.array(*[entry(kind, F.col(kind)) for kind in ("sender", "domain", "category")]),
         F.coalesce(
-            F.transform(F.array_distinct(pieces), lambda p: entry("subject_contains", p)),
+            F.transform(pieces, lambda p: entry("subject_contains", p)),
             F.array().cast("array<struct<condition_type:string,condition_value:string>>"),
         ),
     )
-    offered = mail.select("message_id", F.explode(offers).alias("o")).select("message_id", "o.*")
-    matched = salted_join(
+    sized = mail.withColumns({"_sizes": sizes, "_text": F.lower("subject")})
+    offered = sized.select("message_id", F.explode(offers).alias("o")).select("message_id", "o.*")
+    matched = copied_join(
         offered.filter(F.col("condition_value").isNotNull()),
         active,
         ["condition_type", "condition_value"],

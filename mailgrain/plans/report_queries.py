@@ -263,7 +263,7 @@ def top_domains(spark, sf_dir):
     return R.top_domains(_analysed(spark, sf_dir))
 
 
-_INDICATORS = """SELECT seq, unnest(string_split({0}, '|')) AS item, generate_subscripts(string_split({0}, '|'), 1) AS at
+_INDICATORS = """SELECT seq, unnest(string_split({0}, '|')) AS item, generate_subscripts(string_split({0}, '|'), 1) AS place
   FROM additive WHERE {0} <> ''"""
 
 
@@ -280,11 +280,11 @@ def indicator_counts(spark, sf_dir):
     return each.unionByName(R.indicator_counts(rows, grouped=True).withColumn("form", F.lit("grouped")))
 
 
-_PLACED = """words AS (SELECT seq, u.word, u.at FROM (SELECT seq, list_filter(
+_PLACED = """words AS (SELECT seq, u.word, u.place FROM (SELECT seq, list_filter(
     regexp_split_to_array(trim(low_subject), '\\s+'), lambda w: length(w) > 3) AS ws FROM mail) m,
-  LATERAL (SELECT unnest(m.ws) AS word, generate_subscripts(m.ws, 1) AS at) u)"""
+  LATERAL (SELECT unnest(m.ws) AS word, generate_subscripts(m.ws, 1) AS place) u)"""
 _TOP_WORDS = """SELECT word, count(*) AS n FROM words GROUP BY 1
-  ORDER BY n DESC, min(seq * 10000000000 + at) LIMIT 100"""
+  ORDER BY n DESC, min(seq * 10000000000 + place) LIMIT 100"""
 
 
 @query("subject_keywords", f"WITH {O.MAIL}, {_PLACED} {_TOP_WORDS}")
@@ -315,9 +315,9 @@ def _ranked(section: str, rows: str) -> str:
       UNION ALL {_ranked('top_domains',
         "SELECT domain_report AS key, count(*) AS n, min(seq) AS first_at FROM mail GROUP BY 1")} QUALIFY rank <= 50
       UNION ALL {_ranked('bot_indicators',
-        "SELECT item AS key, count(*) AS n, min(seq * 10000000000 + at) AS first_at FROM ind GROUP BY 1")}
+        "SELECT item AS key, count(*) AS n, min(seq * 10000000000 + place) AS first_at FROM ind GROUP BY 1")}
       UNION ALL {_ranked('subject_keywords',
-        "SELECT word AS key, count(*) AS n, min(seq * 10000000000 + at) AS first_at FROM words GROUP BY 1")}
+        "SELECT word AS key, count(*) AS n, min(seq * 10000000000 + place) AS first_at FROM words GROUP BY 1")}
         QUALIFY rank <= 100
       UNION ALL SELECT 'time_patterns', NULL, CAST(hour_written AS VARCHAR), count(*)::DOUBLE FROM mail
         WHERE hour_written IS NOT NULL GROUP BY 3
