@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from mailgrain.functions.text import strip
+from mailgrain.functions.text import let, strip
 
 
 def header_map(headers: Column) -> Column:
@@ -16,9 +16,11 @@ def header_map(headers: Column) -> Column:
         F.transform(headers, lambda h: F.struct(F.lower(h["name"]).alias("k"), h["value"].alias("v"))),
         F.array().cast("array<struct<k:string,v:string>>"),
     )
-    backwards = F.reverse(pairs["k"])
-    last = F.filter(pairs, lambda p, i: F.size(pairs) - F.array_position(backwards, p["k"]) == i)
-    return F.map_from_entries(last)
+    keep_last = lambda all_, names: F.filter(
+        all_, lambda p, i: F.size(all_) - F.array_position(names, p["k"]) == i
+    )
+    kept = let(pairs, lambda all_: let(F.reverse(all_["k"]), lambda names: keep_last(all_, names)))
+    return F.map_from_entries(kept)
 
 
 def addresses(header: Column) -> Column:

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
-from mailgrain.functions.text import found, strip
+from mailgrain.functions.text import found, let, strip
 
 # The masking patterns.
 ADDRESS_IN_TEXT = r"(?U)\b([a-zA-Z0-9._%+-])([a-zA-Z0-9._%+-]*)@([a-zA-Z0-9.-]+\.[a-zA-Z]{2,})\b"
@@ -40,13 +40,16 @@ def mask_log(text: Column) -> Column:
 
 def redact_body(text: Column) -> Column:
     """Cut after the first marker in precedence order that occurs anywhere."""
-    lowered = F.lower(text)
-    result = text
-    for marker in reversed(BODY_MARKERS):
-        at = F.instr(lowered, marker)
-        kept = F.concat(F.substring(text, F.lit(1), at + F.lit(len(marker) - 1)), F.lit(" [REDACTED]"))
-        result = F.when(at > 0, kept).otherwise(result)
-    return result
+
+    def cut(lowered: Column) -> Column:
+        result = text
+        for marker in reversed(BODY_MARKERS):
+            at = F.instr(lowered, F.lit(marker))
+            kept = F.concat(F.substring(text, F.lit(1), at + F.lit(len(marker) - 1)), F.lit(" [REDACTED]"))
+            result = F.when(at > 0, kept).otherwise(result)
+        return result
+
+    return let(F.lower(text), cut)
 
 
 @dataclass(frozen=True)

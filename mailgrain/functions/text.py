@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # One blank as a mail client sees it: Unicode white space plus the four separator controls.
 BLANK = r"[\s\x1c-\x1f]"
@@ -47,3 +47,13 @@ def labelled(*pairs: tuple[Column, Column | str]) -> Column:
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
     """Use a computed value several times while it is computed once, wherever the plan puts it."""
     return F.get(F.transform(F.array(value), then), 0)
+
+
+def exploded(rows: DataFrame, items: Column, name: str, *kept: str, place: str | None = None) -> DataFrame:
+    """One row per list item, with ``kept`` columns and, if asked for, the item's place.
+
+    The outer form with the filter behind it keeps Spark from testing the list for emptiness
+    beforehand, for that test is pushed below and computes the whole list a second time.
+    """
+    out = F.posexplode_outer(items).alias(place, name) if place else F.explode_outer(items).alias(name)
+    return rows.select(*kept, out).filter(F.col(name).isNotNull())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mailgrain import schemas
 from mailgrain.functions import features as X
-from mailgrain.functions.text import has, labelled
+from mailgrain.functions.text import exploded, has, labelled
 from mailgrain.operators.classify import BODY_PATTERNS, RATIO_WEIGHTS, found, with_lowered
 
 # Weight per unit of frequency, for each category of patterns.
@@ -75,7 +75,7 @@ def pattern_counts(mail: DataFrame, zone: str = "UTC") -> DataFrame:
         _one("spacing_patterns", X.spacing_bucket(body)),
         _tagged("signature_patterns", labelled((X.signature_marker(body), "has_signature"))),
     )
-    return _count(with_lowered(mail).select(F.explode(tags).alias("t")).select("t.*"))
+    return _count(exploded(with_lowered(mail), tags, "t").select("t.*"))
 
 
 def pattern_counts_flat(mail: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def pattern_counts_flat(mail: DataFrame) -> DataFrame:
             "content_patterns", labelled((has(F.lower("body_text"), "unsubscribe"), "unsubscribe"))
         ),
     )
-    return _count(mail.select(F.explode(tags).alias("t")).select("t.*"))
+    return _count(exploded(mail, tags, "t").select("t.*"))
 
 
 def learn_weights(

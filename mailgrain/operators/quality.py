@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mailgrain.functions import privacy as P
-from mailgrain.functions.text import labelled
+from mailgrain.functions.text import exploded, labelled
 
 
 def checks() -> list[P.Check]:
@@ -47,7 +47,7 @@ def rejected_rows(marked: DataFrame) -> DataFrame:
 def dq_summary(marked: DataFrame) -> DataFrame:
     """Rejected rows per rule, rules without any left out."""
     return (
-        marked.select(F.explode("violations").alias("rule"))
+        exploded(marked, F.col("violations"), "rule")
         .groupBy("rule")
         .agg(F.count(F.lit(1)).alias("rejected"))
     )

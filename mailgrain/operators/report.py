@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from mailgrain.functions import features as X
+from mailgrain.functions.text import exploded
 from mailgrain.operators.classify import classify_additive
 
 # List lengths printed and saved, and the bounds of the advice tiers.
@@ -112,7 +113,7 @@ def top_domains(rows: DataFrame, size: int = SAVED["domains"]) -> DataFrame:
 
 
 def _listed(rows: DataFrame, items: Column, name: str) -> DataFrame:
-    seen = rows.select("seq", F.posexplode(items).alias("place", name))
+    seen = exploded(rows, items, name, "seq", place="place")
     return seen.select(name, _position(F.col("seq"), F.col("place")).alias("at"))
 
 
@@ -156,7 +157,7 @@ def report_counts(rows: DataFrame) -> DataFrame:
     )
     chars = F.sum(F.when(F.col("section") == "kind", F.col("body_length").cast("bigint")))
     return (
-        rows.select("body_length", F.explode(items).alias("e"))
+        exploded(rows, items, "e", "body_length")
         .select("body_length", "e.*")
         .groupBy("section", "key")
         .agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_at"), chars.alias("chars"))

@@ -2,19 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
 
+from pyspark.sql import Column, DataFrame, functions as F
+
+from mailgrain.functions.text import exploded
 from mailgrain.operators.joins import copied_join
 
 
-def apply_rules(mail: DataFrame, rules: DataFrame) -> DataFrame:
+def _contained(texts: DataFrame, few: int) -> tuple[Column, Callable[[Column], Column]]:
+    """What to know of the rules' subject texts, and how to list those a subject contains.
+
+    Up to ``few`` texts, counted first, are simply tested one by one. Beyond, a subject is cut into
+    all its pieces that are as long as some text: each text it contains is one of them, and the
+    join tells which. Pieces of one length come from one linear pass, a match of nothing at each
+    place that looks ahead.
+    """
+    if texts.limit(few + 1).count() <= few:
+        known = texts.agg(F.collect_set("condition_value")).scalar()
+        return known, lambda subject: F.filter("_known", lambda t: F.contains(subject, t))
+    known = texts.agg(F.collect_set(F.length("condition_value"))).scalar()
+    ahead = lambda n: F.concat(F.lit("(?s)(?=(.{"), n.cast("string"), F.lit("}))"))
+    pieces = lambda subject, n: F.array_distinct(
+        F.regexp_extract_all(subject, ahead(n), F.lit(1))
+    )
+    return known, lambda subject: F.flatten(F.transform("_known", lambda n: pieces(subject, n)))
+
+
+def apply_rules(mail: DataFrame, rules: DataFrame, few: int = 1000) -> DataFrame:
     """The first matching rule per message and action type; lower priority numbers go first.
 
-    A message offers its sender, domain and category, and for subject rules every distinct piece of
-    its subject that is as long as some rule's text: a text contained in the subject is one of
-    these pieces, so containment becomes equality and no message is paired with a rule it does not
-    match. Subject rules ignore case. Rules with the same condition and action type are reduced to
-    the first before the join. A rule that could never be first is thereby dropped, never a match.
+    A message offers its sender, domain, category and subject texts, so every condition becomes an
+    equality and no message is paired with a rule it does not match. Subject rules ignore case.
+    Rules with the same condition and action type are reduced to the first before the join: the
+    others could never be first.
 
     ``mail``: message_id, sender, domain, category, subject.
     """
@@ -26,22 +47,17 @@ def apply_rules(mail: DataFrame, rules: DataFrame) -> DataFrame:
         .groupBy("condition_type", value.alias("condition_value"), "action_type")
         .agg(first.alias("rule"))
     )
-    sizes = active.filter(by_subject).agg(F.collect_set(F.length("condition_value"))).scalar()
-    # All pieces of one size in a single linear pass: a match of nothing at each place, looking ahead.
-    ahead = lambda n: F.concat(F.lit("(?s)(?=(.{"), n.cast("string"), F.lit("}))"))
-    pieces = F.flatten(
-        F.transform("_sizes", lambda n: F.array_distinct(F.regexp_extract_all("_text", ahead(n), F.lit(1))))
-    )
+    known, contained = _contained(active.filter(by_subject).select("condition_value").distinct(), few)
     entry = lambda kind, v: F.struct(F.lit(kind).alias("condition_type"), v.alias("condition_value"))
     offers = F.concat(
         F.array(*[entry(kind, F.col(kind)) for kind in ("sender", "domain", "category")]),
         F.coalesce(
-            F.transform(pieces, lambda p: entry("subject_contains", p)),
+            F.transform(contained(F.col("_text")), lambda p: entry("subject_contains", p)),
             F.array().cast("array<struct<condition_type:string,condition_value:string>>"),
         ),
     )
-    sized = mail.withColumns({"_sizes": sizes, "_text": F.lower("subject")})
-    offered = sized.select("message_id", F.explode(offers).alias("o")).select("message_id", "o.*")
+    told = mail.withColumns({"_known": known, "_text": F.lower("subject")})
+    offered = exploded(told, offers, "o", "message_id").select("message_id", "o.*")
     matched = copied_join(
         offered.filter(F.col("condition_value").isNotNull()),
         active,

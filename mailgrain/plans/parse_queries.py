@@ -35,7 +35,7 @@ def _gmail(spark, sf_dir, lenient=False):
       FROM parsed ORDER BY date_received DESC, message_id LIMIT 50""",
 )
 def scan_mail_export(spark, sf_dir):
-    newest = C.classify_ratio(E.recent(_gmail(spark, sf_dir)))
+    newest = C.classify_ratio(E.recent_gmail(V.gmail_export(spark, sf_dir), "main"))
     return newest.select(
         "message_id", "thread_id", "sender", joined("recipients").alias("recipients"), "subject", "body_text",
         iso("date_received").alias("received"), "is_bot",

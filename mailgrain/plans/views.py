@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mailgrain.functions import mime
+from mailgrain.sources import tables
 
 _KEY = "lpad(lower(hex({0})), 16, '0')"
 
@@ -168,8 +169,13 @@ FROM documents
 LIST_UNSUBSCRIBE = "<mailto:out@lists.example.com>, <https://lists.example.com/out?x=1>"
 
 
+# Tables of long texts and their keys.
+TEXTS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return tables.read_spread(spark, path, TEXTS[name]) if name in TEXTS else tables.read(spark, path)
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
@@ -202,13 +208,27 @@ def _header_pairs() -> Column:
     )
 
 
+def _headers() -> Column:
+    """The same pairs as the map a parsed message holds."""
+    common = {"from": "sender", "to": "to_header", "subject": "subject", "date": "date_header"}
+    pairs = [x for name, column in common.items() for x in (F.lit(name), F.col(column))]
+    pairs += [F.lit("received"), F.lit("last")]
+    extra = lambda *more: F.create_map(*pairs, *[F.lit(x) if isinstance(x, str) else x for x in more])
+    kind = F.col("header_kind")
+    return (
+        F.when(kind == "bulk", extra("list-unsubscribe", LIST_UNSUBSCRIBE, "precedence", "Bulk"))
+        .when(kind == "campaign", extra("x-campaign-id", "c1", "auto-submitted", "auto-generated"))
+        .otherwise(extra("cc", F.col("cc_header")))
+    )
+
+
 def mail_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, MAIL_SQL, "documents")
 
 
 def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as parsed mail: a projection of one scan, no join."""
-    base = mail_base(spark, sf_dir).withColumn("headers", mime.header_map(_header_pairs()))
+    base = mail_base(spark, sf_dir).withColumn("headers", _headers())
     starred = F.when(F.col("seq") % 5 == 0, F.array(F.lit("STARRED"))).otherwise(F.array().cast("array<string>"))
     return base.select(
         F.lit("gmail").alias("provider"),

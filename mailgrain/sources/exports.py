@@ -82,6 +82,12 @@ def union_accounts(first: DataFrame, *others: DataFrame) -> DataFrame:
     )
 
 
+def recent_gmail(raw: DataFrame, account: str, size: int = RECENT) -> DataFrame:
+    """The newest messages of a nested export: chosen before any body is decoded."""
+    newest = raw.orderBy(F.col("internalDate").cast("bigint").desc(), F.col("id")).limit(size)
+    return parse_gmail(newest, account)
+
+
 def recent(mail: DataFrame, size: int = RECENT) -> DataFrame:
     """Newest messages first; the sort stops at ``size`` rows per task."""
     return mail.orderBy(F.col("date_received").desc(), F.col("message_id")).limit(size)
