@@ -68,8 +68,8 @@ def link_count(body: Column) -> Column:
     return F.regexp_count(body, F.lit(LINK))
 
 
-def link_bucket(body: Column) -> Column:
-    links = link_count(body)
+def link_bucket(links: Column) -> Column:
+    """Bucket of a link count."""
     return F.when(links == 0, "none").when(links < 3, "few").otherwise("many")
 
 
@@ -102,25 +102,37 @@ def hour_header(date_header: Column) -> Column:
     return let(pieces, lambda piece: F.when(F.size(piece) == 7, hour(piece)))
 
 
+def subject_tests(lowered: Column) -> list[tuple[Column, str]]:
+    """Tests of a lower-cased subject and the names of what they find."""
+    return [
+        (has(lowered, "re:"), "re:"),
+        (has(lowered, "fw:"), "fw:"),
+        (has_any(lowered, MARKETING_WORDS), "marketing"),
+    ]
+
+
+def content_tests(lowered: Column) -> list[tuple[Column, str]]:
+    """Tests of a lower-cased body."""
+    return [(has(lowered, phrase), name) for phrase, name in CONTENT_PHRASES]
+
+
+def reply_tests(body: Column) -> list[tuple[Column, str]]:
+    return [
+        (has(body, ">"), "quoted"),
+        (has(body, "On ") & has(body, "wrote:"), "email_client"),
+    ]
+
+
 def subject_markers(subject: Column) -> Column:
-    text = F.lower(subject)
-    return labelled(
-        (has(text, "re:"), "re:"),
-        (has(text, "fw:"), "fw:"),
-        (has_any(text, MARKETING_WORDS), "marketing"),
-    )
+    return labelled(*subject_tests(F.lower(subject)))
 
 
 def content_markers(body: Column) -> Column:
-    text = F.lower(body)
-    return labelled(*[(has(text, phrase), name) for phrase, name in CONTENT_PHRASES])
+    return labelled(*content_tests(F.lower(body)))
 
 
 def reply_markers(body: Column) -> Column:
-    return labelled(
-        (has(body, ">"), "quoted"),
-        (has(body, "On ") & has(body, "wrote:"), "email_client"),
-    )
+    return labelled(*reply_tests(body))
 
 
 def signature_marker(body: Column) -> Column:

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
-from mailgrain.functions.text import found, let, strip
+from mailgrain.functions.text import found, has, has_any, let, strip
 
 # The masking patterns.
 ADDRESS_IN_TEXT = r"(?U)\b([a-zA-Z0-9._%+-])([a-zA-Z0-9._%+-]*)@([a-zA-Z0-9.-]+\.[a-zA-Z]{2,})\b"
@@ -24,7 +24,8 @@ CATEGORIES = ["personal", "work", "newsletter", "marketing", "transactional", "s
 
 
 def mask_addresses(text: Column) -> Column:
-    return F.regexp_replace(text, ADDRESS_IN_TEXT, "$1***@$3")
+    masked = F.regexp_replace(text, ADDRESS_IN_TEXT, "$1***@$3")
+    return F.when(has(text, "@"), masked).otherwise(text)
 
 
 def mask_data(text: Column, addresses: bool = True) -> Column:
@@ -35,7 +36,8 @@ def mask_data(text: Column, addresses: bool = True) -> Column:
 def mask_log(text: Column) -> Column:
     """Log form: addresses, then tokens with base64 signs, then named secrets."""
     text = F.regexp_replace(mask_addresses(text), TOKEN_IN_LOG, "[TOKEN]")
-    return F.regexp_replace(text, SECRET_IN_LOG, "$1=***")
+    masked = lambda t: F.regexp_replace(t, SECRET_IN_LOG, "$1=***")
+    return let(text, lambda t: F.when(has_any(t, [":", "="]), masked(t)).otherwise(t))
 
 
 def redact_body(text: Column) -> Column:

@@ -52,16 +52,17 @@ def due_reminders(events: DataFrame, reminders: DataFrame, as_of: Column) -> Dat
 
 def reminder_schedule(events: DataFrame, as_of: Column, hours: list[int] | None = None) -> DataFrame:
     """One reminder per interval before the due date, and the next one from ``as_of`` on."""
-    times = F.transform(
-        F.array(*[F.lit(h) for h in (hours or REMINDER_HOURS)]),
-        lambda h: F.struct(h.alias("hours"), (F.col("due_date") - F.make_dt_interval(hours=h)).alias("at")),
-    )
-    ahead = F.filter(F.col("_times"), lambda t: t["at"] >= as_of)
+    times = [(h, F.col("due_date") - F.make_dt_interval(hours=F.lit(h))) for h in hours or REMINDER_HOURS]
+    ahead = [F.when(at >= as_of, at) for _, at in times]
+    plan = F.explode(F.array(*[F.struct(F.lit(h).alias("hours"), at.alias("at")) for h, at in times]))
     return (
         events.filter(F.col("due_date").isNotNull())
-        .withColumn("_times", times)
-        .withColumn("next_reminder_at", F.array_min(F.transform(ahead, lambda t: t["at"])))
-        .select(F.col("id").alias("event_id"), "due_date", "next_reminder_at", F.explode("_times").alias("t"))
+        .select(
+            F.col("id").alias("event_id"),
+            "due_date",
+            (F.least(*ahead) if len(ahead) > 1 else ahead[0]).alias("next_reminder_at"),
+            plan.alias("t"),
+        )
         .select(
             "event_id",
             "due_date",

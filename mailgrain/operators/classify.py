@@ -168,14 +168,12 @@ def confidence_band(score: Column, low: float = LOW, high: float = HIGH) -> Colu
 
 
 def message_hits(keywords: list[str], patterns: list[str]) -> Column:
-    """The header names, keywords and patterns one message shows; needs ``with_lowered``."""
-    entry = lambda c, p: F.struct(F.lit(c).alias("category"), p.alias("pattern"))
-    names = F.transform(F.array_distinct("_names"), lambda n: entry("headers", n))
-    words = labelled(*[(has(F.col("_low"), k), entry("keywords", F.lit(k))) for k in keywords])
-    regexes = labelled(
-        *[(found(F.col("body_text"), BODY_PATTERNS[p]), entry("patterns", F.lit(p))) for p in patterns]
-    )
-    return F.concat(names, words, regexes)
+    """``category:pattern`` of the header names, keywords and patterns one message shows, with
+    NULLs between; needs ``with_lowered``."""
+    names = F.transform(F.array_distinct("_names"), lambda n: F.concat(F.lit("headers:"), n))
+    words = [F.when(has(F.col("_low"), k), F.lit(f"keywords:{k}")) for k in keywords]
+    regexes = [F.when(found(F.col("body_text"), BODY_PATTERNS[p]), F.lit(f"patterns:{p}")) for p in patterns]
+    return F.concat(names, F.array(*words, *regexes))
 
 
 def classify_learned(
@@ -193,18 +191,16 @@ def classify_learned(
     """
     keywords = list(RATIO_WEIGHTS["keywords"]) if keywords is None else keywords
     patterns = list(RATIO_WEIGHTS["patterns"]) if patterns is None else patterns
-    hits = (
-        with_lowered(mail)
-        .select(
-            "message_id",
-            (F.length("body_text") > 1000).alias("_long"),
-            F.explode_outer(message_hits(keywords, patterns)).alias("hit"),
-        )
-        .select("message_id", "_long", "hit.*")
+    hits = with_lowered(mail).select(
+        "message_id",
+        (F.length("body_text") > 1000).alias("_long"),
+        F.explode_outer(message_hits(keywords, patterns)).alias("tag"),
+    )
+    table = weights.filter(F.col("category").isin(READ_CATEGORIES)).select(
+        F.concat_ws(":", "category", "pattern").alias("tag"), "weight"
     )
-    table = weights.filter(F.col("category").isin(READ_CATEGORIES)).select("category", "pattern", "weight")
-    joined = copied_join(hits, table, ["category", "pattern"], F.col("message_id"), "left")
-    known = F.when(F.col("weight").isNotNull(), F.struct("category", "pattern", "weight"))
+    joined = copied_join(hits, table, ["tag"], F.col("message_id"), "left")
+    known = F.when(F.col("weight").isNotNull(), F.struct("tag", "weight"))
     folded = joined.groupBy("message_id", "_long").agg(F.array_sort(F.collect_list(known)).alias("w"))
     total = F.aggregate("w", F.lit(0.0), lambda acc, x: acc + x["weight"])
     bonus = F.when(F.col("_long"), 0.1).otherwise(0.0)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mailgrain import schemas
 from mailgrain.functions import features as X
-from mailgrain.functions.text import exploded, has, labelled
+from mailgrain.functions.text import exploded, has
 from mailgrain.operators.classify import BODY_PATTERNS, RATIO_WEIGHTS, found, with_lowered
 
 # Weight per unit of frequency, for each category of patterns.
@@ -43,50 +43,55 @@ def in_window(mail: DataFrame, as_of: Column, months_back: int = 24) -> DataFram
     return mail.filter((F.col("date_received") >= start) & (F.col("date_received") <= as_of))
 
 
-def _tagged(category: str, patterns: Column) -> Column:
-    return F.transform(patterns, lambda p: F.struct(F.lit(category).alias("category"), p.alias("pattern")))
+def _tag(category: str, pattern: Column | str) -> Column:
+    """A category and pattern as one text, the key that is shuffled."""
+    return F.lit(f"{category}:{pattern}") if isinstance(pattern, str) else F.concat(F.lit(f"{category}:"), pattern)
 
 
-def _one(category: str, pattern: Column) -> Column:
-    return _tagged(category, F.array_compact(F.array(pattern)))
+def _tags(category: str, tests: list[tuple[Column, str]]) -> list[Column]:
+    return [F.when(hit, _tag(category, name)) for hit, name in tests]
 
 
-def _count(patterns: DataFrame) -> DataFrame:
-    return patterns.groupBy("category", "pattern").agg(F.count(F.lit(1)).alias("n"))
+def _count(rows: DataFrame, tags: Column) -> DataFrame:
+    counts = exploded(rows, tags, "tag").groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(
+        F.substring_index("tag", ":", 1).alias("category"),
+        F.expr("substring(tag, instr(tag, ':') + 1)").alias("pattern"),
+        "n",
+    )
 
 
 def pattern_counts(mail: DataFrame, zone: str = "UTC") -> DataFrame:
     """How many messages show each pattern, over fourteen categories."""
-    body, low = F.col("body_text"), F.col("_low")
-    keywords, regexes = RATIO_WEIGHTS["keywords"], RATIO_WEIGHTS["patterns"]
-    tags = F.concat(
-        _tagged("headers", F.array_distinct("_names")),
-        _tagged("keywords", labelled(*[(has(low, k), k) for k in keywords])),
-        _tagged("patterns", labelled(*[(found(body, BODY_PATTERNS[p]), p) for p in regexes])),
-        _one("sender_patterns", X.sender_name(F.col("sender"))),
-        _tagged("subject_patterns", X.subject_markers(F.col("subject"))),
-        _one("time_patterns", X.hour_received(F.col("date_received"), zone).cast("string")),
-        _one("length_patterns", X.length_bucket(body)),
-        _one("link_patterns", X.link_bucket(body)),
-        _one("domain_patterns", X.sender_domain_learn(F.col("sender"))),
-        _tagged("content_patterns", labelled(*[(has(low, p), name) for p, name in X.CONTENT_PHRASES])),
-        _tagged("reply_patterns", X.reply_markers(body)),
-        _tagged("attachment_patterns", labelled((F.col("has_attachment"), "has_attachment"))),
-        _one("spacing_patterns", X.spacing_bucket(body)),
-        _tagged("signature_patterns", labelled((X.signature_marker(body), "has_signature"))),
-    )
-    return _count(exploded(with_lowered(mail), tags, "t").select("t.*"))
+    body, low, links = F.col("body_text"), F.col("_low"), F.col("_links")
+    searched = [(found(body, BODY_PATTERNS[p]), p) for p in RATIO_WEIGHTS["patterns"] if p != "link"]
+    tags = [
+        *_tags("keywords", [(has(low, k), k) for k in RATIO_WEIGHTS["keywords"]]),
+        *_tags("patterns", [(links > 0, "link"), *searched]),
+        _tag("sender_patterns", X.sender_name(F.col("sender"))),
+        *_tags("subject_patterns", X.subject_tests(F.col("_subject"))),
+        _tag("time_patterns", X.hour_received(F.col("date_received"), zone).cast("string")),
+        _tag("length_patterns", X.length_bucket(body)),
+        _tag("link_patterns", X.link_bucket(links)),
+        _tag("domain_patterns", X.sender_domain_learn(F.col("sender"))),
+        *_tags("content_patterns", X.content_tests(low)),
+        *_tags("reply_patterns", X.reply_tests(body)),
+        *_tags("attachment_patterns", [(F.col("has_attachment"), "has_attachment")]),
+        _tag("spacing_patterns", X.spacing_bucket(body)),
+        *_tags("signature_patterns", [(X.signature_marker(body), "has_signature")]),
+    ]
+    headers = F.transform(F.array_distinct("_names"), lambda n: _tag("headers", n))
+    rows = with_lowered(mail).withColumns({"_links": X.link_count(body), "_subject": F.lower("subject")})
+    return _count(rows, F.concat(headers, F.array(*tags)))
 
 
 def pattern_counts_flat(mail: DataFrame) -> DataFrame:
     """The flat provider's counts: sender domains and one phrase."""
-    tags = F.concat(
-        _one("domain_patterns", X.sender_domain_learn(F.col("sender"))),
-        _tagged(
-            "content_patterns", labelled((has(F.lower("body_text"), "unsubscribe"), "unsubscribe"))
-        ),
-    )
-    return _count(exploded(mail, tags, "t").select("t.*"))
+    tags = [
+        _tag("domain_patterns", X.sender_domain_learn(F.col("sender"))),
+        *_tags("content_patterns", [(has(F.lower("body_text"), "unsubscribe"), "unsubscribe")]),
+    ]
+    return _count(mail, F.array(*tags))
 
 
 def learn_weights(

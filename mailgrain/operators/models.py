@@ -8,7 +8,7 @@ from mailgrain.functions import features as X
 from mailgrain.operators.classify import classify_additive
 
 
-def feature_map(mail: DataFrame) -> Column:
+def feature_map() -> Column:
     """Numeric features of a message by name; needs the additive classifier's columns."""
     body, subject = F.col("body_text"), F.lower("subject")
     values = {
@@ -33,7 +33,12 @@ def build_training_set(mail: DataFrame, feedback: DataFrame) -> DataFrame:
     ``feedback``: message_id, priority, category, unique per message.
     """
     scored = classify_additive(mail)
-    features = scored.select("message_id", feature_map(scored).alias("features"), F.col("score").alias("confidence"))
+    features = scored.select(
+        "message_id",
+        feature_map().alias("features"),
+        F.col("score").alias("confidence"),
+        F.col("date_received").alias("created_at"),
+    )
     return features.join(feedback, "message_id", "left").select(
         "message_id",
         "features",
@@ -41,6 +46,7 @@ def build_training_set(mail: DataFrame, feedback: DataFrame) -> DataFrame:
         F.col("category").alias("label_category"),
         "confidence",
         F.col("priority").isNotNull().alias("is_validated"),
+        "created_at",
     )
 
 

@@ -77,12 +77,14 @@ def sender_behaviour(mail: DataFrame, actions: DataFrame) -> DataFrame:
     return grouped.withColumn("sender_domain", domain).withColumnRenamed("sender", "sender_email")
 
 
-def notify_feed(mail: DataFrame, minutes: int = COOLDOWN_MINUTES) -> DataFrame:
+def notify_feed(mail: DataFrame, flags: DataFrame, minutes: int = COOLDOWN_MINUTES) -> DataFrame:
     """Important mail as one line each, the first per account and ``minutes``-long window.
 
     Windows are fixed, so two lines may be closer than ``minutes`` across a window's edge; in
-    return no account's mail is ever walked through in order by one task.
-    ``mail``: account, message_id, sender, subject, body_text, date_received, seq, is_important.
+    return no account's mail is ever walked through in order by one task. Lines are cut to size
+    before the join, so no body is shuffled.
+    ``mail``: account, message_id, sender, subject, body_text, date_received, seq.
+    ``flags``: message_id, is_important, unique per message.
     """
     line = F.concat_ws(
         " | ",
@@ -92,8 +94,8 @@ def notify_feed(mail: DataFrame, minutes: int = COOLDOWN_MINUTES) -> DataFrame:
     )
     first = F.min(F.struct("date_received", "seq", "message_id", "line"))
     return (
-        mail.filter("is_important")
-        .select("account", "date_received", "seq", "message_id", line.alias("line"))
+        mail.select("account", "date_received", "seq", "message_id", line.alias("line"))
+        .join(flags.filter("is_important").select("message_id"), "message_id", "left_semi")
         .groupBy("account", F.window("date_received", f"{minutes} minutes").alias("w"))
         .agg(first.alias("f"))
         .select("account", "f.message_id", F.col("f.date_received").alias("sent_at"), "f.line")

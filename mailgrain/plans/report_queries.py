@@ -185,7 +185,9 @@ scored AS (SELECT m.message_id, coalesce(hits, 0) AS hits,
       FROM scored""",
 )
 def apply_learned(spark, sf_dir):
-    weights = L.overlay(L.default_weights(spark), _learned(spark, sf_dir))
+    path = shared_dir(spark, "weights")
+    L.save_weights(_learned(spark, sf_dir), path, "gmail", "main", 1)
+    weights = L.load_weights(L.default_weights(spark), L.read_weights(spark, path), "gmail", "main")
     return C.classify_learned(V.mail(spark, sf_dir), weights)
 
 

@@ -357,7 +357,7 @@ def sender_behaviour(spark, sf_dir):
 )
 def notify_feed(spark, sf_dir):
     mail, flags = important(spark, sf_dir)
-    feed = S.notify_feed(mail.join(flags.select("message_id", "is_important"), "message_id"))
+    feed = S.notify_feed(mail, flags)
     return feed.select("account", "message_id", iso("sent_at").alias("sent"), "line")
 
 
@@ -394,10 +394,8 @@ _FEATURE_NAMES = [
 
 
 def _samples(spark, sf_dir):
-    mail = V.mail(spark, sf_dir)
     told = V.feedback(spark, sf_dir).select("message_id", "priority", "category")
-    built = M.build_training_set(mail, told)
-    return built.join(mail.select("message_id", F.col("date_received").alias("created_at")), "message_id")
+    return M.build_training_set(V.mail(spark, sf_dir), told)
 
 
 def _spread_features(samples, *others):
@@ -412,9 +410,7 @@ def _spread_features(samples, *others):
       FROM samples""",
 )
 def build_training_set(spark, sf_dir):
-    mail = V.mail(spark, sf_dir)
-    told = V.feedback(spark, sf_dir).select("message_id", "priority", "category")
-    return _spread_features(M.build_training_set(mail, told), "label_priority", "label_category", "is_validated")
+    return _spread_features(_samples(spark, sf_dir), "label_priority", "label_category", "is_validated")
 
 
 @query(
