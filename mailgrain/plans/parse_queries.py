@@ -71,14 +71,14 @@ def scan_flat_export(spark, sf_dir):
     f"""WITH {_PARSED}, {O.FLAT}
       SELECT 'gmail' AS provider, 'main' AS account, message_id, thread_id, sender, strict AS body_text,
         {_ATTACHED} AS has_attachment, strftime(date_received, {O.ISO}) AS received FROM parsed
-      UNION ALL SELECT 'protonmail', 'flat', message_id, NULL, sender, body_text, NULL,
+      UNION ALL SELECT 'protonmail', 'flat', message_id, NULL, sender, body_text, FALSE,
         strftime(date_received, {O.ISO}) FROM flat""",
 )
 def union_accounts(spark, sf_dir):
     both = E.union_accounts(_gmail(spark, sf_dir), E.parse_flat(V.flat_export(spark, sf_dir), "flat"))
     return both.select(
-        "provider", "account", "message_id", "thread_id", "sender", "body_text", "has_attachment",
-        iso("date_received").alias("received"),
+        "provider", "account", "message_id", "thread_id", "sender", "body_text",
+        F.coalesce("has_attachment", F.lit(False)).alias("has_attachment"), iso("date_received").alias("received"),
     )
 
 

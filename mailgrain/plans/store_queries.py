@@ -329,7 +329,7 @@ def sender_stats(spark, sf_dir):
         {", ".join(f"count(*) FILTER (action_type = '{k}') AS n_{k}" for k in ("read", "reply", "archive", "delete"))}
         FROM ({V.ACTIONS_SQL}) a GROUP BY 1)
       SELECT sender AS sender_email, split_part(sender, '@', 2) AS sender_domain, count(*) AS total_emails,
-        {", ".join(f"coalesce(sum(n_{k}), 0) AS {k}_count" for k in ("read", "reply", "archive", "delete"))},
+        {", ".join(f"coalesce(sum(n_{k}), 0)::BIGINT AS {k}_count" for k in ("read", "reply", "archive", "delete"))},
         sum(CASE priority WHEN 'important' THEN 4 WHEN 'low' THEN 2 WHEN 'archive' THEN 1 END)::DOUBLE
           / count(priority)::DOUBLE AS avg_user_priority,
         count(*) FILTER (is_bot) * 2 > count(*) AS is_automated,
