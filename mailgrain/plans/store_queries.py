@@ -459,18 +459,19 @@ def model_metrics(spark, sf_dir):
 
 @query(
     "feature_importance_top",
-    f"""WITH {O.LEARNED} SELECT 'learned' AS version, concat(category, ':', pattern) AS feature_name,
+    f"""WITH {O.LEARNED} SELECT 2 AS version, concat(category, ':', pattern) AS feature_name,
       weight AS importance_score FROM learned ORDER BY importance_score DESC, feature_name LIMIT 20""",
 )
 def feature_importance_top(spark, sf_dir):
     mail = L.in_window(V.mail(spark, sf_dir), F.lit("2025-12-31").cast("timestamp"))
-    learned = L.learn_weights(L.pattern_counts(mail), mail).withColumn("version", F.lit("learned"))
-    known = L.default_weights(spark).withColumn("version", F.lit("default"))
-    scores = learned.unionByName(known).select(
+    path = shared_dir(spark, "scores")
+    L.save_weights(L.default_weights(spark), path, "gmail", "main", 1)
+    L.save_weights(L.learn_weights(L.pattern_counts(mail), mail), path, "gmail", "main", 2)
+    scores = L.read_weights(spark, path).select(
         "version", F.concat_ws(":", "category", "pattern").alias("feature_name"),
         F.col("weight").alias("importance_score"),
     )
-    versions = spark.createDataFrame([("default", False), ("learned", True)], "version string, is_active boolean")
+    versions = spark.createDataFrame([(1, False), (2, True)], "version long, is_active boolean")
     return M.feature_importance_top(scores, versions)
 
 

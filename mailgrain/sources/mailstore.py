@@ -55,3 +55,9 @@ def write_mail(mail: DataFrame, path: str, mode: str = "append", unit: str = "da
 
 def read_mail(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).option("basePath", path).parquet(path)
+
+
+def folders_since(stored: DataFrame, as_of: Column, days: int, unit: str = "day") -> DataFrame:
+    """Only the folders that can hold mail of the last ``days`` days; exact tests come after."""
+    start = F.date_trunc(unit, as_of - F.make_dt_interval(days=F.lit(days)))
+    return stored.filter((F.col("received_on") >= F.to_date(start)) & (F.col("received_on") <= F.to_date(as_of)))
