@@ -210,15 +210,17 @@ def _header_pairs() -> Column:
 
 def _headers() -> Column:
     """The same pairs as the map a parsed message holds."""
-    common = {"from": "sender", "to": "to_header", "subject": "subject", "date": "date_header"}
-    pairs = [x for name, column in common.items() for x in (F.lit(name), F.col(column))]
-    pairs += [F.lit("received"), F.lit("last")]
-    extra = lambda *more: F.create_map(*pairs, *[F.lit(x) if isinstance(x, str) else x for x in more])
+    names = {"from": "sender", "to": "to_header", "subject": "subject", "date": "date_header"}
+    common = F.create_map(
+        *[x for name, column in names.items() for x in (F.lit(name), F.col(column))], F.lit("received"), F.lit("last")
+    )
+    extra = lambda *pairs: F.create_map(*[F.lit(x) for x in pairs])
     kind = F.col("header_kind")
-    return (
+    return F.map_concat(
+        common,
         F.when(kind == "bulk", extra("list-unsubscribe", LIST_UNSUBSCRIBE, "precedence", "Bulk"))
         .when(kind == "campaign", extra("x-campaign-id", "c1", "auto-submitted", "auto-generated"))
-        .otherwise(extra("cc", F.col("cc_header")))
+        .otherwise(F.create_map(F.lit("cc"), F.col("cc_header"))),
     )
 
 
