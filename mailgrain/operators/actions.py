@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from mailgrain.operators.joins import copied_join
+
 # The label a trashed or archived message carries here.
 TRASH, ARCHIVED = "TRASH", "ARCHIVED"
 
@@ -28,12 +30,14 @@ def label_ops(actions: DataFrame, known_labels: DataFrame) -> DataFrame:
         "message_id", label.alias("label"), (~kind.isin("read", "unstar")).alias("added"), "ts", "seq"
     )
     # One row per message and target before the lookup: only the last move to a label matters.
-    moves = (
+    # All moves share a few labels, so the lookup is copied and no label's moves meet in one task.
+    targets = (
         actions.filter(kind == "move")
         .groupBy("message_id", target.alias("_key"))
         .agg(F.max(F.struct("ts", "seq")).alias("at"))
-        .join(names, "_key")
-        .select("message_id", F.col("_known").alias("label"), F.lit(True).alias("added"), "at.ts", "at.seq")
+    )
+    moves = copied_join(targets, names, ["_key"], F.col("message_id")).select(
+        "message_id", F.col("_known").alias("label"), F.lit(True).alias("added"), "at.ts", "at.seq"
     )
     return fixed.filter(F.col("label").isNotNull()).unionByName(moves)
 

@@ -168,12 +168,12 @@ def confidence_band(score: Column, low: float = LOW, high: float = HIGH) -> Colu
 
 
 def message_hits(keywords: list[str], patterns: list[str]) -> Column:
-    """``category:pattern`` of the header names, keywords and patterns one message shows, with
-    NULLs between; needs ``with_lowered``."""
+    """``category:pattern`` of the header names, keywords and patterns one message shows; needs
+    ``with_lowered``."""
     names = F.transform(F.array_distinct("_names"), lambda n: F.concat(F.lit("headers:"), n))
     words = [F.when(has(F.col("_low"), k), F.lit(f"keywords:{k}")) for k in keywords]
     regexes = [F.when(found(F.col("body_text"), BODY_PATTERNS[p]), F.lit(f"patterns:{p}")) for p in patterns]
-    return F.concat(names, F.array(*words, *regexes))
+    return F.array_compact(F.concat(names, F.array(*words, *regexes)))
 
 
 def classify_learned(

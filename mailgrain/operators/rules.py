@@ -29,7 +29,7 @@ def _contained(texts: DataFrame, few: int) -> tuple[Column, Callable[[Column], C
     return known, lambda subject: F.flatten(F.transform("_known", lambda n: pieces(subject, n)))
 
 
-def apply_rules(mail: DataFrame, rules: DataFrame, few: int = 1000) -> DataFrame:
+def apply_rules(mail: DataFrame, rules: DataFrame, few: int = 256) -> DataFrame:
     """The first matching rule per message and action type; lower priority numbers go first.
 
     A message offers its sender, domain, category and subject texts, so every condition becomes an
