@@ -79,4 +79,5 @@ def has_attachment(payload: Column) -> Column:
 
 
 def message_time(epoch_ms: Column) -> Column:
-    return F.timestamp_millis(epoch_ms.cast("bigint"))
+    """NULL where the text is no number, so that one bad row does not fail the job."""
+    return F.timestamp_millis(epoch_ms.try_cast("bigint"))

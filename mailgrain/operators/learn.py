@@ -33,6 +33,14 @@ KEPT_PATTERNS = {
     "link_patterns": ["many"],
     "spacing_patterns": ["dense"],
 }
+# Pattern expressions as weights files spell them, and their names.
+SAVED_EXPRESSIONS = {
+    r"http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+": "link",
+    r"[0-9]{3}-[0-9]{3}-[0-9]{4}": "phone",
+    r"\$\d+\.?\d*": "price",
+    r"\[.*?\]": "square_brackets",
+    r"\{.*?\}": "curly_brackets",
+}
 # Fixed value: the single multiplier of the flat provider.
 FLAT_MULTIPLIER = 2.0
 
@@ -156,8 +164,28 @@ def load_weights(defaults: DataFrame, saved: DataFrame, provider: str, account:
     return overlay(defaults, mine.filter(F.col("version") == newest))
 
 
-def weights_document(weights: DataFrame, as_of: Column) -> DataFrame:
-    """One JSON line per category of weights, with the time and format version they were saved at."""
-    return weights.groupBy("category").agg(
-        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("pattern", "weight"))))).alias("weights")
-    ).select("category", "weights", as_of.alias("last_updated"), F.lit("1.0").alias("version"))
+def write_weights_lines(weights: DataFrame, path: str, saved_at: Column) -> None:
+    """Weights as JSON lines, one per pattern, with the time and the format version of saving."""
+    lines = weights.select("category", "pattern", "weight", saved_at.alias("last_updated"), F.lit("1.0").alias("version"))
+    lines.write.mode("overwrite").json(path)
+
+
+def read_weights_document(spark: SparkSession, path: str) -> DataFrame:
+    """A weights file as older tools saved it, one JSON document of categories under ``weights``.
+
+    A category is an object of weights by pattern, or a list of pattern and weight pairs. Known
+    expressions get the names they go by here; others keep their text.
+    """
+    document = spark.read.schema("weights map<string,string>").option("multiLine", True).json(path)
+    category = document.select(F.explode("weights").alias("category", "text"))
+    by_object = F.map_entries(F.from_json("text", "map<string,double>"))
+    by_pair = F.transform(
+        F.from_json("text", "array<array<string>>"),
+        lambda p: F.struct(F.get(p, 0).alias("key"), F.get(p, 1).try_cast("double").alias("value")),
+    )
+    entries = F.when(F.startswith(F.ltrim("text"), F.lit("[")), by_pair).otherwise(by_object)
+    rows = exploded(category, entries, "e", "category")
+    name = F.col("e.key")
+    for expression, known in SAVED_EXPRESSIONS.items():
+        name = F.when(F.col("e.key") == expression, known).otherwise(name)
+    return rows.select("category", name.alias("pattern"), F.col("e.value").alias("weight"))

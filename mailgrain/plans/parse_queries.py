@@ -122,9 +122,8 @@ def body_html(spark, sf_dir):
 
 @query(
     "decode_base64url",
-    f"""WITH {O.MAIL} SELECT message_id, body_text AS lenient, NOT ({_BAD}) AS sound FROM mail
-      WHERE seq % 4 <> 3 AND seq % 4 <> 2 UNION ALL SELECT message_id, '', TRUE FROM mail WHERE seq % 4 = 3
-      UNION ALL SELECT message_id, '', TRUE FROM mail WHERE seq % 4 = 2""",
+    f"""WITH {O.MAIL} SELECT message_id, CASE WHEN seq % 4 >= 2 THEN '' ELSE body_text END AS lenient,
+      NOT (seq % 50 = 4 AND seq % 4 < 2) AS sound FROM mail""",
 )
 def decode_base64url(spark, sf_dir):
     own = F.col("payload.body.data")

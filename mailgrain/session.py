@@ -9,8 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the session zone: every hour and date in the library is UTC unless a zone is passed."""
+    """Pin the session zone: every hour and date in the library is UTC unless a zone is passed.
+    In imported JSON objects the last of a repeated key wins."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     return spark
 
 

@@ -48,10 +48,15 @@ def parse_gmail(raw: DataFrame, account: str, lenient: bool = False) -> DataFram
         mime.body_html(payload).alias("body_html"),
         F.col("_h").alias("headers"),
         mime.has_attachment(payload).alias("has_attachment"),
-        F.col("internalDate").cast("bigint").alias("seq"),
+        F.col("internalDate").try_cast("bigint").alias("seq"),
     )
 
 
+def unreadable(mail: DataFrame) -> DataFrame:
+    """Parsed messages whose body or time could not be read: the ones to quarantine."""
+    return mail.filter(F.col("body_text").isNull() | F.col("date_received").isNull())
+
+
 def parse_flat(raw: DataFrame, account: str) -> DataFrame:
     """Flat export to mail: recipients are a list already, times are whole seconds."""
     return raw.select(
@@ -84,7 +89,7 @@ def union_accounts(first: DataFrame, *others: DataFrame) -> DataFrame:
 
 def recent_gmail(raw: DataFrame, account: str, size: int = RECENT) -> DataFrame:
     """The newest messages of a nested export: chosen before any body is decoded."""
-    newest = raw.orderBy(F.col("internalDate").cast("bigint").desc(), F.col("id")).limit(size)
+    newest = raw.orderBy(F.col("internalDate").try_cast("bigint").desc(), F.col("id")).limit(size)
     return parse_gmail(newest, account)
 
 

@@ -90,8 +90,26 @@ def test_save_and_load(spark, tmp_path):
     assert other.exceptAll(defaults).count() == 0 and other.count() == defaults.count()
     gone = L.overlay(defaults, frame([("domain_patterns", "d", 1.0)]), emptied=["headers", "keywords", "patterns"])
     assert gone.count() == 1
-    document = L.weights_document(frame([("keywords", "new", 0.5)]), F.lit("2025-01-01")).head()
-    assert json.loads(document["weights"]) == {"new": 0.5} and document["version"] == "1.0"
+    L.write_weights_lines(frame([("keywords", "new", 0.5)]), str(tmp_path / "lines"), F.lit("2025-01-01"))
+    line = spark.read.json(str(tmp_path / "lines")).head()
+    assert (line["pattern"], line["weight"], line["version"]) == ("new", 0.5, "1.0")
+
+
+def test_older_weight_files(spark, tmp_path):
+    objects = {"weights": {"headers": {"from": 1}, "patterns": {r"\$\d+\.?\d*": 0.25, "odd+": 0.5}, "time_patterns": {}}}
+    pairs = {"weights": {"patterns": [[r"\[.*?\]", 0.6]], "domain_patterns": {"a.b": 0.1}}, "version": "1.0"}
+    for name, document in (("one", objects), ("two", pairs)):
+        (tmp_path / name).write_text(json.dumps(document, indent=2))
+    read = lambda name: {
+        (r["category"], r["pattern"]): r["weight"] for r in L.read_weights_document(spark, str(tmp_path / name)).collect()
+    }
+    assert read("one") == {("headers", "from"): 1.0, ("patterns", "price"): 0.25, ("patterns", "odd+"): 0.5}
+    assert read("two") == {("patterns", "square_brackets"): 0.6, ("domain_patterns", "a.b"): 0.1}
+
+
+def test_sketched_counts(spark):
+    stats = R.mailbox_stats_approx(R.analysed(mails(spark, [{"sender": f"u{i}@x.y"} for i in range(50)]))).head()
+    assert stats["total_emails"] == 50 and abs(stats["unique_senders"] - 50) <= 2 and stats["unique_domains"] == 1
 
 
 def test_tied_lists_keep_first_sight(spark):

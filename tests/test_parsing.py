@@ -82,6 +82,12 @@ def test_damaged_line_is_kept(spark, tmp_path):
     assert [r["_damaged"] for r in raw.cache().filter(F.col("_damaged").isNotNull()).collect()] == ["{broken"]
 
 
+def test_unreadable_rows_fail_alone(spark, tmp_path):
+    lines = [message("a", [], {}, "soon"), message("b", [], {"body": {"data": b64(b"\xff")}}), message("c", [], {})]
+    mail = E.parse_gmail(E.read_gmail(spark, write(tmp_path / "x", lines)), "main")
+    assert [r["message_id"] for r in E.unreadable(mail).orderBy("message_id").collect()] == ["a", "b"]
+
+
 def test_recent_gmail_order(spark, tmp_path):
     lines = [message(i, [], {}, when) for i, when in [("b", "900"), ("a", "900"), ("c", "1000"), ("d", "99")]]
     raw = E.read_gmail(spark, write(tmp_path / "x", lines))
@@ -106,6 +112,17 @@ def test_window(spark):
     assert [r["message_id"] for r in E.window_scan(mail, as_of, 1, 2).collect()] == ["d", "c"]
 
 
+def test_repeated_json_key(spark):
+    from pyspark.sql import types as T
+
+    from mailgrain import schemas
+
+    row = {f.name: None for f in schemas.STORED_MAIL.fields} | {"headers": '{"a":"1","a":"2"}', "recipients": ""}
+    stored = spark.createDataFrame([tuple(row.values())], T.StructType(schemas.STORED_MAIL.fields))
+    mail = mailstore.decode_stored_mail(stored).head()
+    assert mail["headers"] == {"a": "2"} and mail["recipients"] == [] and mail["is_archived"] is False
+
+
 def test_stored_event(spark):
     row = spark.createDataFrame(
         [(1, "2025-01-01T10:00:00", "", 0, 1)],
