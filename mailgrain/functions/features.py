@@ -48,19 +48,19 @@ def sender_name(sender: Column) -> Column:
     return F.nullif(strip(F.split_part(sender, F.lit("<"), F.lit(1))), F.lit(""))
 
 
-def length_bucket(body: Column) -> Column:
-    size = F.length(body)
+def length_bucket(size: Column) -> Column:
+    """Bucket of a body length."""
     return F.when(size < 100, "short").when(size < 500, "medium").otherwise("long")
 
 
 def mean_line_length(body: Column) -> Column:
     """Characters per line: the line breaks are all that splitting would remove."""
-    breaks = F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit("")))
-    return (F.length(body) - breaks) / (breaks + 1)
+    without = F.length(F.replace(body, F.lit("\n"), F.lit("")))
+    return without / (F.length(body) - without + 1)
 
 
-def spacing_bucket(body: Column) -> Column:
-    mean = mean_line_length(body)
+def spacing_bucket(mean: Column) -> Column:
+    """Bucket of a mean line length."""
     return F.when(mean > 80, "dense").when(mean > 40, "normal").otherwise("sparse")
 
 

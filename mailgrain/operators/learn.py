@@ -79,17 +79,25 @@ def pattern_counts(mail: DataFrame, zone: str = "UTC") -> DataFrame:
         _tag("sender_patterns", X.sender_name(F.col("sender"))),
         *_tags("subject_patterns", X.subject_tests(F.col("_subject"))),
         _tag("time_patterns", X.hour_received(F.col("date_received"), zone).cast("string")),
-        _tag("length_patterns", X.length_bucket(body)),
+        _tag("length_patterns", X.length_bucket(F.col("_size"))),
         _tag("link_patterns", X.link_bucket(links)),
         _tag("domain_patterns", X.sender_domain_learn(F.col("sender"))),
         *_tags("content_patterns", X.content_tests(low)),
         *_tags("reply_patterns", X.reply_tests(body)),
         *_tags("attachment_patterns", [(F.col("has_attachment"), "has_attachment")]),
-        _tag("spacing_patterns", X.spacing_bucket(body)),
+        _tag("spacing_patterns", X.spacing_bucket(F.col("_line"))),
         *_tags("signature_patterns", [(X.signature_marker(body), "has_signature")]),
     ]
     headers = F.transform(F.array_distinct("_names"), lambda n: _tag("headers", n))
-    rows = with_lowered(mail).withColumns({"_links": X.link_count(body), "_subject": F.lower("subject")})
+    # What is tested more than once is computed once, below the explode.
+    rows = with_lowered(mail).withColumns(
+        {
+            "_links": X.link_count(body),
+            "_size": F.length(body),
+            "_line": X.mean_line_length(body),
+            "_subject": F.lower("subject"),
+        }
+    )
     return _count(rows, F.concat(headers, F.array(*tags)))
 
 

@@ -203,8 +203,8 @@ _feature("sender_domain_learn", lambda: X.sender_domain_learn(F.col("sender")),
 _feature("sender_domain_report", lambda: X.sender_domain_report(F.col("sender")), "domain_report")
 _feature("sender_domain_store", lambda: X.sender_domain_store(F.col("sender")), "split_part(sender, '@', 2)")
 _feature("sender_name", lambda: X.sender_name(F.col("sender")), O.NAME)
-_feature("length_bucket", lambda: X.length_bucket(F.col("body_text")), O.LENGTH)
-_feature("spacing_bucket", lambda: X.spacing_bucket(F.col("body_text")), O.SPACING)
+_feature("length_bucket", lambda: X.length_bucket(F.length("body_text")), O.LENGTH)
+_feature("spacing_bucket", lambda: X.spacing_bucket(X.mean_line_length(F.col("body_text"))), O.SPACING)
 _feature("link_bucket", lambda: X.link_bucket(X.link_count(F.col("body_text"))), O.LINKS)
 _feature("url_count", lambda: X.url_count(F.col("body_text")), O.count_of("body_text", "https?://"))
 _feature("hour_received", lambda: X.hour_received(F.col("date_received")), "hour(date_received)")
