@@ -64,8 +64,13 @@ def spacing_bucket(mean: Column) -> Column:
     return F.when(mean > 80, "dense").when(mean > 40, "normal").otherwise("sparse")
 
 
+def _count_links(body: Column, pattern: str) -> Column:
+    """Most mail holds no link: the plain search first spares it the pattern."""
+    return F.when(has(body, "http"), F.regexp_count(body, F.lit(pattern))).when(body.isNotNull(), F.lit(0))
+
+
 def link_count(body: Column) -> Column:
-    return F.regexp_count(body, F.lit(LINK))
+    return _count_links(body, LINK)
 
 
 def link_bucket(links: Column) -> Column:
@@ -75,7 +80,7 @@ def link_bucket(links: Column) -> Column:
 
 def url_count(body: Column) -> Column:
     """How often a link starts, whether or not anything follows."""
-    return F.regexp_count(body, F.lit("https?://"))
+    return _count_links(body, "https?://")
 
 
 def hour_received(received: Column, zone: str = "UTC") -> Column:

@@ -52,6 +52,8 @@ BODY_PATTERNS = {
     "square_brackets": r"\[[^\]\n]*\]",
     "curly_brackets": r"\{[^}\n]*\}",
 }
+# A character every match of the pattern holds; without it the pattern need not be tried.
+NEEDED = {"link": ":", "phone": "-", "price": "$", "square_brackets": "[", "curly_brackets": "{"}
 # Phrases, senders and weights of the additive classifier.
 ADDITIVE_PHRASES = ["unsubscribe", "click here", "special offer", "limited time"]
 AUTOMATED_SENDERS = ["noreply", "no-reply", "donotreply", "auto@"]
@@ -65,6 +67,11 @@ IMPORTANT_WORDS = ["urgent", "meeting"]
 SPAM_WORDS = ["loan", "mortgage", "credit"]
 
 
+def shows(body: Column, name: str) -> Column:
+    """Whether a named body pattern matches; never NULL."""
+    return has(body, NEEDED[name]) & found(body, BODY_PATTERNS[name])
+
+
 def with_lowered(mail: DataFrame) -> DataFrame:
     """Header names and body in lower case, computed once for all the tests that follow."""
     return mail.select(
@@ -83,7 +90,7 @@ def weighted_hits(weights: dict, any_case: bool) -> list[tuple[str, str, float,
     for phrase, weight in weights["keywords"].items():
         tests.append(("keywords", phrase, weight, has(F.col("_low"), phrase)))
     for name, weight in weights["patterns"].items():
-        tests.append(("patterns", name, weight, found(F.col("body_text"), BODY_PATTERNS[name])))
+        tests.append(("patterns", name, weight, shows(F.col("body_text"), name)))
     return tests
 
 
@@ -172,7 +179,7 @@ def message_hits(keywords: list[str], patterns: list[str]) -> Column:
     ``with_lowered``."""
     names = F.transform(F.array_distinct("_names"), lambda n: F.concat(F.lit("headers:"), n))
     words = [F.when(has(F.col("_low"), k), F.lit(f"keywords:{k}")) for k in keywords]
-    regexes = [F.when(found(F.col("body_text"), BODY_PATTERNS[p]), F.lit(f"patterns:{p}")) for p in patterns]
+    regexes = [F.when(shows(F.col("body_text"), p), F.lit(f"patterns:{p}")) for p in patterns]
     return F.array_compact(F.concat(names, F.array(*words, *regexes)))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from mailgrain import schemas
 from mailgrain.functions import features as X
 from mailgrain.functions.text import exploded, has
-from mailgrain.operators.classify import BODY_PATTERNS, RATIO_WEIGHTS, found, with_lowered
+from mailgrain.operators.classify import RATIO_WEIGHTS, shows, with_lowered
 
 # Weight per unit of frequency, for each category of patterns.
 MULTIPLIERS = {
@@ -72,7 +72,7 @@ def _count(rows: DataFrame, tags: Column) -> DataFrame:
 def pattern_counts(mail: DataFrame, zone: str = "UTC") -> DataFrame:
     """How many messages show each pattern, over fourteen categories."""
     body, low, links = F.col("body_text"), F.col("_low"), F.col("_links")
-    searched = [(found(body, BODY_PATTERNS[p]), p) for p in RATIO_WEIGHTS["patterns"] if p != "link"]
+    searched = [(shows(body, p), p) for p in RATIO_WEIGHTS["patterns"] if p != "link"]
     tags = [
         *_tags("keywords", [(has(low, k), k) for k in RATIO_WEIGHTS["keywords"]]),
         *_tags("patterns", [(links > 0, "link"), *searched]),
