@@ -2,8 +2,8 @@
 
 from pyspark import cloudpickle
 
-from mailgrain.llm import arrays, minhash
+from mailgrain.llm import arrays, minhash, pieces
 
 # Executors get the array helpers with the task, so the package need not be installed there.
-for _module in (arrays, minhash):
+for _module in (arrays, minhash, pieces):
     cloudpickle.register_pickle_by_value(_module)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailgrain.llm import near_dedup
-from mailgrain.llm.tables import table
+from mailgrain.llm import near_dedup, piece_sampling, sharding, token_counts
+from mailgrain.llm.tables import table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,5 +17,30 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_minhash_near_dedup,)}
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.placed(table(spark, sf_dir, "documents"), sharding.layout(40))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(
+        "doc_id", "text", F.length("text").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
+    )
+    coded = piece_sampling.encode(rows, vocabulary(), F.col("doc_id"), F.col("text"))
+    coded = coded.select("*", F.size("pieces").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"))
+    back = piece_sampling.decode(coded, vocabulary())
+    decoded = F.sha2("text", 256)
+    return back.select(
+        "doc_id", "n_chars", "n_pieces", "pieces_hash", decoded.alias("decoded_sha256"),
+        (decoded == F.col("text_sha256")).alias("lossless"),
+    )
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary())
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (op3_minhash_near_dedup, op6_sharding, op9_sentencepiece, op10_token_counts)
+}
 ORACLES: dict[str, str] = {}

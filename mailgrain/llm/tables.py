@@ -17,3 +17,10 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def vocabulary(name: str = "piece_bpe_32k.model") -> str:
+    """Where an installed public vocabulary lies; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
