@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailgrain.llm import near_dedup, piece_sampling, sharding, token_counts
+from mailgrain.llm import near_dedup, piece_sampling, quality, sharding, token_counts
 from mailgrain.llm.tables import table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scores = quality.with_scores(docs, table(spark, sf_dir, "labels"))
+    return scores.select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_dedup.near_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "n_shingles", "component_id", "kept")
@@ -41,6 +49,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op3_minhash_near_dedup, op6_sharding, op9_sentencepiece, op10_token_counts)
+    f.__name__: f for f in (op2_quality_classifier, op3_minhash_near_dedup, op6_sharding, op9_sentencepiece, op10_token_counts)
 }
 ORACLES: dict[str, str] = {}
