@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailgrain.llm import near_dedup, piece_sampling, quality, sharding, token_counts
+from mailgrain.llm import near_dedup, piece_sampling, quality, secret_scan, sharding, token_counts
 from mailgrain.llm.tables import table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,19 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scanned(table(spark, sf_dir, "documents"), ["doc_id"])
+    spans = F.col("spans")
+    number = lambda no: F.size(F.filter(spans, lambda s: s["kind_no"] == no)).cast("long")
+    of_class = lambda name: F.size(F.filter(spans, lambda s: s["class"] == name)).cast("long")
+    return found.select(
+        "doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"),
+        F.sha2(secret_scan.written(spans, only_base=True), 256).alias("base_sha256"),
+        secret_scan.written(spans).alias("spans"),
+        of_class("live").alias("n_live"), of_class("copied").alias("n_copied"),
+    )
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placed(table(spark, sf_dir, "documents"), sharding.layout(40))
 
@@ -49,6 +62,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_quality_classifier, op3_minhash_near_dedup, op6_sharding, op9_sentencepiece, op10_token_counts)
+    f.__name__: f for f in (op2_quality_classifier, op3_minhash_near_dedup, op4_secret_scans, op6_sharding, op9_sentencepiece, op10_token_counts)
 }
 ORACLES: dict[str, str] = {}
