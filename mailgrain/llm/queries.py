@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailgrain.llm import near_dedup, piece_sampling, quality, secret_scan, sharding, token_counts
+from mailgrain.llm import decontaminate, near_dedup, piece_sampling, quality, secret_scan, sharding, token_counts
 from mailgrain.llm.tables import table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scores = quality.with_scores(docs, table(spark, sf_dir, "labels"))
@@ -62,6 +66,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_quality_classifier, op3_minhash_near_dedup, op4_secret_scans, op6_sharding, op9_sentencepiece, op10_token_counts)
+    f.__name__: f for f in (op1_benchmark_decontamination, op2_quality_classifier, op3_minhash_near_dedup, op4_secret_scans, op6_sharding, op9_sentencepiece, op10_token_counts)
 }
 ORACLES: dict[str, str] = {}
