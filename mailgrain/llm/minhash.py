@@ -97,7 +97,7 @@ def common(values_a, starts_a, values_b, starts_b) -> np.ndarray:
 
 
 def compare(batches, width: int, per_cent: int, limit: int):
-    """Arrow batches (a, b, text_a, text_b) to the pairs (a, b) whose full sets are similar enough."""
+    """Arrow batches (a, b, text_a, text_b) to (a, b, size of the intersection of the full sets, similar enough)."""
     import pyarrow as pa
 
     for batch in batches:
@@ -111,6 +111,18 @@ def compare(batches, width: int, per_cent: int, limit: int):
             both = common(va, sa, vb, sb)
             union = np.diff(sa) + np.diff(sb) - both
             linked = (union > 0) & (100 * both >= per_cent * union)
+            ends = [batch.column(k).slice(first, last - first) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*ends, pa.array(both), pa.array(linked)], ["a", "b", "both", "linked"])
+
+
+def members(batches, width: int, limit: int):
+    """Arrow batches (node, text) to (node, shingle), one row per distinct shingle."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for first, last, data, offsets in A.text_slices(batch.column(1), limit):
+            values, starts = text_sets(data, offsets, width)
+            node = batch.column(0).slice(first, last - first).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(k).slice(first, last - first).filter(pa.array(linked)) for k in (0, 1)], ["a", "b"]
+                [pa.array(node[A.rows_of(starts)]), pa.array(values.view(np.int64))], ["node", "shingle"]
             )

@@ -7,13 +7,16 @@ shingles of five words (fewer words: the whole sequence; none: empty). Two texts
 1. Texts with the same set become one class, however many copies there are.
 2. Each class gets a signature of one-permutation hashing with optimal densification, cut into bands.
    Classes that share a band key share a bucket.
-3. A bucket never pairs its members with each other. It has a centre, and members are paired with that; in
-   the first round each class uses the smallest fitting centre of all its buckets. Candidates are confirmed
-   on the full sets, and confirmed links join classes to components.
-4. A star can miss a link between two members that are both unlike the centre. So a bucket whose members
-   lie in different components goes on with new centres, the best linked first and four times as many each
-   round, paired only with members of other components, until it lies in one component or every member was
-   a centre. No bucket is capped.
+3. For each class its shingles that no other class in a bucket has are counted. They bound every intersection
+   from above, so most chance neighbours are ruled out exactly, without a look at the pair.
+4. A bucket never pairs its members with each other. It has a centre, and members are paired with that. In
+   the first round each class uses only the smallest fitting centre of all its buckets, in the second the one
+   that shares most. Pairs are compared on the full sets, and confirmed links join classes to components.
+5. A star can miss a link between two members that are both unlike the centre. So a bucket whose members
+   lie in different components goes on with new centres, the best linked first and 16 times as many each
+   round, paired only with fitting members of other components, until it lies in one component or every member
+   was a centre. What two members have in common with the same second-round centre bounds their intersection
+   further. No bucket is capped.
 
 Defined results: null and empty texts, and texts of white space, have no shingles, are linked with
 nothing and form a component of their own row; equal rows are copies of each other; rows with a null id
@@ -59,23 +62,56 @@ def classes_of(rows: DataFrame) -> DataFrame:
 
 
 def bucket_members(classes: DataFrame) -> DataFrame:
-    """``band, node, size`` of buckets with more than one class."""
-    entries = classes.select("node", "size", F.explode("bands").alias("band"))
+    """``band, node`` of buckets with more than one class."""
+    entries = classes.select("node", F.explode("bands").alias("band"))
     shared = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
     return stored(entries.join(shared, "band"), "buckets")
 
 
-def _fits(size: Column, other: Column) -> Column:
-    """No pair whose sizes differ more than this can be linked."""
-    return F.lit(100) * F.least(size, other) >= F.lit(PER_CENT) * F.greatest(size, other)
+def texts_of(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
+    """``node, text`` of every class in a bucket, one text each."""
+    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select(
+        "node", F.col("found.doc_id").alias("of"), F.col("found.text_key").alias("key")
+    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("of"), "text", F.xxhash64("text").alias("key"))
+    fetched = rows.join(wanted, rows["of"].eqNullSafe(wanted["of"]) & (rows["key"] == wanted["key"]))
+    return stored(fetched.groupBy("node").agg(F.first("text").alias("text")), "texts")
+
+
+def with_shared(members: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Members with ``size`` and ``shared``, their shingles that some other class in a bucket has too; without
+    those that have too few to be linked with anything."""
+    each = texts.mapInArrow(lambda it: minhash.members(it, WIDTH, SLICE_BYTES), "node long, shingle long")
+    own = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).filter("n = 1")
+    alone = own.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    nodes = classes.select("node", "size").join(texts.select("node"), "node").join(alone, "node", "left")
+    nodes = nodes.withColumn("shared", F.col("size") - F.coalesce("alone", F.lit(0)))
+    fit = stored(nodes.filter(F.lit(100) * F.col("shared") >= F.lit(PER_CENT) * F.col("size")).drop("alone"), "nodes")
+    return stored(members.join(fit, "node"), "members")
+
+
+def _fits(one: str, other: str, pivots: bool) -> Column:
+    """Whether two members can be linked at all, given what bounds their intersection from above.
+
+    It is no larger than what either shares with any class; and with a common pivot, no larger than the
+    smaller part in the pivot and the smaller shared part outside it together.
+    """
+    of = lambda name: (F.col(one + name), F.col(other + name))
+    (size_a, size_b), (shared_a, shared_b) = of("size"), of("shared")
+    most = F.least(shared_a, shared_b)
+    if pivots:
+        (pivot_a, pivot_b), (in_a, in_b) = of("pivot"), of("inside")
+        split = F.least(in_a, in_b) + F.least(shared_a - in_a, shared_b - in_b)
+        most = F.when(pivot_a == pivot_b, split).otherwise(most)
+    return F.lit(100 + PER_CENT) * most >= F.lit(PER_CENT) * (size_a + size_b)
 
 
 def first_pairs(members: DataFrame) -> DataFrame:
     """Each class with the smallest fitting centre of its buckets; a centre is the smallest node of a bucket."""
-    centres = members.groupBy("band").agg(F.min(F.struct("node", "size")).alias("centre"))
+    centres = members.groupBy("band").agg(F.min(F.struct("node", "size", "shared")).alias("centre"))
     return (
         members.join(centres, "band")
-        .filter((F.col("centre.node") < F.col("node")) & _fits(F.col("size"), F.col("centre.size")))
+        .filter((F.col("centre.node") < F.col("node")) & _fits("", "centre.", pivots=False))
         .groupBy(F.col("node").alias("b"))
         .agg(F.min("centre.node").alias("a"))
         .select("a", "b")
@@ -86,48 +122,58 @@ def mixed_buckets(members: DataFrame, labels: DataFrame, links: DataFrame) -> Da
     """Members of buckets that span components, with their component and number of confirmed links."""
     ends = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node")))
     degrees = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    kept = [c for c in members.columns if c not in ("root", "degree")]
     labelled = (
-        members.select("band", "node", "size")
+        members.select(kept)
         .join(labels.join(degrees, "node", "left"), "node", "left")
-        .select("band", "node", "size", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
+        .select(*kept, F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
     )
     mixed = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     return stored(labelled.join(mixed.filter("low < high").select("band"), "band"), "mixed")
 
 
+def _best() -> Column:
+    return F.struct("degree", F.xxhash64("node").alias("lot"), "node")
+
+
+def pivots_of(mixed: DataFrame) -> DataFrame:
+    """``node, pivot``: of all members of a class's buckets the one with the largest shared part, which is
+    that of a text of which the others are edited copies."""
+    order = F.struct((F.col("shared") / F.col("size")).alias("part"), *(F.col(c) for c in ("degree", "size", "node")))
+    best = mixed.groupBy("band").agg(F.max(order).alias("best"))
+    return stored(
+        mixed.select("band", "node").join(best, "band").groupBy("node").agg(F.max("best").alias("best"))
+        .select("node", F.col("best.node").alias("pivot")),
+        "pivots",
+    )
+
+
 def next_centres(mixed: DataFrame, used: DataFrame | None, per_bucket: int) -> DataFrame:
     """Up to ``per_bucket`` members of each bucket that were no centre yet, those with most links first."""
     left = mixed if used is None else mixed.join(used, ["band", "node"], "left_anti")
     seat = F.pmod(F.xxhash64("node", F.lit(per_bucket)), F.lit(per_bucket))
-    best = F.max(F.struct("degree", F.xxhash64("node").alias("lot"), "node", "size", "root")).alias("c")
-    return stored(left.groupBy("band", seat.alias("seat")).agg(best).select("band", "c.node", "c.size", "c.root"), "centres")
+    rest = ("size", "shared", "pivot", "inside", "root")
+    picked = left.groupBy("band", seat.alias("seat")).agg(F.max(F.struct(_best().alias("best"), *rest)).alias("c"))
+    return stored(picked.select("band", "c.best.node", *(f"c.{r}" for r in rest)), "centres")
 
 
 def star_pairs(mixed: DataFrame, centres: DataFrame, tried: DataFrame) -> DataFrame:
-    """Centres with the members of other components, without pairs already compared."""
-    hubs = centres.select("band", F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("root").alias("hub_root"))
+    """Centres with the fitting members of other components, without pairs already compared."""
+    hubs = centres.select("band", F.struct(*(c for c in centres.columns if c != "band")).alias("hub"))
     pairs = (
         mixed.join(hubs, "band")
-        .filter((F.col("root") != F.col("hub_root")) & _fits(F.col("size"), F.col("hub_size")))
-        .select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+        .filter((F.col("root") != F.col("hub.root")) & _fits("", "hub.", pivots=True))
+        .select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b"))
         .distinct()
     )
     return pairs.join(tried, ["a", "b"], "left_anti")
 
 
-def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of classes, a stored table, whose full sets are similar enough.
+def compared(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``a, b, both, linked`` for pairs (a, b) of classes, a stored table; ``both`` counts common shingles.
 
-    The text of a class is fetched once. A class in many pairs is copied once per ``LOAD`` pairs, so
-    that no task gets them all.
+    A class in many pairs is copied once per ``LOAD`` pairs, so that no task gets them all.
     """
-    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = classes.join(ends, "node", "left_semi").select(
-        "node", F.col("found.doc_id").alias("of"), F.col("found.text_key").alias("key")
-    )
-    rows = docs.select(F.col("doc_id").cast("long").alias("of"), "text", F.xxhash64("text").alias("key"))
-    fetched = rows.join(wanted, rows["of"].eqNullSafe(wanted["of"]) & (rows["key"] == wanted["key"]))
-    texts = stored(fetched.groupBy("node").agg(F.first("text").alias("text")), "texts")
     loads = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LOAD).cast("int").alias("copies"))
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(loads, "a")
     left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
@@ -135,7 +181,7 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
     salt = F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("salt")
     dealt = pairs.join(loads, "a").select("a", "b", salt)
     both = dealt.join(right, "b").join(left, ["a", "salt"]).select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(lambda it: minhash.compare(it, WIDTH, PER_CENT, SLICE_BYTES), "a long, b long")
+    return both.mapInArrow(lambda it: minhash.compare(it, WIDTH, PER_CENT, SLICE_BYTES), "a long, b long, both long, linked boolean")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -146,10 +192,21 @@ def near_groups(docs: DataFrame) -> DataFrame:
     rows = stored(described(docs), "sets")
     classes = classes_of(rows)
     members = bucket_members(classes)
+    texts = texts_of(docs, classes, members)
+    members = with_shared(members, classes, texts)
     tried = stored(first_pairs(members), "pairs")
-    links = stored(confirmed(docs, classes, tried), "links")
+    links = stored(compared(texts, tried), "links").filter("linked").select("a", "b")
+    labels = stored(components(links), "components")
+    members = mixed_buckets(members, labels, links)
+    pivots = pivots_of(members)
+    pairs = stored(pivots.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")), "pairs")
+    found = stored(compared(texts, pairs), "links")
+    links = links.unionByName(found.filter("linked").select("a", "b")).distinct()
     labels = stored(components(links), "components")
-    used, per_bucket = None, 4
+    tried = tried.unionByName(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    inside = pivots.join(found.select(F.col("b").alias("node"), F.col("both").alias("inside")), "node", "left")
+    members = members.join(inside, "node").withColumn("inside", F.coalesce("inside", "shared"))
+    used, per_bucket = None, 16
     while True:
         members = mixed_buckets(members, labels, links)
         centres = next_centres(members, used, per_bucket)
@@ -157,12 +214,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
             break
         pairs = stored(star_pairs(members, centres, tried), "pairs")
         if pairs.limit(1).count():
-            links = links.unionByName(stored(confirmed(docs, classes, pairs), "links"))
+            found = stored(compared(texts, pairs), "links")
+            links = links.unionByName(found.filter("linked").select("a", "b"))
             labels = stored(components(links), "components")
             tried = tried.unionByName(pairs)
         centres = centres.select("band", "node")
         used = centres if used is None else used.unionByName(centres)
-        per_bucket *= 4
+        per_bucket *= 16
     named = classes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = named.join(smallest, "root").select("set_one", "set_two", "component_id")
