@@ -20,23 +20,34 @@ likewise; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from mailgrain.functions.text import exploded, let
+from mailgrain.llm.columns import words
 from mailgrain.llm.tables import stored
 
 WIDTH, SHARE_PER_CENT = 5, 75
 
 
-def normal(text: Column) -> Column:
-    """Lower case, single spaces, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", " "))
+def _stretches(of: Column, whole: Column, one: Callable[[Column], Column]) -> Column:
+    """``one`` of every start of five neighbours in the list ``of``; the list's ``whole`` if it is shorter."""
+    many = F.transform(F.sequence(F.lit(0), F.size(of) - WIDTH), one)
+    return F.when(F.size(of) >= WIDTH, many).when(F.size(of) > 0, F.array(whole)).otherwise(F.filter(F.array(whole), lambda _: F.lit(False)))
+
+
+def shingles(text: Column) -> Column:
+    """All shingles of a text in order, repeats included."""
+    joined = lambda w: _stretches(w, F.array_join(w, " "), lambda i: F.array_join(F.slice(w, i + 1, WIDTH), " "))
+    return let(words(text), joined)
 
 
-def shingles(norm: Column) -> Column:
-    """All shingles of a normalised text in order, repeats included."""
-    inner = r" \S+" * (WIDTH - 1)
-    many = F.regexp_extract_all(norm, F.lit(rf"(?<!\S)(?=(\S+{inner}))"), 1)
-    return F.when(norm == "", F.array().cast("array<string>")).when(F.size(many) == 0, F.array(norm)).otherwise(many)
+def shingle_hashes(text: Column) -> Column:
+    """A hash of each shingle, from the hashes of its words; each word is hashed once."""
+    five = lambda h, i: F.xxhash64(*(F.get(h, i + k) for k in range(WIDTH)))
+    hashed = F.transform(words(text), lambda w: F.xxhash64(w))
+    return let(hashed, lambda h: _stretches(h, F.xxhash64(h), lambda i: five(h, i)))
 
 
 def needed(n: Column) -> Column:
@@ -45,17 +56,16 @@ def needed(n: Column) -> Column:
 
 
 def signatures(items: DataFrame) -> DataFrame:
-    """``item, item_id, words, n, part, hashes`` of every item with words; ``hashes`` is its signature."""
-    sets = items.select("item_id", normal(F.col("text")).alias("words")).filter("words != ''")
-    sets = sets.withColumn("own", F.array_distinct(shingles(F.col("words")))).withColumn("n", F.size("own"))
-    hashes = F.array_sort(F.transform("own", lambda s: F.xxhash64(s)))
+    """``item, item_id, item_text, n, part, hashes`` of every item with words; ``hashes`` is its signature."""
+    sets = items.select("item_id", F.col("text").alias("item_text"), F.array_distinct(shingle_hashes(F.col("text"))).alias("own"))
+    sets = sets.withColumn("n", F.size("own")).filter("n > 0")
     return sets.select(
         F.monotonically_increasing_id().alias("item"),
         "item_id",
-        "words",
+        "item_text",
         "n",
         F.floor(F.log2("n")).cast("int").alias("part"),
-        F.slice(hashes, 1, F.col("n") - needed(F.col("n")) + 1).alias("hashes"),
+        F.slice(F.array_sort("own"), 1, F.col("n") - needed(F.col("n")) + 1).alias("hashes"),
     )
 
 
@@ -66,17 +76,16 @@ def candidates(docs: DataFrame, signed: DataFrame) -> DataFrame:
     parts = entries.groupBy("part").agg(F.max("hash").alias("bound"), F.min(needed(F.col("n"))).alias("least")).collect()
     if not parts:
         return docs.select("doc_id", F.lit(0).cast("long").alias("item")).limit(0)
-    searched = [F.when(F.col("size") >= p["least"], F.lit(p["bound"])) for p in parts]
-    bound = F.greatest(*searched) if len(searched) > 1 else searched[0]
-    each = (
-        docs.select("doc_id", shingles(normal(F.col("text"))).alias("own"))
-        .withColumn("size", F.size("own"))
-        .withColumn("bound", bound)
-        .filter(F.col("bound").isNotNull())
-        .select("doc_id", "size", "bound", F.explode("own").alias("shingle"))
-        .select("doc_id", "size", "bound", F.xxhash64("shingle").alias("hash"))
-        .filter("hash <= bound")
-    )
+
+    def searched(own: Column) -> Column:
+        """The hashes below the bounds of the partitions that fit into the document, with its size."""
+        size = F.size(own)
+        bounds = [F.when(size >= p["least"], F.lit(p["bound"])) for p in parts]
+        bound = F.greatest(*bounds) if len(bounds) > 1 else bounds[0]
+        low = let(bound, lambda b: F.filter(own, lambda h: h <= b))
+        return F.transform(low, lambda h: F.struct(h.alias("hash"), size.alias("size")))
+
+    each = exploded(docs, let(shingle_hashes(F.col("text")), searched), "entry", "doc_id").select("doc_id", "entry.*")
     hits = each.join(entries.select("hash", "item", needed(F.col("n")).alias("need")), "hash").filter("size >= need")
     return hits.select("doc_id", "item").distinct()
 
@@ -84,10 +93,10 @@ def candidates(docs: DataFrame, signed: DataFrame) -> DataFrame:
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, item_id, n_shingles, n_shared, containment`` of every item found in ``docs`` (doc_id, text)."""
     signed = stored(signatures(items), "items")
-    pairs = candidates(docs, signed).join(signed.select("item", "item_id", "words", "n"), "item")
+    pairs = candidates(docs, signed).join(signed.select("item", "item_id", "item_text", "n"), "item")
     pairs = stored(pairs.withColumnRenamed("doc_id", "of"), "candidates")
     texts = docs.select("doc_id", "text").join(pairs, F.col("doc_id").eqNullSafe(F.col("of")))
-    shared = F.size(F.array_intersect(shingles(F.col("words")), shingles(normal(F.col("text")))))
+    shared = F.size(F.array_intersect(shingles(F.col("item_text")), shingles(F.col("text"))))
     return (
         texts.select("doc_id", "item_id", F.col("n").alias("n_shingles"), shared.alias("n_shared"))
         .filter(F.col("n_shared") >= needed(F.col("n_shingles")))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailgrain.llm import decontaminate, near_dedup, piece_sampling, quality, secret_scan, sharding, token_counts
+from mailgrain.llm import decontaminate, imatch, near_dedup, piece_sampling, quality, secret_scan, sharding, token_counts
 from mailgrain.llm.tables import table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placed(table(spark, sf_dir, "documents"), sharding.layout(40))
 
@@ -66,6 +70,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_benchmark_decontamination, op2_quality_classifier, op3_minhash_near_dedup, op4_secret_scans, op6_sharding, op9_sentencepiece, op10_token_counts)
+    f.__name__: f for f in (op1_benchmark_decontamination, op2_quality_classifier, op3_minhash_near_dedup, op4_secret_scans, op5_document_fingerprints, op6_sharding, op9_sentencepiece, op10_token_counts)
 }
 ORACLES: dict[str, str] = {}
