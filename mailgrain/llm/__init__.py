@@ -2,8 +2,8 @@
 
 from pyspark import cloudpickle
 
-from mailgrain.llm import arrays, minhash, pieces, quality_net
+from mailgrain.llm import arrays, minhash, pieces, quality_net, warc_bytes
 
 # Executors get the array helpers with the task, so the package need not be installed there.
-for _module in (arrays, minhash, pieces, quality_net):
+for _module in (arrays, minhash, pieces, quality_net, warc_bytes):
     cloudpickle.register_pickle_by_value(_module)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailgrain.llm import decontaminate, imatch, near_dedup, piece_sampling, quality, secret_scan, sharding, token_counts
+from mailgrain.llm import decontaminate, imatch, near_dedup, piece_sampling, quality, secret_scan, sharding, token_counts, warc
 from mailgrain.llm.tables import table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placed(table(spark, sf_dir, "documents"), sharding.layout(40))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select(
@@ -70,6 +75,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_benchmark_decontamination, op2_quality_classifier, op3_minhash_near_dedup, op4_secret_scans, op5_document_fingerprints, op6_sharding, op9_sentencepiece, op10_token_counts)
+    f.__name__: f for f in (op1_benchmark_decontamination, op2_quality_classifier, op3_minhash_near_dedup, op4_secret_scans, op5_document_fingerprints, op6_sharding, op7_warc, op9_sentencepiece, op10_token_counts)
 }
 ORACLES: dict[str, str] = {}
