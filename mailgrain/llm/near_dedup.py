@@ -184,10 +184,35 @@ def compared(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.mapInArrow(lambda it: minhash.compare(it, WIDTH, PER_CENT, SLICE_BYTES), "a long, b long, both long, linked boolean")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one of each group of near duplicates: the one with the smallest id, and of rows with
+    one id the one with the smallest hash. Texts without shingles are no one's duplicates and all stay."""
+    groups = near_groups(docs).select("doc_id", "text_key", "component")
+    first = groups.filter("component IS NOT NULL").groupBy("component").agg(F.min(_by_id()).alias("k"))
+    alone = groups.filter("component IS NULL").select("doc_id", "text_key").distinct()
+    keys = first.select("k.doc_id", "k.text_key").unionByName(alone)
+    keys = stored(keys.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "kept")
+    own, key = F.col("doc_id").cast("long"), F.xxhash64("text")
+    rows = docs.withColumn("_key_of", key).join(keys, own.eqNullSafe(F.col("_id")) & (F.col("_key_of") == F.col("_key")), "left_semi")
+    repeated = groups.filter("component IS NOT NULL").groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    repeated = stored(repeated.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "repeated")
+    if repeated.limit(1).count():
+        same = own.eqNullSafe(F.col("_id")) & (F.col("_key_of") == F.col("_key"))
+        again = rows.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_key_of"])
+        rows = rows.join(repeated, same, "left_anti").unionByName(again)
+    return rows.drop("_key_of")
+
+
+def _by_id() -> Column:
+    """Order by id, a null one last."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_key, n_shingles, component_id, kept`` for every row of ``docs`` (doc_id, text).
+    """``doc_id, text_key, n_shingles, component, component_id, kept`` for every row of ``docs`` (doc_id, text).
 
-    ``component_id`` is the smallest id of the row's component, and ``kept`` says that it is the row's own.
+    ``component`` numbers the components, null for a text without shingles; ``component_id`` is the smallest id in
+    it, and ``kept`` says that it is the row's own.
     """
     rows = stored(described(docs), "sets")
     classes = classes_of(rows)
@@ -223,10 +248,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
         per_bucket *= 16
     named = classes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(smallest, "root").select("set_one", "set_two", "component_id")
+    named = named.join(smallest, "root").select("set_one", "set_two", F.col("root").alias("component"), "component_id")
     found = rows.drop("bands").join(named, ["set_one", "set_two"], "left")
     alone = F.col("n_shingles") == 0
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select(
-        "doc_id", "text_key", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")
+        "doc_id", "text_key", "n_shingles", "component", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")
     )

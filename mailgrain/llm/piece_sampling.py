@@ -36,10 +36,10 @@ def encode(
     return given.mapInArrow(lambda it: pieces.encoded(it, vocabulary, sharpness, SLICE_BYTES), schema)
 
 
-def decode(rows: DataFrame, vocabulary_path: str) -> DataFrame:
-    """The columns of ``rows`` but ``pieces``, and the ``text`` that the pieces spell."""
+def decode(rows: DataFrame, vocabulary_path: str, keep_pieces: bool = False) -> DataFrame:
+    """The columns of ``rows``, with ``pieces`` if asked for, and the ``text`` that the pieces spell."""
     vocabulary = rows.sparkSession.sparkContext.broadcast(vars(pieces.load(vocabulary_path)))
-    rest = _others(rows, "text", "pieces")
+    rest = _others(rows, "text", *([] if keep_pieces else ["pieces"]))
     schema = StructType([rows.schema[c] for c in rest]).add("text", StringType())
-    given = rows.select(F.col("pieces"), *(F.col(f"`{c}`") for c in rest))
+    given = rows.select(F.col("pieces").alias("_pieces"), *(F.col(f"`{c}`") for c in rest))
     return given.mapInArrow(lambda it: pieces.decoded(it, vocabulary, SLICE_PIECES), schema)

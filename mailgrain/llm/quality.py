@@ -10,7 +10,7 @@
 Only the text goes into a score. Documents whose ``crc32(doc_id) mod 3`` is 1 give no label. Defined
 results: null and empty texts have a zero pool and the score that the network gives it; labels that are null, or
 repeated with different values, are left out; without labels of both kinds every score is the share of label 1 (a half
-if there are none); repeated rows are scored alike; other columns are carried along, but ``score`` is replaced.
+if there are none); repeated rows are scored alike; the columns asked for are carried along, but for one named ``score``.
 """
 
 from __future__ import annotations
@@ -62,13 +62,13 @@ def learned(docs: DataFrame, labels: DataFrame, table: np.ndarray, sample: int)
     return N.fit(x[order], y[order])
 
 
-def with_scores(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFrame:
-    """The rows of ``docs`` with ``score``, the calibrated chance of label 1, from 0 to 1."""
+def with_scores(docs: DataFrame, labels: DataFrame, keep: list[str], sample: int = 20_000) -> DataFrame:
+    """The columns ``keep`` of every row of ``docs`` (doc_id, text) with ``score``, the calibrated chance of label 1."""
     spark = docs.sparkSession
     table = word_vectors(docs)
     net = learned(docs, labels, table, sample)
     model = spark.sparkContext.broadcast((table, vars(net)))
-    rest = [c for c in docs.columns if c != "score"]
-    schema = StructType([docs.schema[c] for c in rest]).add("score", DoubleType())
-    given = docs.select(F.col("text").alias("_text"), *(F.col(f"`{c}`") for c in rest))
-    return given.mapInArrow(lambda it: N.scored(it, *model.value, SLICE_BYTES), schema)
+    keep = [c for c in keep if c != "score"]
+    schema = StructType([docs.schema[c] for c in keep]).add("score", DoubleType())
+    given = docs.select(*dict.fromkeys([*keep, "text"]))
+    return given.mapInArrow(lambda it: N.scored(it, *model.value, keep, SLICE_BYTES), schema)

@@ -188,13 +188,13 @@ def fit(x: np.ndarray, y: np.ndarray, units: int = 32, epochs: int = 60, seed: i
     return Net(centre, scale, w[0], w[1], w[2], float(w[3][0]), best)
 
 
-def scored(batches, table: np.ndarray, weights: dict, limit: int):
-    """Arrow batches (text, anything else) to (anything else, score)."""
+def scored(batches, table: np.ndarray, weights: dict, keep: list[str], limit: int):
+    """Arrow batches with a column ``text`` to the columns ``keep`` and the score."""
     import pyarrow as pa
 
     net = Net(**weights)
     for batch in batches:
-        for first, last, data, offsets in A.text_slices(batch.column(0), limit):
+        for first, last, data, offsets in A.text_slices(batch.column("text"), limit):
             score = np.round(net.score(pooled(data, offsets, table)), 6)
-            rest = [c.slice(first, last - first) for c in batch.columns[1:]]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(score)], [*batch.schema.names[1:], "score"])
+            rest = [batch.column(c).slice(first, last - first) for c in keep]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(score)], [*keep, "score"])
