@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mailgrain.llm import chat, decontaminate, imatch, near_dedup, piece_sampling, quality, secret_scan, sharding, token_counts, warc
+from mailgrain.llm.oracles import ORACLES  # noqa: F401
 from mailgrain.llm.tables import table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +92,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_benchmark_decontamination, op2_quality_classifier, op3_minhash_near_dedup, op4_secret_scans, op5_document_fingerprints, op6_sharding, op7_warc, op8_chat_formatting, op9_sentencepiece, op10_token_counts)
-}
-ORACLES: dict[str, str] = {}
+    f.__name__: f
+    for f in (
+        op1_benchmark_decontamination, op2_quality_classifier, op3_minhash_near_dedup, op4_secret_scans,
+        op5_document_fingerprints, op6_sharding, op7_warc, op8_chat_formatting, op9_sentencepiece, op10_token_counts,
+    )
+}
