@@ -7,17 +7,18 @@ from pyspark.sql import DataFrame, functions as F
 from mailgrain.llm.tables import stored
 
 
+def _jump(hooks: DataFrame) -> DataFrame:
+    above = hooks.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
+    moved = F.col("moved") | F.col("above").isNotNull()
+    return hooks.join(above, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"), moved.alias("moved"))
+
+
 def _roots(hooks: DataFrame) -> DataFrame:
-    """Follow ``node -> parent`` (parent < node) to the end; each pass doubles the distance covered."""
+    """Follow ``node -> parent`` (parent < node) to the end; each jump doubles the distance covered."""
     while True:
-        above = hooks.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-        step = hooks.join(above, "parent", "left").select(
-            "node", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")
-        )
-        step = stored(step, "roots")
-        moved = step.filter("moved").limit(1).count()
+        step = stored(_jump(_jump(hooks.withColumn("moved", F.lit(False)))), "roots")
         hooks = step.select("node", "parent")
-        if not moved:
+        if not step.filter("moved").limit(1).count():
             return hooks
 
 

@@ -13,9 +13,9 @@ shingles of five words (fewer words: the whole sequence; none: empty). Two texts
    the first round each class uses only the smallest fitting centre of all its buckets, in the second the one
    that shares most. Pairs are compared on the full sets, and confirmed links join classes to components.
 5. A star can miss a link between two members that are both unlike the centre. So a bucket whose members
-   lie in different components goes on with new centres, the best linked first and 16 times as many each
-   round, paired only with fitting members of other components, until it lies in one component or every member
-   was a centre. What two members have in common with the same second-round centre bounds their intersection
+   lie in different components goes on with new centres, the best linked first and many more each round,
+   paired only with fitting members of other components, until it lies in one component or every member was
+   a centre. What two members have in common with the same second-round centre bounds their intersection
    further. No bucket is capped.
 
 Defined results: null and empty texts, and texts of white space, have no shingles, are linked with
@@ -35,6 +35,8 @@ WIDTH, PER_CENT = 5, 75
 #: At a similarity of 0.75 a pair shares no bucket with probability (1 - 0.75**4)**40, about 3e-7.
 BANDS, ROWS = 40, 4
 SLICE_BYTES = 2 << 20
+#: Centres of a bucket in the first star round, and how many times as many in each next one.
+FIRST_CENTRES, MORE_CENTRES = 64, 1024
 #: Pairs per copy of a text that many pairs need.
 LOAD = 1000
 
@@ -62,8 +64,8 @@ def classes_of(rows: DataFrame) -> DataFrame:
 
 
 def bucket_members(classes: DataFrame) -> DataFrame:
-    """``band, node`` of buckets with more than one class."""
-    entries = classes.select("node", F.explode("bands").alias("band"))
+    """``band, place, node`` of buckets with more than one class; ``place`` is the band's number."""
+    entries = classes.select("node", F.posexplode("bands").alias("place", "band"))
     shared = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
     return stored(entries.join(shared, "band"), "buckets")
 
@@ -118,16 +120,29 @@ def first_pairs(members: DataFrame) -> DataFrame:
     )
 
 
-def mixed_buckets(members: DataFrame, labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of buckets that span components, with their component and number of confirmed links."""
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, root`` after new links (a, b): only their ends' components are joined, however large those are."""
+    ends = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).distinct()
+    fresh = ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("root"))
+    labels = stored(labels.unionByName(fresh), "labels")
+    edges = links
+    for end in ("a", "b"):
+        to = labels.select(F.col("node").alias(end), F.col("root").alias("to"))
+        edges = edges.join(to, end).withColumn(end, F.col("to")).drop("to")
+    moves = components(stored(edges.filter("a != b").distinct(), "edges"))
+    moves = moves.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    return stored(labels.join(moves, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels")
+
+
+def degrees(links: DataFrame) -> DataFrame:
     ends = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node")))
-    degrees = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    kept = [c for c in members.columns if c not in ("root", "degree")]
-    labelled = (
-        members.select(kept)
-        .join(labels.join(degrees, "node", "left"), "node", "left")
-        .select(*kept, F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
-    )
+    return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+
+
+def mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that span components, with their component."""
+    kept = [c for c in members.columns if c != "root"]
+    labelled = members.select(kept).join(labels, "node", "left").select(*kept, F.coalesce("root", "node").alias("root"))
     mixed = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     return stored(labelled.join(mixed.filter("low < high").select("band"), "band"), "mixed")
 
@@ -139,7 +154,7 @@ def _best() -> Column:
 def pivots_of(mixed: DataFrame) -> DataFrame:
     """``node, pivot``: of all members of a class's buckets the one with the largest shared part, which is
     that of a text of which the others are edited copies."""
-    order = F.struct((F.col("shared") / F.col("size")).alias("part"), *(F.col(c) for c in ("degree", "size", "node")))
+    order = F.struct((F.col("shared") / F.col("size")).alias("part"), "size", "node")
     best = mixed.groupBy("band").agg(F.max(order).alias("best"))
     return stored(
         mixed.select("band", "node").join(best, "band").groupBy("node").agg(F.max("best").alias("best"))
@@ -157,12 +172,20 @@ def next_centres(mixed: DataFrame, used: DataFrame | None, per_bucket: int) -> D
     return stored(picked.select("band", "c.best.node", *(f"c.{r}" for r in rest)), "centres")
 
 
-def star_pairs(mixed: DataFrame, centres: DataFrame, tried: DataFrame) -> DataFrame:
-    """Centres with the fitting members of other components, without pairs already compared."""
-    hubs = centres.select("band", F.struct(*(c for c in centres.columns if c != "band")).alias("hub"))
+def star_pairs(mixed: DataFrame, centres: DataFrame, classes: DataFrame, tried: DataFrame) -> DataFrame:
+    """Centres with the fitting members of other components, without pairs already compared.
+
+    Two classes meet in every bucket they share. Their pair comes from the first of these, where each is a centre
+    sooner or later, and not from the others.
+    """
+    keys = classes.select("node", "bands")
+    hubs = centres.join(keys, "node").select("band", F.struct(*(c for c in centres.columns if c != "band"), "bands").alias("hub"))
+    before = lambda bands: F.slice(bands, F.lit(1), F.col("place"))
+    met = F.arrays_overlap(before(F.col("bands")), before(F.col("hub.bands")))
     pairs = (
-        mixed.join(hubs, "band")
-        .filter((F.col("root") != F.col("hub.root")) & _fits("", "hub.", pivots=True))
+        mixed.join(keys, "node")
+        .join(hubs, "band")
+        .filter((F.col("root") != F.col("hub.root")) & _fits("", "hub.", pivots=True) & ~met)
         .select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b"))
         .distinct()
     )
@@ -221,31 +244,35 @@ def near_groups(docs: DataFrame) -> DataFrame:
     members = with_shared(members, classes, texts)
     tried = stored(first_pairs(members), "pairs")
     links = stored(compared(texts, tried), "links").filter("linked").select("a", "b")
-    labels = stored(components(links), "components")
-    members = mixed_buckets(members, labels, links)
+    labels = stored(components(links), "labels")
+    members = mixed_buckets(members, labels)
     pivots = pivots_of(members)
     pairs = stored(pivots.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")), "pairs")
     found = stored(compared(texts, pairs), "links")
-    links = links.unionByName(found.filter("linked").select("a", "b")).distinct()
-    labels = stored(components(links), "components")
+    new = found.filter("linked").select("a", "b")
+    labels = merged(labels, new)
     tried = tried.unionByName(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    inside = pivots.join(found.select(F.col("b").alias("node"), F.col("both").alias("inside")), "node", "left")
-    members = members.join(inside, "node").withColumn("inside", F.coalesce("inside", "shared"))
-    used, per_bucket = None, 16
+    known = pivots.join(found.select(F.col("b").alias("node"), F.col("both").alias("inside")), "node", "left")
+    known = known.join(degrees(links.unionByName(new)), "node", "left")
+    members = members.join(known, "node").withColumns(
+        {"inside": F.coalesce("inside", "shared"), "degree": F.coalesce("degree", F.lit(0))}
+    )
+    members = mixed_buckets(members, labels)
+    used, per_bucket = None, FIRST_CENTRES
     while True:
-        members = mixed_buckets(members, labels, links)
         centres = next_centres(members, used, per_bucket)
         if not centres.limit(1).count():
             break
-        pairs = stored(star_pairs(members, centres, tried), "pairs")
+        pairs = stored(star_pairs(members, centres, classes, tried), "pairs")
         if pairs.limit(1).count():
-            found = stored(compared(texts, pairs), "links")
-            links = links.unionByName(found.filter("linked").select("a", "b"))
-            labels = stored(components(links), "components")
+            new = stored(compared(texts, pairs), "links").filter("linked").select("a", "b")
             tried = tried.unionByName(pairs)
+            if new.limit(1).count():
+                labels = merged(labels, new)
+                members = mixed_buckets(members, labels)
         centres = centres.select("band", "node")
         used = centres if used is None else used.unionByName(centres)
-        per_bucket *= 16
+        per_bucket *= MORE_CENTRES
     named = classes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = named.join(smallest, "root").select("set_one", "set_two", F.col("root").alias("component"), "component_id")
