@@ -7,6 +7,10 @@ from pyspark.sql import Column, functions as F
 from mailgrain.functions.text import let, strip
 
 
+# A private character that sets genuine replacement characters apart from repaired bytes.
+_ESCAPE = "\ue000"
+
+
 def header_map(headers: Column) -> Column:
     """Name/value pairs to a map with lower-cased names; the last of a repeated name wins.
 
@@ -44,9 +48,14 @@ def decode_strict(data: Column) -> Column:
 
 
 def decode_lenient(data: Column) -> Column:
-    """Text without the bytes that are no valid UTF-8."""
-    raw = decode_bytes(data)
-    return F.when(F.is_valid_utf8(raw), raw).otherwise(F.translate(F.make_valid_utf8(raw), "�", ""))
+    """Text without the bytes that are no valid UTF-8; a replacement character of the text itself stays."""
+
+    def repaired(raw: Column) -> Column:
+        marked = F.replace(F.replace(raw, F.lit(_ESCAPE), F.lit(_ESCAPE + "0")), F.lit("\ufffd"), F.lit(_ESCAPE + "1"))
+        kept = F.replace(F.make_valid_utf8(marked), F.lit("\ufffd"), F.lit(""))
+        return F.replace(F.replace(kept, F.lit(_ESCAPE + "1"), F.lit("\ufffd")), F.lit(_ESCAPE + "0"), F.lit(_ESCAPE))
+
+    return let(decode_bytes(data), lambda raw: F.when(F.is_valid_utf8(raw), raw).otherwise(repaired(raw)))
 
 
 def _parts(payload: Column, mime: str) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mailgrain.functions import features as X
-from mailgrain.functions.text import found, has, has_any, labelled
-from mailgrain.operators.joins import copied_join, salted_join
+from mailgrain.functions.text import found, has, has_any, labelled, let
+from mailgrain.operators.joins import copied_join, identity, salted_join
 
 # Default weights of the two weighted classifiers, in the order they are checked.
 RATIO_WEIGHTS = {
@@ -67,8 +67,16 @@ IMPORTANT_WORDS = ["urgent", "meeting"]
 SPAM_WORDS = ["loan", "mortgage", "credit"]
 
 
+def any_case(headers: Column, name: str) -> Column:
+    """The value of a header whatever the case of its name; of several the first."""
+    fitting = F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == name)
+    return F.get(fitting, 0)["value"]
+
+
 def shows(body: Column, name: str) -> Column:
-    """Whether a named body pattern matches; never NULL."""
+    """Whether a body pattern matches; never NULL. A name that is not known is an expression itself."""
+    if name not in BODY_PATTERNS:
+        return found(body, name)
     return has(body, NEEDED[name]) & found(body, BODY_PATTERNS[name])
 
 
@@ -140,7 +148,7 @@ def classify_additive(mail: DataFrame) -> DataFrame:
     campaign = F.exists(
         "_names", lambda n: F.startswith(n, F.lit("x-marketing")) | F.startswith(n, F.lit("x-campaign"))
     )
-    bulk = has(F.lower(headers["precedence"]), "bulk")
+    bulk = has(F.lower(any_case(headers, "precedence")), "bulk")
     checks = [
         (F.array_contains("_names", "list-unsubscribe"), "list-unsubscribe", 0.8),
         (bulk, "precedence: bulk", 0.9),
@@ -175,48 +183,57 @@ def confidence_band(score: Column, low: float = LOW, high: float = HIGH) -> Colu
 
 
 def message_hits(keywords: list[str], patterns: list[str]) -> Column:
-    """``category:pattern`` of the header names, keywords and patterns one message shows; needs
-    ``with_lowered``."""
-    names = F.transform(F.array_distinct("_names"), lambda n: F.concat(F.lit("headers:"), n))
-    words = [F.when(has(F.col("_low"), k), F.lit(f"keywords:{k}")) for k in keywords]
-    regexes = [F.when(shows(F.col("body_text"), p), F.lit(f"patterns:{p}")) for p in patterns]
-    return F.array_compact(F.concat(names, F.array(*words, *regexes)))
-
-
-def classify_learned(
-    mail: DataFrame,
-    weights: DataFrame,
-    keywords: list[str] | None = None,
-    patterns: list[str] | None = None,
-) -> DataFrame:
+    """``(tag, ratio, mean)`` of the header names, keywords and patterns one message shows; needs ``with_lowered``.
+
+    A tag is ``category:pattern``. Header names count in lower case for the ratio and as written for the mean.
+    """
+    entry = lambda tag, ratio, mean: F.struct(
+        tag.alias("tag"), F.lit(ratio).alias("ratio"), F.lit(mean).alias("mean")
+    )
+    named = lambda n: F.concat(F.lit("headers:"), n)
+    written = F.coalesce(F.map_keys("headers"), F.array().cast("array<string>"))
+    lowered = F.transform(F.array_distinct("_names"), lambda n: entry(named(n), True, False))
+    as_written = F.transform(written, lambda n: entry(named(n), False, True))
+    words = [F.when(has(F.col("_low"), k), entry(F.lit(f"keywords:{k}"), True, True)) for k in keywords]
+    regexes = [F.when(shows(F.col("body_text"), p), entry(F.lit(f"patterns:{p}"), True, True)) for p in patterns]
+    tests = words + regexes
+    return F.concat(lowered, as_written, F.array_compact(F.array(*tests))) if tests else F.concat(lowered, as_written)
+
+
+def classify_learned(mail: DataFrame, weights: DataFrame) -> DataFrame:
     """Both weighted classifiers with a weight table instead of fixed weights.
 
-    Returns ``message_id``, ``hits``, ``ratio_score``, ``ratio_bot``, ``mean_score``, ``mean_bot``.
-    Hits are joined to the weights, since learned header names are unbounded; names such as
-    ``from`` sit in every message, so each weight is copied to several partitions. A message's weights are added in a fixed
-    order, and their number is bounded by its own header.
+    Returns the message's identity, ``hits``, ``ratio_score``, ``ratio_bot``, ``mean_score``, ``mean_bot``.
+    Keywords and expressions are those of the table, whatever was learned or added; each is tested in place, so
+    their texts are read first, by one small job. Header names are unbounded and joined; names such as ``from``
+    sit in every message, so each weight is copied to several partitions. A message's weights are added in a
+    fixed order, and their number is bounded by the message.
     """
-    keywords = list(RATIO_WEIGHTS["keywords"]) if keywords is None else keywords
-    patterns = list(RATIO_WEIGHTS["patterns"]) if patterns is None else patterns
+    table = weights.filter(F.col("category").isin(READ_CATEGORIES)).select("category", "pattern", "weight")
+    tested = table.filter("category != 'headers'").select("category", "pattern").distinct().orderBy("category", "pattern")
+    tests = {kind: [] for kind in READ_CATEGORIES}
+    for row in tested.toLocalIterator():
+        tests[row["category"]].append(row["pattern"])
+    keys = identity(mail)
     hits = with_lowered(mail).select(
-        "message_id",
+        *keys,
         (F.length("body_text") > 1000).alias("_long"),
-        F.explode_outer(message_hits(keywords, patterns)).alias("tag"),
-    )
-    table = weights.filter(F.col("category").isin(READ_CATEGORIES)).select(
-        F.concat_ws(":", "category", "pattern").alias("tag"), "weight"
+        F.explode_outer(message_hits(tests["keywords"], tests["patterns"])).alias("h"),
     )
-    joined = copied_join(hits, table, ["tag"], F.col("message_id"), "left")
-    known = F.when(F.col("weight").isNotNull(), F.struct("tag", "weight"))
-    folded = joined.groupBy("message_id", "_long").agg(F.array_sort(F.collect_list(known)).alias("w"))
-    total = F.aggregate("w", F.lit(0.0), lambda acc, x: acc + x["weight"])
+    tagged = table.select(F.concat_ws(":", "category", "pattern").alias("tag"), "weight")
+    joined = copied_join(hits.select(*keys, "_long", "h.*"), tagged, ["tag"], F.xxhash64(*keys), "left")
+    known = F.when(F.col("weight").isNotNull(), F.struct("tag", "weight", "ratio", "mean"))
+    folded = joined.groupBy(*keys, "_long").agg(F.array_sort(F.collect_list(known)).alias("w"))
+    of = lambda kind: F.filter("w", lambda x: x[kind])
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x["weight"])
     bonus = F.when(F.col("_long"), 0.1).otherwise(0.0)
+    ratio = F.when(total(of("ratio")) > 0, 1.0).otherwise(0.0)
     return (
         folded.select(
-            "message_id",
-            F.size("w").alias("hits"),
-            F.least(F.when(total > 0, 1.0).otherwise(0.0) + bonus, F.lit(1.0)).alias("ratio_score"),
-            F.coalesce(F.try_divide(total, F.size("w")), F.lit(0.0)).alias("mean_score"),
+            *keys,
+            F.size(of("ratio")).alias("hits"),
+            F.least(ratio + bonus, F.lit(1.0)).alias("ratio_score"),
+            let(of("mean"), lambda xs: F.coalesce(F.try_divide(total(xs), F.size(xs)), F.lit(0.0))).alias("mean_score"),
         )
         .withColumn("ratio_bot", F.col("ratio_score") > 0.5)
         .withColumn("mean_bot", F.col("mean_score") > 0.5)
@@ -224,22 +241,24 @@ def classify_learned(
 
 
 def flag_importance(mail: DataFrame, whitelist: DataFrame) -> DataFrame:
-    """Important by known sender, by word, or by being part of a reply chain.
+    """Important by known sender, by word, or by being part of a reply chain of its account.
 
     ``whitelist`` has one column, ``sender``. Thread sizes are counted before they are joined, and
     both joins spread hot keys, for a sender or thread may hold much of the mailbox.
     """
-    threads = mail.groupBy("thread_id").agg((F.count(F.lit(1)) > 1).alias("in_chain"))
+    keys = identity(mail)
+    thread = [k for k in keys if k != "message_id"] + ["thread_id"]
+    threads = mail.groupBy(*thread).agg((F.count(F.lit(1)) > 1).alias("in_chain"))
     known = whitelist.select("sender").distinct().withColumn("known_sender", F.lit(True))
     words = F.lower(F.concat_ws(" ", "subject", "body_text"))
-    marked = mail.select("message_id", "thread_id", "sender", has_any(words, IMPORTANT_WORDS).alias("has_word"))
-    spread = F.col("message_id")
+    marked = mail.select(*keys, "thread_id", "sender", has_any(words, IMPORTANT_WORDS).alias("has_word"))
+    spread = F.xxhash64(*keys)
     joined = copied_join(marked, known, ["sender"], spread, "left")
-    joined = salted_join(joined, threads, ["thread_id"], spread, "left")
+    joined = salted_join(joined, threads, thread, spread, "left")
     known_sender = F.coalesce("known_sender", F.lit(False))
     in_chain = F.coalesce("in_chain", F.lit(False))
     return joined.select(
-        "message_id",
+        *keys,
         known_sender.alias("known_sender"),
         "has_word",
         in_chain.alias("in_chain"),
@@ -250,9 +269,10 @@ def flag_importance(mail: DataFrame, whitelist: DataFrame) -> DataFrame:
 def unsubscribe_targets(classified: DataFrame) -> DataFrame:
     """Work list of unsubscribe links for bot mail and spam; nothing is sent."""
     spam = has_any(F.lower("body_text"), SPAM_WORDS)
-    targets = F.regexp_extract_all(F.col("headers")["list-unsubscribe"], F.lit(r"<([^<>]+)>"), F.lit(1))
+    header = any_case(F.col("headers"), "list-unsubscribe")
+    targets = F.regexp_extract_all(header, F.lit(r"<([^<>]+)>"), F.lit(1))
     return (
-        classified.filter((F.col("is_bot") | spam) & F.map_contains_key("headers", "list-unsubscribe"))
-        .select("message_id", "sender", F.explode(targets).alias("target"))
+        classified.filter((F.col("is_bot") | spam) & header.isNotNull())
+        .select(*identity(classified), "sender", F.explode(targets).alias("target"))
         .withColumn("method", F.when(F.startswith("target", F.lit("mailto:")), "mail").otherwise("web"))
     )

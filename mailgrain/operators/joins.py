@@ -55,12 +55,27 @@ def copied_join(
     return big.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
-def pick_per_key(rows: DataFrame, keys: list[str], seq: str, latest: bool) -> DataFrame:
-    """Whole rows with the first or last ``seq`` of each key.
+#: What tells messages apart; ids and threads are unique within an account only.
+IDENTITY = ["provider", "account", "message_id"]
 
-    Only keys and ``seq`` are aggregated, partly before the shuffle. The rows are then fetched by
-    ``seq``, which is unique, so a key with a third of all rows loads no single task.
+
+def identity(rows: DataFrame) -> list[str]:
+    """The identity columns that a table has; one without provider or account holds one mailbox."""
+    return [c for c in IDENTITY if c in rows.columns]
+
+
+def pick_per_key(rows: DataFrame, keys: list[str], order: list[str], latest: bool) -> DataFrame:
+    """Whole rows that come first or last in ``order`` for their key; ``order`` must tell a key's rows apart.
+
+    Only keys and order are aggregated, partly before the shuffle. The rows are then fetched by both
+    together, so a key with a third of all rows loads no single task.
     """
-    end = F.max(seq) if latest else F.min(seq)
-    wanted = rows.groupBy(*keys).agg(end.alias(seq)).select(seq)
-    return rows.join(wanted, seq, "left_semi")
+    end = F.max if latest else F.min
+    wanted = rows.groupBy(*keys).agg(end(F.struct(*order)).alias("_end"))
+    wanted = wanted.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.col(f"_end.{c}").alias(f"_o{i}") for i, c in enumerate(order)])
+    same = F.lit(True)
+    for i, name in enumerate(keys):
+        same = same & F.col(name).eqNullSafe(F.col(f"_k{i}"))
+    for i, name in enumerate(order):
+        same = same & F.col(name).eqNullSafe(F.col(f"_o{i}"))
+    return rows.join(wanted, same, "left_semi")

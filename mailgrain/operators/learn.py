@@ -8,6 +8,7 @@ from mailgrain import schemas
 from mailgrain.functions import features as X
 from mailgrain.functions.text import exploded, has
 from mailgrain.operators.classify import RATIO_WEIGHTS, shows, with_lowered
+from mailgrain.sources.mailstore import folders_between
 
 # Weight per unit of frequency, for each category of patterns.
 MULTIPLIERS = {
@@ -46,9 +47,10 @@ FLAT_MULTIPLIER = 2.0
 
 
 def in_window(mail: DataFrame, as_of: Column, months_back: int = 24) -> DataFrame:
-    """Mail of the last ``months_back`` months of 30 days; ``as_of`` is an input, never the clock."""
+    """Mail of the last ``months_back`` months of 30 days; ``as_of`` is an input, never the clock. Of a
+    date-partitioned table only the window's folders are read."""
     start = as_of - F.make_dt_interval(days=F.lit(30 * months_back))
-    return mail.filter((F.col("date_received") >= start) & (F.col("date_received") <= as_of))
+    return folders_between(mail, start, as_of).filter((F.col("date_received") >= start) & (F.col("date_received") <= as_of))
 
 
 def _tag(category: str, pattern: Column | str) -> Column:

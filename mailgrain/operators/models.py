@@ -91,8 +91,9 @@ def model_metrics(judged: DataFrame) -> DataFrame:
     )
 
 
-def feature_importance_top(scores: DataFrame, versions: DataFrame, size: int = 20) -> DataFrame:
-    """Best features of the active model. ``scores``: version, feature_name, importance_score."""
+def feature_importance_top(scores: DataFrame, versions: DataFrame, size: int | None = None) -> DataFrame:
+    """Features of the active model, best first. ``scores``: version, feature_name, importance_score."""
     active = versions.filter("is_active").select("version").distinct()
     ranked = scores.join(active, "version", "left_semi")
-    return ranked.orderBy(F.col("importance_score").desc(), F.col("feature_name")).limit(size)
+    ordered = ranked.orderBy(F.col("importance_score").desc(), F.col("feature_name"))
+    return ordered if size is None else ordered.limit(size)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from mailgrain.functions import features as X
 from mailgrain.functions.text import exploded
-from mailgrain.operators.classify import classify_additive
+from mailgrain.operators.classify import any_case, classify_additive
 
 # List lengths printed and saved, and the bounds of the advice tiers.
 PRINTED = {"senders": 15, "domains": 15, "indicators": 15, "words": 20}
@@ -22,7 +22,7 @@ def analysed(mail: DataFrame) -> DataFrame:
         X.sender_domain_report(F.col("sender")).alias("sender_domain"),
         "subject",
         F.coalesce(F.length("body_text"), F.lit(0)).alias("body_length"),
-        X.hour_header(F.col("headers")["date"]).alias("hour"),
+        X.hour_header(any_case(F.col("headers"), "date")).alias("hour"),
         "score",
         "is_bot",
         "indicators",
@@ -98,8 +98,9 @@ def _counted(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _top(counts: DataFrame, size: int | None) -> DataFrame:
-    """Most frequent first; equal counts in order of first sight."""
-    ordered = counts.orderBy(F.col("n").desc(), F.col("first_at"))
+    """Most frequent first; equal counts in order of first sight, then by what is counted."""
+    names = [c for c in counts.columns if c not in ("n", "first_at", "chars")]
+    ordered = counts.orderBy(F.col("n").desc(), F.col("first_at"), *names)
     return ordered if size is None else ordered.limit(size)
 
 
@@ -167,7 +168,8 @@ def report_counts(rows: DataFrame) -> DataFrame:
 def report_sections(counts: DataFrame) -> DataFrame:
     """The saved report as ``(section, rank, key, value)``, from stored ``report_counts``.
 
-    Ranks are numbered only over lists that a limit, or the handful of indicator labels, bounds.
+    Ranks are numbered over lists that a limit bounds, and over the indicators: nine labels, and one for each
+    number of links that occurs.
     """
     kinds = counts.filter(F.col("section") == "kind")
     number = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
@@ -196,7 +198,7 @@ def report_sections(counts: DataFrame) -> DataFrame:
             )
         ).alias("e")
     ).select("e.section", F.lit(None).cast("int").alias("rank"), "e.key", "e.value")
-    by_rank = Window.partitionBy("section").orderBy(F.col("n").desc(), F.col("first_at"))
+    by_rank = Window.partitionBy("section").orderBy(F.col("n").desc(), F.col("first_at"), F.col("key"))
     lists = None
     for section, size in [
         ("top_senders", SAVED["senders"]),

@@ -2,43 +2,43 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mailgrain.functions.text import exploded
-from mailgrain.operators.joins import copied_join
+from mailgrain.operators.joins import copied_join, identity
 
 
-def _contained(texts: DataFrame, few: int) -> tuple[Column, Callable[[Column], Column]]:
-    """What to know of the rules' subject texts, and how to list those a subject contains.
+#: A text's pieces by which a subject finds the rules it may contain.
+PIECE = 3
 
-    Up to ``few`` texts, counted first, are simply tested one by one. Beyond, a subject is cut into
-    all its pieces that are as long as some text: each text it contains is one of them, and the
-    join tells which. Pieces of one length come from one linear pass, a match of nothing at each
-    place that looks ahead.
-    """
-    if texts.limit(few + 1).count() <= few:
-        known = texts.agg(F.collect_set("condition_value")).scalar()
-        return known, lambda subject: F.filter("_known", lambda t: F.contains(subject, t))
-    known = texts.agg(F.collect_set(F.length("condition_value"))).scalar()
-    ahead = lambda n: F.concat(F.lit("(?s)(?=(.{"), n.cast("string"), F.lit("}))"))
-    pieces = lambda subject, n: F.array_distinct(
-        F.regexp_extract_all(subject, ahead(n), F.lit(1))
-    )
-    return known, lambda subject: F.flatten(F.transform("_known", lambda n: pieces(subject, n)))
+
+def _pieces(text: Column, length: int) -> Column:
+    """All pieces of one length, from one linear pass: a match of nothing at each place that looks ahead."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1)))
 
 
-def apply_rules(mail: DataFrame, rules: DataFrame, few: int = 256) -> DataFrame:
+def _rule_pieces(rules: DataFrame) -> DataFrame:
+    """Subject rules with the one piece of their text, ``piece``, that the fewest rules have."""
+    text = F.col("condition_value")
+    pieces = F.when(F.length(text) >= PIECE, _pieces(text, PIECE)).otherwise(F.array(text))
+    each = rules.select("condition_value", "action_type", "rule", F.explode(pieces).alias("piece"))
+    often = each.groupBy("piece").agg(F.count_distinct("condition_value").alias("n"))
+    rarest = F.min(F.struct("n", "piece")).alias("r")
+    chosen = each.join(often, "piece").groupBy("condition_value", "action_type").agg(rarest, F.first("rule").alias("rule"))
+    return chosen.select("condition_value", "action_type", "rule", "r.piece")
+
+
+def apply_rules(mail: DataFrame, rules: DataFrame) -> DataFrame:
     """The first matching rule per message and action type; lower priority numbers go first.
 
-    A message offers its sender, domain, category and subject texts, so every condition becomes an
-    equality and no message is paired with a rule it does not match. Subject rules ignore case.
-    Rules with the same condition and action type are reduced to the first before the join: the
-    others could never be first.
+    Every condition becomes an equality, so no message is paired with all rules: a message offers its sender,
+    domain and category, and the pieces of its subject of up to three characters. A subject rule is found by the
+    piece of its text that the fewest rules have, and then tested whole, case ignored. Rules with the same condition
+    and action type are reduced to the first before the join: the others could never be first.
 
-    ``mail``: message_id, sender, domain, category, subject.
+    ``mail``: its identity, sender, domain, category, subject.
     """
+    keys = identity(mail)
     by_subject = F.col("condition_type") == "subject_contains"
     value = F.when(by_subject, F.lower("condition_value")).otherwise(F.col("condition_value"))
     first = F.min(F.struct("priority", "id", "action_value"))
@@ -47,24 +47,18 @@ def apply_rules(mail: DataFrame, rules: DataFrame, few: int = 256) -> DataFrame:
         .groupBy("condition_type", value.alias("condition_value"), "action_type")
         .agg(first.alias("rule"))
     )
-    known, contained = _contained(active.filter(by_subject).select("condition_value").distinct(), few)
     entry = lambda kind, v: F.struct(F.lit(kind).alias("condition_type"), v.alias("condition_value"))
-    offers = F.concat(
-        F.array(*[entry(kind, F.col(kind)) for kind in ("sender", "domain", "category")]),
-        F.coalesce(
-            F.transform(contained(F.col("_text")), lambda p: entry("subject_contains", p)),
-            F.array().cast("array<struct<condition_type:string,condition_value:string>>"),
-        ),
-    )
-    told = mail.withColumns({"_known": known, "_text": F.lower("subject")})
-    offered = exploded(told, offers, "o", "message_id").select("message_id", "o.*")
-    matched = copied_join(
-        offered.filter(F.col("condition_value").isNotNull()),
-        active,
-        ["condition_type", "condition_value"],
-        F.col("message_id"),
+    offers = F.array(*[entry(kind, F.col(kind)) for kind in ("sender", "domain", "category")])
+    offered = exploded(mail, offers, "o", *keys).select(*keys, "o.*").filter(F.col("condition_value").isNotNull())
+    equal = copied_join(offered, active.filter(~by_subject), ["condition_type", "condition_value"], F.xxhash64(*keys))
+    lowered = mail.select(*keys, F.lower("subject").alias("_text"))
+    pieces = F.flatten(F.array(*[_pieces(F.col("_text"), n) for n in range(1, PIECE + 1)]))
+    near = copied_join(
+        exploded(lowered, pieces, "piece", *keys, "_text"), _rule_pieces(active.filter(by_subject)), ["piece"], F.xxhash64(*keys)
     )
-    chosen = matched.groupBy("message_id", "action_type").agg(F.min("rule").alias("rule"))
+    held = near.filter(F.contains("_text", F.col("condition_value")))
+    matched = equal.select(*keys, "action_type", "rule").unionByName(held.select(*keys, "action_type", "rule"))
+    chosen = matched.groupBy(*keys, "action_type").agg(F.min("rule").alias("rule"))
     return chosen.select(
-        "message_id", "action_type", F.col("rule.id").alias("rule_id"), F.col("rule.action_value").alias("action_value")
+        *keys, "action_type", F.col("rule.id").alias("rule_id"), F.col("rule.action_value").alias("action_value")
     )

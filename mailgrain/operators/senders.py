@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mailgrain.functions.features import mail_preview, sender_domain_store
+from mailgrain.operators.joins import identity
 
 # Our scale for the mean of user priorities.
 PRIORITY_VALUES = {"critical": 5, "important": 4, "normal": 3, "low": 2, "archive": 1}
@@ -84,7 +85,7 @@ def notify_feed(mail: DataFrame, flags: DataFrame, minutes: int = COOLDOWN_MINUT
     return no account's mail is ever walked through in order by one task. Lines are cut to size
     before the join, so no body is shuffled.
     ``mail``: account, message_id, sender, subject, body_text, date_received, seq.
-    ``flags``: message_id, is_important, unique per message.
+    ``flags``: the message's identity and is_important, unique per message.
     """
     line = F.concat_ws(
         " | ",
@@ -94,8 +95,8 @@ def notify_feed(mail: DataFrame, flags: DataFrame, minutes: int = COOLDOWN_MINUT
     )
     first = F.min(F.struct("date_received", "seq", "message_id", "line"))
     return (
-        mail.select("account", "date_received", "seq", "message_id", line.alias("line"))
-        .join(flags.filter("is_important").select("message_id"), "message_id", "left_semi")
+        mail.select(*identity(mail), "date_received", "seq", line.alias("line"))
+        .join(flags.filter("is_important"), identity(flags), "left_semi")
         .groupBy("account", F.window("date_received", f"{minutes} minutes").alias("w"))
         .agg(first.alias("f"))
         .select("account", "f.message_id", F.col("f.date_received").alias("sent_at"), "f.line")

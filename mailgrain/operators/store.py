@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mailgrain.functions.features import content_hash
-from mailgrain.operators.joins import pick_per_key
-
-# Default lengths of the two work queues.
-UNPROCESSED_LIMIT, REVIEW_LIMIT = 100, 50
+from mailgrain.operators.joins import identity, pick_per_key, salted_join
+from mailgrain.sources.mailstore import folders_between
 
 
 def latest_saves(saves: DataFrame) -> DataFrame:
-    """Upsert by message: the last save replaces the whole row. ``ingest_seq`` is unique."""
-    return pick_per_key(saves, ["message_id"], "ingest_seq", latest=True)
+    """Upsert by message: the last save replaces the whole row. Saves of one message with one ``ingest_seq``
+    are ordered by their date."""
+    return pick_per_key(saves, identity(saves), ["ingest_seq", "date_received"], latest=True)
 
 
 def by_ids(mail: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -41,8 +40,8 @@ def with_store_defaults(mail: DataFrame) -> DataFrame:
 
 
 def _last(updates: DataFrame, fields: list[str]) -> DataFrame:
-    newest = F.max_by(F.struct(*fields), "update_seq")
-    return updates.groupBy("message_id").agg(newest.alias("u"))
+    newest = F.max_by(F.struct(*fields), F.struct("update_seq", *fields))
+    return updates.groupBy(*identity(updates)).agg(newest.alias("u"))
 
 
 def apply_classification(store: DataFrame, updates: DataFrame) -> DataFrame:
@@ -63,7 +62,7 @@ def apply_classification(store: DataFrame, updates: DataFrame) -> DataFrame:
         "is_processed": F.lit(True),
         "date_processed": F.col("u.updated_at"),
     }
-    joined = store.join(_last(updates, fields), "message_id", "left")
+    joined = store.join(_last(updates, fields), identity(updates), "left")
     return joined.select(*[pick(changed[c], c) if c in changed else F.col(c) for c in store.columns])
 
 
@@ -80,48 +79,58 @@ def apply_feedback(store: DataFrame, feedback: DataFrame) -> DataFrame:
         "feedback_date": F.col("u.given_at"),
         "needs_review": F.lit(False),
     }
-    joined = store.join(_last(feedback, ["priority", "category", "given_at"]), "message_id", "left")
+    joined = store.join(_last(feedback, ["priority", "category", "given_at"]), identity(feedback), "left")
     return joined.select(*[pick(changed[c], c) if c in changed else F.col(c) for c in store.columns])
 
 
-def _newest(rows: DataFrame, size: int) -> DataFrame:
-    return rows.orderBy(F.col("date_received").desc(), F.col("message_id")).limit(size)
+def _newest(rows: DataFrame, size: int | None) -> DataFrame:
+    ordered = rows.orderBy(F.col("date_received").desc(), *identity(rows))
+    return ordered if size is None else ordered.limit(size)
 
 
-def unprocessed_emails(store: DataFrame, size: int = UNPROCESSED_LIMIT) -> DataFrame:
+def unprocessed_emails(store: DataFrame, size: int | None = None) -> DataFrame:
     return _newest(store.filter(~F.col("is_processed")), size)
 
 
-def emails_for_review(store: DataFrame, size: int = REVIEW_LIMIT) -> DataFrame:
+def emails_for_review(store: DataFrame, size: int | None = None) -> DataFrame:
     return _newest(store.filter(F.col("needs_review") & ~F.col("is_archived")), size)
 
 
 def hashed(mail: DataFrame, content: str = "body_text") -> DataFrame:
-    return mail.select("message_id", "ingest_seq", content_hash(F.col(content)).alias("content_hash"))
+    return mail.select(*identity(mail), "ingest_seq", content_hash(F.col(content)).alias("content_hash"))
 
 
 def store_hashes(hashes: DataFrame) -> DataFrame:
     """The first hash stored for a message stays."""
-    first = F.min_by("content_hash", "ingest_seq")
-    return hashes.groupBy("message_id").agg(first.alias("content_hash"), F.min("ingest_seq").alias("ingest_seq"))
+    first = F.min(F.struct("ingest_seq", "content_hash")).alias("f")
+    return hashes.groupBy(*identity(hashes)).agg(first).select(*identity(hashes), "f.content_hash", "f.ingest_seq")
 
 
 def is_duplicate(hashes: DataFrame) -> DataFrame:
-    """Whether an earlier message had the same content.
+    """Whether another message had the same content earlier; a message's own re-saves are none.
 
-    The first of each content is found by a partly pre-aggregated minimum and marked by its unique
-    ``ingest_seq``, so a text repeated in a third of all mail makes no hot join key.
+    Saves with one ``ingest_seq`` are ordered by message. Per content the first save is found, and the
+    first of any other message; a save is compared with whichever is not of its own message. Contents that
+    only one message has drop out before the join, and a content in a third of all mail is spread in it.
     """
-    firsts = hashes.groupBy("content_hash").agg(F.min("ingest_seq").alias("ingest_seq"))
-    marked = hashes.join(firsts.select("ingest_seq", F.lit(True).alias("is_first")), "ingest_seq", "left")
-    return marked.select(
-        "message_id", "ingest_seq", "content_hash", F.col("is_first").isNull().alias("is_duplicate")
-    )
+    keys = identity(hashes)
+    place = lambda name: F.struct("ingest_seq", *keys).alias(name)
+    firsts = hashes.filter("content_hash IS NOT NULL").groupBy("content_hash", *keys).agg(F.min("ingest_seq").alias("ingest_seq"))
+    first = firsts.groupBy("content_hash").agg(F.min(place("p")).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = first.filter("n > 1").drop("n")
+    own = lambda p: F.struct(*(F.col(f"{p}.{k}") for k in keys))
+    me = F.struct(*keys)
+    others = salted_join(firsts, first, ["content_hash"], F.xxhash64(*keys)).filter(me != own("first"))
+    second = others.groupBy("content_hash").agg(F.min(place("p")).alias("second"))
+    known = first.join(second, "content_hash")
+    marked = salted_join(hashes, known, ["content_hash"], F.xxhash64("ingest_seq", *keys), "left")
+    rival = F.when(me == own("first"), F.col("second")).otherwise(F.col("first"))
+    return marked.select(*keys, "ingest_seq", "content_hash", F.coalesce(rival < place("p"), F.lit(False)).alias("is_duplicate"))
 
 
 def deduplicated(rows: DataFrame) -> DataFrame:
-    """Rows with the first ``ingest_seq`` of each ``content_hash``."""
-    return pick_per_key(rows, ["content_hash"], "ingest_seq", latest=False)
+    """The first row of each ``content_hash`` in the order of ``ingest_seq``, then of messages."""
+    return pick_per_key(rows, ["content_hash"], ["ingest_seq", *identity(rows)], latest=False)
 
 
 def orphan_check(children: dict[str, tuple[DataFrame, str]], parents: DataFrame, key: str) -> DataFrame:
@@ -159,5 +168,6 @@ def live_raw_messages(raw: DataFrame, mail: DataFrame) -> DataFrame:
 
 
 def retention(mail: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
-    """Mail of the last ``days`` days; on a date-partitioned table older folders are not read."""
-    return mail.filter(F.col("date_received") >= as_of - F.make_dt_interval(days=F.lit(days)))
+    """Mail of the last ``days`` days; of a date-partitioned table older folders are not read."""
+    start = as_of - F.make_dt_interval(days=F.lit(days))
+    return folders_between(mail, start).filter(F.col("date_received") >= start)

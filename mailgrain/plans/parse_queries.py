@@ -35,7 +35,7 @@ def _gmail(spark, sf_dir, lenient=False):
       FROM parsed ORDER BY date_received DESC, message_id LIMIT 50""",
 )
 def scan_mail_export(spark, sf_dir):
-    newest = C.classify_ratio(E.recent_gmail(V.gmail_export(spark, sf_dir), "main"))
+    newest = C.classify_ratio(E.recent_gmail(V.gmail_export(spark, sf_dir), "main", size=50))
     return newest.select(
         "message_id", "thread_id", "sender", joined("recipients").alias("recipients"), "subject", "body_text",
         iso("date_received").alias("received"), "is_bot",
@@ -46,10 +46,11 @@ def scan_mail_export(spark, sf_dir):
     "scan_mail_window",
     f"""WITH {O.MAIL} SELECT message_id, sender, strftime(date_received, {O.ISO}) AS received FROM mail
       WHERE date_received >= {O.WINDOW[12]} AND date_received <= TIMESTAMP '2025-06-30'
-      ORDER BY date_received DESC, message_id LIMIT 1000""",
+      ORDER BY date_received DESC, account, message_id LIMIT 1000""",
 )
 def scan_mail_window(spark, sf_dir):
-    newest = E.window_scan(V.mail(spark, sf_dir), F.lit("2025-06-30 00:00:00").cast("timestamp"), months_back=12)
+    as_of = F.lit("2025-06-30 00:00:00").cast("timestamp")
+    newest = E.window_scan(V.stored_mail(spark, sf_dir), as_of, months_back=12, size=1000)
     return newest.select("message_id", "sender", iso("date_received").alias("received"))
 
 

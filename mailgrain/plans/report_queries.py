@@ -10,7 +10,7 @@ from mailgrain.operators import report as R
 from mailgrain.plans import oracle_parts as O
 from mailgrain.plans import views as V
 from mailgrain.plans.registry import joined, query
-from mailgrain.session import shared_dir
+from mailgrain.session import shared_dir, stored
 from mailgrain.sources import exports as E
 
 
@@ -97,10 +97,10 @@ def confidence_band(spark, sf_dir):
     return scored.select("message_id", C.confidence_band(F.col("score")).alias("band"))
 
 
-IMPORTANT = f"""{O.MAIL}, chains AS (SELECT thread_id, count(*) > 1 AS in_chain FROM mail GROUP BY 1),
+IMPORTANT = f"""{O.MAIL}, chains AS (SELECT account, thread_id, count(*) > 1 AS in_chain FROM mail GROUP BY 1, 2),
   important AS (SELECT m.*, sender IN (SELECT concat('bob@', lang, '.example.com') FROM documents) AS known_sender,
     {O.any_of("lower(concat(subject, ' ', body_text))", ["urgent", "meeting"])} AS has_word, in_chain
-    FROM mail m JOIN chains USING (thread_id))"""
+    FROM mail m JOIN chains USING (account, thread_id))"""
 
 
 def important(spark, sf_dir):
@@ -111,7 +111,7 @@ def important(spark, sf_dir):
 
 @query(
     "flag_importance",
-    f"""WITH {IMPORTANT} SELECT message_id, known_sender, has_word, in_chain,
+    f"""WITH {IMPORTANT} SELECT 'gmail' AS provider, account, message_id, known_sender, has_word, in_chain,
       known_sender OR has_word OR in_chain AS is_important FROM important""",
 )
 def flag_importance(spark, sf_dir):
@@ -120,7 +120,7 @@ def flag_importance(spark, sf_dir):
 
 @query(
     "unsubscribe_targets",
-    f"""WITH {O.ADDITIVE} SELECT message_id, sender, t.target, t.method FROM additive,
+    f"""WITH {O.ADDITIVE} SELECT 'gmail' AS provider, account, message_id, sender, t.target, t.method FROM additive,
       (VALUES ('mailto:out@lists.example.com', 'mail'), ('https://lists.example.com/out?x=1', 'web')) t(target, method)
       WHERE header_kind = 'bulk' AND (is_bot OR {O.any_of('low', ['loan', 'mortgage', 'credit'])})""",
 )
@@ -164,15 +164,20 @@ def learn_weights_flat(spark, sf_dir):
     return _learned_flat(spark, sf_dir)
 
 
+# A keyword and an expression that no default list holds.
+_ADDED = [("keywords", "tion", 0.35), ("patterns", "[A-Z]{2,}!!", 0.45)]
 _HITS = f"""hits AS (
   SELECT message_id, 'headers' AS category, unnest(string_split(header_names, ',')) AS pattern FROM mail
   {" ".join(f"UNION ALL SELECT message_id, 'keywords', '{k}' FROM mail WHERE contains(low, '{k}')" for k in O.KEYWORDS)}
   {" ".join(f"UNION ALL SELECT message_id, 'patterns', '{n}' FROM mail WHERE regexp_matches(body_text, '{p}')"
-            for n, p in O.PATTERNS.items())}),
+            for n, p in O.PATTERNS.items())}
+  UNION ALL SELECT message_id, '{_ADDED[0][0]}', '{_ADDED[0][1]}' FROM mail WHERE contains(low, '{_ADDED[0][1]}')
+  UNION ALL SELECT message_id, '{_ADDED[1][0]}', '{_ADDED[1][1]}' FROM mail WHERE regexp_matches(body_text, '{_ADDED[1][1]}')),
+in_force AS (SELECT * FROM learned UNION ALL SELECT * FROM (VALUES {", ".join(f"('{c}', '{p}', {w}::DOUBLE)" for c, p, w in _ADDED)}) a),
 sums AS (SELECT message_id, count(*) AS hits,
     list_reduce(list(weight ORDER BY h.category, h.pattern), lambda a, b: a + b) AS total
-  FROM hits h JOIN learned USING (category, pattern) GROUP BY message_id),
-scored AS (SELECT m.message_id, coalesce(hits, 0) AS hits,
+  FROM hits h JOIN in_force USING (category, pattern) GROUP BY message_id),
+scored AS (SELECT 'gmail' AS provider, m.account, m.message_id, coalesce(hits, 0) AS hits,
     least((CASE WHEN total > 0 THEN 1::DOUBLE ELSE 0::DOUBLE END)
       + (CASE WHEN body_length > 1000 THEN 0.1::DOUBLE ELSE 0::DOUBLE END), 1::DOUBLE) AS ratio_score,
     coalesce(total / hits::DOUBLE, 0::DOUBLE) AS mean_score
@@ -186,7 +191,8 @@ scored AS (SELECT m.message_id, coalesce(hits, 0) AS hits,
 )
 def apply_learned(spark, sf_dir):
     path = shared_dir(spark, "weights")
-    L.save_weights(_learned(spark, sf_dir), path, "gmail", "main", 1)
+    added = spark.createDataFrame(_ADDED, "category string, pattern string, weight double")
+    L.save_weights(_learned(spark, sf_dir).unionByName(added), path, "gmail", "main", 1)
     weights = L.load_weights(L.default_weights(spark), L.read_weights(spark, path), "gmail", "main")
     return C.classify_learned(V.mail(spark, sf_dir), weights)
 
@@ -197,8 +203,9 @@ def apply_learned(spark, sf_dir):
 )
 def save_weights(spark, sf_dir):
     path = shared_dir(spark, "weights")
+    learned = stored(_learned(spark, sf_dir), "learned")
     for version in (1, 2):
-        L.save_weights(_learned(spark, sf_dir), path, "gmail", "main", version)
+        L.save_weights(learned, path, "gmail", "main", version)
     return L.read_weights(spark, path).filter("version = 2")
 
 

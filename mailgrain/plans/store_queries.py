@@ -19,29 +19,37 @@ from mailgrain.plans import oracle_parts as O
 from mailgrain.plans import views as V
 from mailgrain.plans.registry import iso, joined, query
 from mailgrain.plans.report_queries import IMPORTANT, important
-from mailgrain.session import shared_dir
+from mailgrain.session import shared_dir, stored
 from mailgrain.sources import mailstore
 
-_SAVED = ["message_id", "sender", "subject", "body_text", "date_received", "ingest_seq"]
+_SAVED = ["account", "message_id", "sender", "subject", "body_text", "date_received", "ingest_seq"]
+_SHARED_ID = V._KEY.format("seq - seq % 2")
 
 
 def _save_log(spark, sf_dir):
-    """First saves of all mail and later re-saves of some, in one arrival order."""
-    first = V.mail(spark, sf_dir).withColumn("ingest_seq", F.col("seq") * 2)
-    again = V.saves(spark, sf_dir).withColumn("ingest_seq", F.col("ingest_seq") * 2 + 1)
-    return first.select(*_SAVED).unionByName(again.select(*_SAVED))
+    """First saves of all mail and later re-saves of some. Two accounts share message ids, and two saves in a row
+    share an arrival number."""
+    two = F.concat(F.lit("acct-"), F.col("seq") % 2).alias("account")
+    shared = F.expr(_SHARED_ID).alias("message_id")
+    rest = ("sender", "subject", "body_text")
+    first = V.mail(spark, sf_dir).select(two, shared, *rest, "date_received", F.expr("seq div 2 * 2").alias("ingest_seq"))
+    saves = V.saves(spark, sf_dir).withColumn("seq", F.col("mail_seq"))
+    again = saves.select(two, shared, *rest, "date_received", F.expr("ingest_seq * 2 + 1").alias("ingest_seq"))
+    return first.unionByName(again)
 
 
 _SAVE_LOG = f"""{O.MAIL}, log AS (
-  SELECT message_id, sender, subject, body_text, date_received, seq * 2 AS ingest_seq FROM mail
-  UNION ALL SELECT message_id, sender, subject, body_text, ts, ingest_seq * 2 + 1 FROM ({V.SAVES_SQL}) s)"""
+  SELECT concat('acct-', seq % 2) AS account, {_SHARED_ID} AS message_id, sender, subject, body_text, date_received,
+    seq // 2 * 2 AS ingest_seq FROM mail
+  UNION ALL SELECT concat('acct-', seq % 2), {_SHARED_ID}, sender, subject, body_text, ts, ingest_seq * 2 + 1
+    FROM (SELECT *, mail_seq AS seq FROM ({V.SAVES_SQL}) s0) s)"""
 
 
 @query(
     "store_emails",
-    f"""WITH {_SAVE_LOG} SELECT message_id, sender, subject, body_text, ingest_seq,
+    f"""WITH {_SAVE_LOG} SELECT account, message_id, sender, subject, body_text, ingest_seq,
       strftime(date_received, {O.ISO}) AS received FROM log
-      QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY ingest_seq DESC) = 1""",
+      QUALIFY row_number() OVER (PARTITION BY account, message_id ORDER BY ingest_seq DESC, date_received DESC) = 1""",
 )
 def store_emails(spark, sf_dir):
     path = shared_dir(spark, "emails")
@@ -49,7 +57,7 @@ def store_emails(spark, sf_dir):
     mailstore.write_mail(T.latest_saves(log), path, unit="month")
     stored = mailstore.read_mail(spark, path, log.schema)
     return stored.select(
-        "message_id", "sender", "subject", "body_text", "ingest_seq", iso("date_received").alias("received")
+        "account", "message_id", "sender", "subject", "body_text", "ingest_seq", iso("date_received").alias("received")
     )
 
 
@@ -100,20 +108,20 @@ _STORE = f"""{O.MAIL}, {O.UPDATES}, store AS (
 @query(
     "unprocessed_emails",
     f"""WITH {_STORE} SELECT message_id, sender, subject, strftime(date_received, {O.ISO}) AS received FROM store
-      WHERE NOT is_processed ORDER BY date_received DESC, message_id LIMIT 100""",
+      WHERE NOT is_processed ORDER BY date_received DESC, account, message_id LIMIT 100""",
 )
 def unprocessed_emails(spark, sf_dir):
-    waiting = T.unprocessed_emails(_store(spark, sf_dir))
+    waiting = T.unprocessed_emails(_store(spark, sf_dir), size=100)
     return waiting.select("message_id", "sender", "subject", iso("date_received").alias("received"))
 
 
 @query(
     "emails_for_review",
     f"""WITH {_STORE} SELECT message_id, sender, confidence_score FROM store
-      WHERE needs_review AND NOT is_archived ORDER BY date_received DESC, message_id LIMIT 50""",
+      WHERE needs_review AND NOT is_archived ORDER BY date_received DESC, account, message_id LIMIT 50""",
 )
 def emails_for_review(spark, sf_dir):
-    return T.emails_for_review(_store(spark, sf_dir)).select("message_id", "sender", "confidence_score")
+    return T.emails_for_review(_store(spark, sf_dir), size=50).select("message_id", "sender", "confidence_score")
 
 
 @query(
@@ -142,13 +150,14 @@ def apply_feedback(spark, sf_dir):
 
 
 def _hashes(spark, sf_dir):
-    return T.hashed(_save_log(spark, sf_dir))
+    """Stored once: bodies are read and hashed in one pass, whatever is done with the hashes."""
+    return stored(T.hashed(_save_log(spark, sf_dir)), "hashes")
 
 
 @query(
     "store_hashes",
-    f"""WITH {_SAVE_LOG} SELECT message_id, ingest_seq, sha256(body_text) AS content_hash FROM log
-      QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY ingest_seq) = 1""",
+    f"""WITH {_SAVE_LOG} SELECT account, message_id, ingest_seq, sha256(body_text) AS content_hash FROM log
+      QUALIFY row_number() OVER (PARTITION BY account, message_id ORDER BY ingest_seq, sha256(body_text)) = 1""",
 )
 def store_hashes(spark, sf_dir):
     return T.store_hashes(_hashes(spark, sf_dir))
@@ -156,8 +165,10 @@ def store_hashes(spark, sf_dir):
 
 @query(
     "is_duplicate",
-    f"""WITH {_SAVE_LOG} SELECT message_id, ingest_seq, sha256(body_text) AS content_hash,
-      row_number() OVER (PARTITION BY body_text ORDER BY ingest_seq) > 1 AS is_duplicate FROM log""",
+    f"""WITH {_SAVE_LOG}, places AS (SELECT account, message_id, ingest_seq, sha256(body_text) AS content_hash FROM log)
+      SELECT *, EXISTS (SELECT 1 FROM places b WHERE b.content_hash = a.content_hash
+        AND (b.account <> a.account OR b.message_id <> a.message_id)
+        AND (b.ingest_seq, b.account, b.message_id) < (a.ingest_seq, a.account, a.message_id)) AS is_duplicate FROM places a""",
 )
 def is_duplicate(spark, sf_dir):
     return T.is_duplicate(_hashes(spark, sf_dir))
@@ -165,13 +176,13 @@ def is_duplicate(spark, sf_dir):
 
 @query(
     "deduplicated",
-    f"""WITH {_SAVE_LOG} SELECT message_id, ingest_seq, body_text FROM log
-      QUALIFY row_number() OVER (PARTITION BY body_text ORDER BY ingest_seq) = 1""",
+    f"""WITH {_SAVE_LOG} SELECT account, message_id, ingest_seq, body_text FROM log
+      QUALIFY row_number() OVER (PARTITION BY body_text ORDER BY ingest_seq, account, message_id) = 1""",
 )
 def deduplicated(spark, sf_dir):
     log = _save_log(spark, sf_dir)
     hashed = log.withColumn("content_hash", T.content_hash(F.col("body_text")))
-    return T.deduplicated(hashed).select("message_id", "ingest_seq", "body_text")
+    return T.deduplicated(hashed).select("account", "message_id", "ingest_seq", "body_text")
 
 
 @query(
@@ -222,7 +233,7 @@ def orphan_check(spark, sf_dir):
 )
 def retention(spark, sf_dir):
     as_of = F.lit("2025-06-30").cast("timestamp")
-    return T.retention(V.mail(spark, sf_dir), as_of).select("message_id", "sender")
+    return T.retention(V.stored_mail(spark, sf_dir), as_of).select("message_id", "sender")
 
 
 @query(
@@ -310,7 +321,7 @@ def snooze(spark, sf_dir):
 
 
 _SENT = f"""WITH {_SAVE_LOG} SELECT sender AS sender_email, split_part(sender, '@', 2) AS sender_domain,
-  count(*) AS total_emails, strftime(arg_max(date_received, ingest_seq), {O.ISO}) AS last,
+  count(*) AS total_emails, strftime(max(struct_pack(a := ingest_seq, b := date_received)).b, {O.ISO}) AS last,
   strftime(min(date_received), {O.ISO}) AS first FROM log GROUP BY ALL"""
 
 
@@ -370,8 +381,9 @@ _RULE_MATCH = """(condition_type = 'sender' AND condition_value = sender)
 @query(
     "apply_rules",
     f"""WITH {O.MAIL}, rules AS ({V.RULES_SQL}), m AS (SELECT *, {O.DOMAIN_LEARN} AS domain FROM mail)
-      SELECT message_id, action_type, id AS rule_id, action_value FROM m JOIN rules ON is_active AND ({_RULE_MATCH})
-      QUALIFY row_number() OVER (PARTITION BY message_id, action_type ORDER BY priority, id) = 1""",
+      SELECT 'gmail' AS provider, account, message_id, action_type, id AS rule_id, action_value
+      FROM m JOIN rules ON is_active AND ({_RULE_MATCH})
+      QUALIFY row_number() OVER (PARTITION BY account, message_id, action_type ORDER BY priority, id) = 1""",
 )
 def rules(spark, sf_dir):
     mail = V.mail(spark, sf_dir).withColumn("domain", sender_domain_learn(F.col("sender")))
@@ -460,7 +472,7 @@ def model_metrics(spark, sf_dir):
 @query(
     "feature_importance_top",
     f"""WITH {O.LEARNED} SELECT 2 AS version, concat(category, ':', pattern) AS feature_name,
-      weight AS importance_score FROM learned ORDER BY importance_score DESC, feature_name LIMIT 20""",
+      weight AS importance_score FROM learned""",
 )
 def feature_importance_top(spark, sf_dir):
     mail = L.in_window(V.mail(spark, sf_dir), F.lit("2025-12-31").cast("timestamp"))

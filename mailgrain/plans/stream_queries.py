@@ -50,12 +50,11 @@ def stream_sender_stats(spark, sf_dir):
 @query(
     "stream_hour_counts",
     f"""WITH h AS (SELECT date_trunc('hour', ts) AS hour_start, count(*) AS n FROM events GROUP BY 1)
-      SELECT strftime(hour_start, {O.ISO}) AS hour_start, n FROM h
-      WHERE hour_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""",
+      SELECT strftime(hour_start, {O.ISO}) AS hour_start, n FROM h""",
 )
 def stream_hour_counts(spark, sf_dir):
     events = _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    counts = X.run_append(X.hour_counts(events, "ts", "10 minutes"), shared_dir(spark, "hours"))
+    counts = X.stream_hour_counts(events, "ts", shared_dir(spark, "hours"))
     return counts.select(iso("hour_start").alias("hour_start"), "n")
 
 

@@ -8,9 +8,11 @@ oracle reads the same text, and everything computed from it is up to the library
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from mailgrain.functions import mime
-from mailgrain.sources import tables
+from mailgrain.session import shared_dir
+from mailgrain.sources import mailstore, tables
 
 _KEY = "lpad(lower(hex({0})), 16, '0')"
 
@@ -175,7 +177,7 @@ TEXTS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id"}
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
-    return tables.read_spread(spark, path, TEXTS[name]) if name in TEXTS else tables.read(spark, path)
+    return tables.read_texts(spark, path, TEXTS[name]) if name in TEXTS else tables.read(spark, path)
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
@@ -311,6 +313,14 @@ def _timed(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.withColumns({c: F.col(c).cast("timestamp") for c in columns})
 
 
+def stored_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The narrow columns of all mail, written by date and read back from there."""
+    path = shared_dir(spark, "mail")
+    narrow = mail(spark, sf_dir).select("provider", "account", "message_id", "sender", "date_received")
+    mailstore.write_mail(narrow, path, unit="month")
+    return mailstore.read_mail(spark, path, StructType(list(narrow.schema.fields)).add("received_on", "date"))
+
+
 def saves(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, SAVES_SQL, "events")
     return _timed(rows, "ts").withColumns({"date_received": F.col("ts"), "ingest_time": F.col("ts")}).drop("ts")

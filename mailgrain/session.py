@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -16,6 +16,13 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """Write ``frame`` to a fresh folder of the shared one and read it back: lineage ends there."""
+    path = shared_dir(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the cluster's shared folder.
 

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mailgrain import schemas
 from mailgrain.functions import mime
+from mailgrain.operators.joins import identity
 from mailgrain.operators.learn import in_window
 
-# Default sizes of the recent lists and of the windowed scan.
-RECENT, RECENT_FLAT, WINDOW_SIZE, WINDOW_MONTHS = 50, 10, 1000, 24
+# Fixed value: the default window in months.
+WINDOW_MONTHS = 24
 
 
 def _read_lines(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -87,19 +88,18 @@ def union_accounts(first: DataFrame, *others: DataFrame) -> DataFrame:
     )
 
 
-def recent_gmail(raw: DataFrame, account: str, size: int = RECENT) -> DataFrame:
-    """The newest messages of a nested export: chosen before any body is decoded."""
+def recent_gmail(raw: DataFrame, account: str, size: int) -> DataFrame:
+    """The newest ``size`` messages of a nested export: chosen before any body is decoded."""
     newest = raw.orderBy(F.col("internalDate").try_cast("bigint").desc(), F.col("id")).limit(size)
     return parse_gmail(newest, account)
 
 
-def recent(mail: DataFrame, size: int = RECENT) -> DataFrame:
-    """Newest messages first; the sort stops at ``size`` rows per task."""
-    return mail.orderBy(F.col("date_received").desc(), F.col("message_id")).limit(size)
+def recent(mail: DataFrame, size: int) -> DataFrame:
+    """The newest ``size`` messages, newest first; the sort stops at so many rows per task."""
+    return mail.orderBy(F.col("date_received").desc(), *identity(mail)).limit(size)
 
 
-def window_scan(
-    mail: DataFrame, as_of: Column, months_back: int = WINDOW_MONTHS, size: int = WINDOW_SIZE
-) -> DataFrame:
-    """The newest ``size`` messages of a window; on a date-partitioned table only its folders are read."""
-    return recent(in_window(mail, as_of, months_back), size)
+def window_scan(mail: DataFrame, as_of: Column, months_back: int = WINDOW_MONTHS, size: int | None = None) -> DataFrame:
+    """The messages of a window, or its newest ``size``; of a date-partitioned table only its folders are read."""
+    found = in_window(mail, as_of, months_back)
+    return found if size is None else recent(found, size)

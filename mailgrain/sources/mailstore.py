@@ -57,7 +57,14 @@ def read_mail(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).option("basePath", path).parquet(path)
 
 
-def folders_since(stored: DataFrame, as_of: Column, days: int, unit: str = "day") -> DataFrame:
-    """Only the folders that can hold mail of the last ``days`` days; exact tests come after."""
-    start = F.date_trunc(unit, as_of - F.make_dt_interval(days=F.lit(days)))
-    return stored.filter((F.col("received_on") >= F.to_date(start)) & (F.col("received_on") <= F.to_date(as_of)))
+def folders_between(mail: DataFrame, start: Column, end: Column | None = None, widest: str = "year") -> DataFrame:
+    """Only the folders that can hold mail from ``start`` to ``end``; exact tests come after.
+
+    A folder is named by the first day of its span, and no span is wider than ``widest``. Mail that is not
+    stored in dated folders passes as it is.
+    """
+    if "received_on" not in mail.columns:
+        return mail
+    folder = F.col("received_on")
+    since = mail.filter(folder >= F.to_date(F.date_trunc(widest, start)))
+    return since if end is None else since.filter(folder <= F.to_date(end))

@@ -1,28 +1,18 @@
-"""Reading Parquet so that small inputs use all cores and large ones are left alone."""
+"""Reading Parquet."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-SPLIT_BYTES = 128 * 1024 * 1024
+#: Session setting: over how many partitions a caller wants rows of long texts dealt on reading. Unset, nothing
+#: is shuffled, whatever the size; it is for inputs that lie in one row group, which one task would read alone.
+SPREAD = "mailgrain.read.spread"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def stored_bytes(spark: SparkSession, path: str) -> int:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
-
-
-def read_spread(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Texts, spread over the cores when they are less than one ordinary split per core.
-
-    A small file often is a single row group, which one task would read and work through alone.
-    The shuffle this costs is bounded by one split per core; larger input is never shuffled here.
-    """
-    rows, cores = read(spark, path), spark.sparkContext.defaultParallelism
-    if cores > 1 and stored_bytes(spark, path) < cores * SPLIT_BYTES:
-        return rows.repartition(cores, key)
-    return rows
+def read_texts(spark: SparkSession, path: str, key: str) -> DataFrame:
+    rows, spread = read(spark, path), spark.conf.get(SPREAD, None)
+    return rows.repartition(int(spread), key) if spread else rows

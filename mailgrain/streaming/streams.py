@@ -1,6 +1,6 @@
 """Structured Streaming forms of the incremental writes.
 
-Each stream runs over what is available and stops, or runs on with another trigger. Batches are
+Each stream runs over what is available and stops; with a trigger given it runs on, and the query is returned. Batches are
 stored as mergeable parts in one folder per batch id: a retried batch replaces its own folder, so
 retries and lost executors change nothing, and no batch rewrites what others stored.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from mailgrain.functions.features import content_hash
@@ -24,35 +25,37 @@ def read_files(spark: SparkSession, path: str, schema: StructType, files_per_bat
     return reader.parquet(path)
 
 
-def run_parts(stream: DataFrame, path: str, part: Callable[[DataFrame], DataFrame]) -> None:
-    """Store ``part(batch)`` of every micro-batch under its batch id."""
+def _started(writer, trigger: dict | None) -> StreamingQuery:
+    """Start a stream; without a trigger it runs over what is there, and this waits for its end."""
+    query = writer.trigger(**(trigger or {"availableNow": True})).start()
+    if trigger is None:
+        query.awaitTermination()
+    return query
+
+
+def run_parts(
+    stream: DataFrame, path: str, part: Callable[[DataFrame], DataFrame], trigger: dict | None = None
+) -> StreamingQuery:
+    """Store ``part(batch)`` of every micro-batch under its batch id. A first, empty part gives the folder its schema."""
+    spark = stream.sparkSession
+    empty = spark.createDataFrame([], stream.schema)
+    part(empty).write.mode("overwrite").parquet(f"{path}/parts/batch=-1")
 
     def store(batch: DataFrame, batch_id: int) -> None:
         part(batch).write.mode("overwrite").parquet(f"{path}/parts/batch={batch_id}")
 
-    query = (
-        stream.writeStream.foreachBatch(store)
-        .option("checkpointLocation", f"{path}/progress")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    return _started(stream.writeStream.foreachBatch(store).option("checkpointLocation", f"{path}/progress"), trigger)
 
 
 def read_parts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", f"{path}/parts").parquet(f"{path}/parts").drop("batch")
 
 
-def run_append(stream: DataFrame, path: str) -> DataFrame:
-    query = (
-        stream.writeStream.outputMode("append")
-        .format("parquet")
-        .option("checkpointLocation", f"{path}/progress")
-        .trigger(availableNow=True)
-        .start(f"{path}/rows")
-    )
-    query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+def run_append(stream: DataFrame, path: str, trigger: dict | None = None) -> DataFrame:
+    spark = stream.sparkSession
+    writer = stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows")
+    _started(writer.option("checkpointLocation", f"{path}/progress"), trigger)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
 def first_contents(mail: DataFrame, time: str, delay: str, salts: int = 32) -> DataFrame:
@@ -71,10 +74,15 @@ def first_contents(mail: DataFrame, time: str, delay: str, salts: int = 32) -> D
     )
 
 
-def hour_counts(mail: DataFrame, time: str, delay: str) -> DataFrame:
-    """Messages per hour of arrival; an hour is emitted once the watermark has passed it."""
-    windows = mail.withWatermark(time, delay).groupBy(F.window(time, "1 hour").alias("w"))
-    return windows.agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("hour_start"), "n")
+def hour_parts(mail: DataFrame, time: str) -> DataFrame:
+    """Messages per hour of arrival of one batch."""
+    return mail.groupBy(F.date_trunc("hour", time).alias("hour_start")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def stream_hour_counts(mail: DataFrame, time: str, path: str) -> DataFrame:
+    """Messages per hour of arrival. Every hour seen so far is there, the newest included, and late rows count."""
+    run_parts(mail, path, lambda batch: hour_parts(batch, time))
+    return read_parts(mail.sparkSession, path).groupBy("hour_start").agg(F.sum("n").alias("n"))
 
 
 def stream_sender_stats(saves: DataFrame, path: str) -> DataFrame:

@@ -4,15 +4,17 @@ import re
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-import __spark_entry__ as entry
 from mailgrain.operators import learn as L
+from mailgrain.operators import store as T
+from mailgrain.plans import catalog
 from mailgrain.plans import views as V
 from mailgrain.sources import exports as E
 from mailgrain.sources import mailstore, tables
 
 SF_DIR = "/root/testdata/sf0.001"
-STREAMS = [n for n in entry.queries() if n.startswith("stream_")]
+STREAMS = [n for n in catalog.QUERIES if n.startswith("stream_")]
 
 
 def plan_of(frame):
@@ -21,9 +23,9 @@ def plan_of(frame):
     )
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(STREAMS)))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(STREAMS)))
 def test_no_pairing_and_no_python(spark, name):
-    plan = plan_of(entry.queries()[name](spark, SF_DIR))
+    plan = plan_of(catalog.QUERIES[name](spark, SF_DIR))
     assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin", plan)
     assert not re.search(r"ArrowEvalPython|BatchEvalPython|MapInPandas|FlatMapGroupsInPandas", plan)
 
@@ -40,7 +42,7 @@ def test_counts_shuffle_once(spark):
 
 
 def test_only_needed_columns_are_read(spark):
-    plan = plan_of(entry.queries()["top_senders"](spark, SF_DIR))
+    plan = plan_of(catalog.QUERIES["top_senders"](spark, SF_DIR))
     read = re.findall(r"ReadSchema: (\S+)", plan)
     assert read and all("text" not in r and "n_chars" not in r for r in read), read
 
@@ -48,16 +50,27 @@ def test_only_needed_columns_are_read(spark):
 def test_window_reads_only_its_folders(spark, tmp_path):
     mail = V.mail(spark, SF_DIR)
     mailstore.write_mail(mail, str(tmp_path / "m"), unit="month")
-    stored = mailstore.read_mail(spark, str(tmp_path / "m"), mail.schema.add("received_on", "date"))
+    stored = mailstore.read_mail(spark, str(tmp_path / "m"), StructType(list(mail.schema.fields)).add("received_on", "date"))
     as_of = F.lit("2025-06-30").cast("timestamp")
-    some = E.window_scan(mailstore.folders_since(stored, as_of, 30, unit="month"), as_of, 1)
+    some = E.window_scan(stored, as_of, 1)
     assert re.search(r"PartitionFilters: \[[^\]]*received_on", plan_of(some))
     want = E.window_scan(mail, as_of, 1).select("message_id")
     assert some.select("message_id").exceptAll(want).count() == 0 and some.count() == want.count() > 0
 
 
-def test_large_input_is_not_shuffled_on_reading(spark, monkeypatch):
+def test_retention_reads_only_its_folders(spark, tmp_path):
+    mail = V.mail(spark, SF_DIR)
+    mailstore.write_mail(mail, str(tmp_path / "m"))
+    stored = mailstore.read_mail(spark, str(tmp_path / "m"), StructType(list(mail.schema.fields)).add("received_on", "date"))
+    kept = T.retention(stored, F.lit("2025-06-30").cast("timestamp"))
+    assert re.search(r"PartitionFilters: \[[^\]]*received_on", plan_of(kept))
+
+
+def test_reading_shuffles_only_where_asked(spark):
     path = f"{SF_DIR}/documents.parquet"
-    assert "Exchange" in plan_of(tables.read_spread(spark, path, "doc_id"))
-    monkeypatch.setattr(tables, "stored_bytes", lambda *_: 10**15)
-    assert "Exchange" not in plan_of(tables.read_spread(spark, path, "doc_id"))
+    assert "Exchange" not in plan_of(tables.read_texts(spark, path, "doc_id"))
+    spark.conf.set(tables.SPREAD, "4")
+    try:
+        assert "Exchange" in plan_of(tables.read_texts(spark, path, "doc_id"))
+    finally:
+        spark.conf.unset(tables.SPREAD)

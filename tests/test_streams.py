@@ -37,7 +37,7 @@ def test_sender_stats(spark, tmp_path):
     schema = split_files(saves, str(tmp_path / "in"), by(F.col("ingest_seq").desc()))
     stream = X.read_files(spark, str(tmp_path / "in"), schema, files_per_batch=1)
     got = X.stream_sender_stats(stream, str(tmp_path / "out"))
-    assert len(list((tmp_path / "out" / "parts").glob("batch=*"))) == 4
+    assert len(list((tmp_path / "out" / "parts").glob("batch=[0-9]*"))) == 4
     assert same(got, S.sender_stats(saves))
 
 
@@ -67,15 +67,22 @@ def test_dedup_over_batches(spark, tmp_path):
     assert same(got, want)
 
 
-def test_hour_counts_leave_open_hours(spark, tmp_path):
+def test_hour_counts_hold_every_hour(spark, tmp_path):
     start = datetime(2025, 1, 1)
-    rows = [(start + timedelta(minutes=m),) for m in (0, 59, 61, 130, 185)]
+    rows = [(start + timedelta(minutes=m),) for m in (0, 59, 61, 130, 185, 3)]
     mail = spark.createDataFrame(rows, "ts timestamp")
-    schema = split_files(mail, str(tmp_path / "in"), by("ts"), files=2)
+    schema = split_files(mail, str(tmp_path / "in"), by("ts"), files=3)
     stream = X.read_files(spark, str(tmp_path / "in"), schema, files_per_batch=1)
-    got = X.run_append(X.hour_counts(stream, "ts", "10 minutes"), str(tmp_path / "out")).collect()
-    # 03:05 less ten minutes has passed the hours from 00:00 and 01:00 only.
-    assert sorted((r["hour_start"].hour, r["n"]) for r in got) == [(0, 2), (1, 1)]
+    got = X.stream_hour_counts(stream, "ts", str(tmp_path / "out")).collect()
+    assert sorted((r["hour_start"].hour, r["n"]) for r in got) == [(0, 3), (1, 1), (2, 1), (3, 1)]
+
+
+def test_empty_folders_give_no_rows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    saves = V.saves(spark, SF_DIR)
+    stream = X.read_files(spark, str(tmp_path / "in"), saves.schema)
+    assert X.stream_sender_stats(stream, str(tmp_path / "a")).count() == 0
+    assert X.stream_hour_counts(stream, "date_received", str(tmp_path / "b")).count() == 0
 
 
 @pytest.mark.parametrize("sorting", ["asc", "desc"])
