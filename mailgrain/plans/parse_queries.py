@@ -10,6 +10,7 @@ from mailgrain.operators import classify as C
 from mailgrain.plans import oracle_parts as O
 from mailgrain.plans import views as V
 from mailgrain.plans.registry import iso, joined, query
+from mailgrain.session import shared_dir
 from mailgrain.sources import exports as E
 from mailgrain.sources import mailstore
 
@@ -24,6 +25,14 @@ _ATTACHED = "seq % 4 IN (1, 2)"
 _PARSED = f"{O.MAIL}, parsed AS (SELECT *, {_STRICT} AS strict, {_RECIPIENTS} AS recipients FROM mail)"
 
 
+def _exported(spark, messages, name):
+    """An export as a provider's tool leaves it: a folder of JSON lines, one of them damaged."""
+    path = shared_dir(spark, name)
+    messages.write.json(path)
+    spark.range(1).select(F.lit('{"id": "cut off').alias("value")).write.mode("append").text(path)
+    return path
+
+
 def _gmail(spark, sf_dir, lenient=False):
     return E.parse_gmail(V.gmail_export(spark, sf_dir), "main", lenient)
 
@@ -35,7 +44,8 @@ def _gmail(spark, sf_dir, lenient=False):
       FROM parsed ORDER BY date_received DESC, message_id LIMIT 50""",
 )
 def scan_mail_export(spark, sf_dir):
-    newest = C.classify_ratio(E.recent_gmail(V.gmail_export(spark, sf_dir), "main", size=50))
+    raw = E.sound(E.read_gmail(spark, _exported(spark, V.gmail_export(spark, sf_dir), "gmail")))
+    newest = C.classify_ratio(E.recent_gmail(raw, "main", size=50))
     return newest.select(
         "message_id", "thread_id", "sender", joined("recipients").alias("recipients"), "subject", "body_text",
         iso("date_received").alias("received"), "is_bot",
@@ -60,7 +70,8 @@ def scan_mail_window(spark, sf_dir):
       strftime(date_received, {O.ISO}) AS received FROM flat""",
 )
 def scan_flat_export(spark, sf_dir):
-    mail = E.parse_flat(V.flat_export(spark, sf_dir), "flat")
+    raw = E.sound(E.read_flat(spark, _exported(spark, V.flat_export(spark, sf_dir), "flat")))
+    mail = E.parse_flat(raw, "flat")
     return mail.select(
         "message_id", "sender", joined("recipients").alias("recipients"), "subject", "body_text",
         iso("date_received").alias("received"),

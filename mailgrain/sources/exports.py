@@ -27,6 +27,11 @@ def read_flat(spark: SparkSession, path: str) -> DataFrame:
     return _read_lines(spark, path, type(schemas.PROTON)(list(schemas.PROTON.fields)))
 
 
+def sound(raw: DataFrame) -> DataFrame:
+    """The messages of an export without its damaged lines; those are what ``_damaged`` holds."""
+    return raw.filter("_damaged IS NULL").drop("_damaged")
+
+
 def parse_gmail(raw: DataFrame, account: str, lenient: bool = False) -> DataFrame:
     """Nested export to mail. A body that cannot be decoded is NULL and can be quarantined by it.
 
