@@ -38,10 +38,11 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame) -> Column:
-    """The terms of the band as a constant: lists of term hashes by their lowest bits."""
+    """The terms of the band as a constant: lists of term hashes by their lowest bits. Only these terms leave the
+    cluster, and the band bounds their number."""
     each = exploded(docs, terms(F.col("text")), "term")
-    counts = stored(each.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
     n = docs.count()
+    counts = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     band = counts.filter(F.col("df").between(LEAST_SHARE * n, MOST_SHARE * n)).select("term")
     lists = [[] for _ in range(SLOTS)]
     for row in band.collect():
