@@ -10,13 +10,12 @@ shingles of five words (fewer words: the whole sequence; none: empty). Two texts
 3. For each class its shingles that no other class in a bucket has are counted. They bound every intersection
    from above, so most chance neighbours are ruled out exactly, without a look at the pair.
 4. A bucket never pairs its members with each other. It has a centre, and members are paired with that. In
-   the first round each class uses only the smallest fitting centre of all its buckets, in the second the one
-   that shares most. Pairs are compared on the full sets, and confirmed links join classes to components.
+   the first round each class uses one centre of all its buckets, its pivot: the member that shares most.
+   Pairs are compared on the full sets, and confirmed links join classes to components.
 5. A star can miss a link between two members that are both unlike the centre. So a bucket whose members
-   lie in different components goes on with new centres, the best linked first and many more each round,
+   lie in different components goes on with new centres, the most shared first and many more each round,
    paired only with fitting members of other components, until it lies in one component or every member was
-   a centre. What two members have in common with the same second-round centre bounds their intersection
-   further. No bucket is capped.
+   a centre. What two members have in common with the same pivot bounds their intersection further. No bucket is capped.
 
 Defined results: null and empty texts, and texts of white space, have no shingles, are linked with
 nothing and form a component of their own row; equal rows are copies of each other; rows with a null id
@@ -92,7 +91,7 @@ def with_shared(members: DataFrame, classes: DataFrame, texts: DataFrame) -> Dat
     return stored(members.join(fit, "node"), "members")
 
 
-def _fits(one: str, other: str, pivots: bool) -> Column:
+def _fits(one: str, other: str) -> Column:
     """Whether two members can be linked at all, given what bounds their intersection from above.
 
     It is no larger than what either shares with any class; and with a common pivot, no larger than the
@@ -100,31 +99,14 @@ def _fits(one: str, other: str, pivots: bool) -> Column:
     """
     of = lambda name: (F.col(one + name), F.col(other + name))
     (size_a, size_b), (shared_a, shared_b) = of("size"), of("shared")
-    most = F.least(shared_a, shared_b)
-    if pivots:
-        (pivot_a, pivot_b), (in_a, in_b) = of("pivot"), of("inside")
-        split = F.least(in_a, in_b) + F.least(shared_a - in_a, shared_b - in_b)
-        most = F.when(pivot_a == pivot_b, split).otherwise(most)
+    (pivot_a, pivot_b), (in_a, in_b) = of("pivot"), of("inside")
+    split = F.least(in_a, in_b) + F.least(shared_a - in_a, shared_b - in_b)
+    most = F.when(pivot_a == pivot_b, split).otherwise(F.least(shared_a, shared_b))
     return F.lit(100 + PER_CENT) * most >= F.lit(PER_CENT) * (size_a + size_b)
 
 
-def first_pairs(members: DataFrame) -> DataFrame:
-    """Each class with the smallest fitting centre of its buckets; a centre is the smallest node of a bucket."""
-    centres = members.groupBy("band").agg(F.min(F.struct("node", "size", "shared")).alias("centre"))
-    return (
-        members.join(centres, "band")
-        .filter((F.col("centre.node") < F.col("node")) & _fits("", "centre.", pivots=False))
-        .groupBy(F.col("node").alias("b"))
-        .agg(F.min("centre.node").alias("a"))
-        .select("a", "b")
-    )
-
-
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``node, root`` after new links (a, b): only their ends' components are joined, however large those are."""
-    ends = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).distinct()
-    fresh = ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("root"))
-    labels = stored(labels.unionByName(fresh), "labels")
     edges = links
     for end in ("a", "b"):
         to = labels.select(F.col("node").alias(end), F.col("root").alias("to"))
@@ -134,58 +116,48 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stored(labels.join(moves, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels")
 
 
-def degrees(links: DataFrame) -> DataFrame:
-    ends = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node")))
-    return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-
-
-def mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that span components, with their component."""
-    kept = [c for c in members.columns if c != "root"]
-    labelled = members.select(kept).join(labels, "node", "left").select(*kept, F.coalesce("root", "node").alias("root"))
-    mixed = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    return stored(labelled.join(mixed.filter("low < high").select("band"), "band"), "mixed")
+def mixed_buckets(members: DataFrame, facts: DataFrame) -> DataFrame:
+    """Members of buckets that span components, with the ``facts`` of their classes, ``root`` among them."""
+    kept = [c for c in members.columns if c == "node" or c not in facts.columns]
+    told = members.select(kept).join(facts, "node")
+    mixed = told.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    return stored(told.join(mixed.filter("low < high").select("band"), "band"), "mixed")
 
 
 def _best() -> Column:
-    return F.struct("degree", F.xxhash64("node").alias("lot"), "node")
+    """Order of centres: by the part shared, the larger text, the number."""
+    return F.struct((F.col("shared") / F.col("size")).alias("part"), "size", "node")
 
 
-def pivots_of(mixed: DataFrame) -> DataFrame:
+def pivots_of(members: DataFrame) -> DataFrame:
     """``node, pivot``: of all members of a class's buckets the one with the largest shared part, which is
     that of a text of which the others are edited copies."""
-    order = F.struct((F.col("shared") / F.col("size")).alias("part"), "size", "node")
-    best = mixed.groupBy("band").agg(F.max(order).alias("best"))
-    return stored(
-        mixed.select("band", "node").join(best, "band").groupBy("node").agg(F.max("best").alias("best"))
-        .select("node", F.col("best.node").alias("pivot")),
-        "pivots",
-    )
+    best = members.groupBy("band").agg(F.max(_best()).alias("best"))
+    chosen = members.select("band", "node").join(best, "band").groupBy("node").agg(F.max("best").alias("best"))
+    return stored(chosen.select("node", F.col("best.node").alias("pivot")), "pivots")
 
 
 def next_centres(mixed: DataFrame, used: DataFrame | None, per_bucket: int) -> DataFrame:
-    """Up to ``per_bucket`` members of each bucket that were no centre yet, those with most links first."""
+    """Up to ``per_bucket`` members of each bucket that were no centre yet, the most shared first."""
     left = mixed if used is None else mixed.join(used, ["band", "node"], "left_anti")
     seat = F.pmod(F.xxhash64("node", F.lit(per_bucket)), F.lit(per_bucket))
-    rest = ("size", "shared", "pivot", "inside", "root")
+    rest = [c for c in mixed.columns if c not in ("band", "place", "node")]
     picked = left.groupBy("band", seat.alias("seat")).agg(F.max(F.struct(_best().alias("best"), *rest)).alias("c"))
-    return stored(picked.select("band", "c.best.node", *(f"c.{r}" for r in rest)), "centres")
+    return stored(picked.select("band", F.col("c.best.node").alias("node"), *(f"c.{r}" for r in rest)), "centres")
 
 
-def star_pairs(mixed: DataFrame, centres: DataFrame, classes: DataFrame, tried: DataFrame) -> DataFrame:
+def star_pairs(mixed: DataFrame, centres: DataFrame, tried: DataFrame) -> DataFrame:
     """Centres with the fitting members of other components, without pairs already compared.
 
     Two classes meet in every bucket they share. Their pair comes from the first of these, where each is a centre
     sooner or later, and not from the others.
     """
-    keys = classes.select("node", "bands")
-    hubs = centres.join(keys, "node").select("band", F.struct(*(c for c in centres.columns if c != "band"), "bands").alias("hub"))
+    hubs = centres.select("band", F.struct(*(c for c in centres.columns if c != "band")).alias("hub"))
     before = lambda bands: F.slice(bands, F.lit(1), F.col("place"))
     met = F.arrays_overlap(before(F.col("bands")), before(F.col("hub.bands")))
     pairs = (
-        mixed.join(keys, "node")
-        .join(hubs, "band")
-        .filter((F.col("root") != F.col("hub.root")) & _fits("", "hub.", pivots=True) & ~met)
+        mixed.join(hubs, "band")
+        .filter((F.col("root") != F.col("hub.root")) & _fits("", "hub.") & ~met)
         .select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b"))
         .distinct()
     )
@@ -242,28 +214,22 @@ def near_groups(docs: DataFrame) -> DataFrame:
     members = bucket_members(classes)
     texts = texts_of(docs, classes, members)
     members = with_shared(members, classes, texts)
-    tried = stored(first_pairs(members), "pairs")
-    links = stored(compared(texts, tried), "links").filter("linked").select("a", "b")
-    labels = stored(components(links), "labels")
-    members = mixed_buckets(members, labels)
     pivots = pivots_of(members)
     pairs = stored(pivots.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")), "pairs")
     found = stored(compared(texts, pairs), "links")
-    new = found.filter("linked").select("a", "b")
-    labels = merged(labels, new)
-    tried = tried.unionByName(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    known = pivots.join(found.select(F.col("b").alias("node"), F.col("both").alias("inside")), "node", "left")
-    known = known.join(degrees(links.unionByName(new)), "node", "left")
-    members = members.join(known, "node").withColumns(
-        {"inside": F.coalesce("inside", "shared"), "degree": F.coalesce("degree", F.lit(0))}
-    )
-    members = mixed_buckets(members, labels)
+    roots = components(found.filter("linked").select("a", "b"))
+    labels = pivots.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    labels = stored(labels, "labels")
+    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    inside = found.select(F.col("b").alias("node"), F.col("both").alias("inside"))
+    facts = labels.join(pivots, "node").join(inside, "node", "left").join(classes.select("node", "bands"), "node")
+    members = mixed_buckets(members, facts).withColumn("inside", F.coalesce("inside", "shared"))
     used, per_bucket = None, FIRST_CENTRES
     while True:
         centres = next_centres(members, used, per_bucket)
         if not centres.limit(1).count():
             break
-        pairs = stored(star_pairs(members, centres, classes, tried), "pairs")
+        pairs = stored(star_pairs(members, centres, tried), "pairs")
         if pairs.limit(1).count():
             new = stored(compared(texts, pairs), "links").filter("linked").select("a", "b")
             tried = tried.unionByName(pairs)
