@@ -28,8 +28,9 @@ LEAST_SHARE, MOST_SHARE = 0.005, 0.1
 #: Sixteen subsets at each rate; a subset holds one of so many terms.
 SUBSETS, RATES = 16, (16, 64, 256, 1024, 4096)
 FILLED = 8
-#: Bits of a part.
-BITS = 24
+#: Bits of a part; it travels as a short number.
+BITS = 16
+LEAST = 1 << (BITS - 1)
 SLOTS = 1 << 14
 
 
@@ -60,7 +61,7 @@ def parts(text: Column, chosen: Column) -> Column:
         place = lambda x: F.pmod(F.xxhash64(x, F.lit(rate)), F.lit(rate)).cast("int")
         entries = F.transform(all_terms, lambda x: F.struct(place(x).alias("subset"), x.alias("term")))
         used = F.filter(entries, lambda e: e["subset"] < SUBSETS)
-        digest = lambda t: F.hash(t).bitwiseAND(F.lit((1 << BITS) - 1))
+        digest = lambda t: (F.hash(t).bitwiseAND(F.lit((1 << BITS) - 1)) - LEAST).cast("short")
         one = lambda u, r: let(F.filter(u, lambda e: e["subset"] == r), lambda p: F.when(F.size(p) > 0, digest(p["term"])))
         return let(used, lambda u: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda r: one(u, r)))
 
@@ -85,7 +86,7 @@ def likeness(one: Column, other: Column) -> Column:
 
 def spelled(fingerprint: Column) -> Column:
     """As text: hex digits for each part, a dash for an empty one."""
-    digits = lambda x: F.lower(F.lpad(F.hex(x), BITS // 4, "0"))
+    digits = lambda x: F.lower(F.lpad(F.hex(x.cast("int") + LEAST), BITS // 4, "0"))
     return F.array_join(F.transform(fingerprint, lambda x: F.coalesce(digits(x), F.lit("-"))), "")
 
 
