@@ -54,8 +54,10 @@ def learned(docs: DataFrame, labels: DataFrame, table: np.ndarray, sample: int)
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(sample)
     )
-    rows = docs.select("doc_id", "text").join(given, F.col("doc_id") == F.col("_id")).select("label", "text").limit(2 * sample)
-    pools = rows.mapInArrow(lambda it: N.features(it, table, SLICE_BYTES), "label double, pool array<double>").toArrow()
+    rows = docs.select("doc_id", "text").join(given, F.col("doc_id") == F.col("_id")).select("label", "text")
+    pools = rows.mapInArrow(lambda it: N.features(it, table, SLICE_BYTES), "label double, pool array<double>")
+    # Repeated ids could make the sample larger than it is asked to be; only pooled vectors come together here.
+    pools = pools.limit(2 * sample).toArrow()
     y = pools.column("label").to_numpy()
     x = pools.column("pool").combine_chunks().flatten().to_numpy().reshape(len(y), N.FEATURES)
     order = np.lexsort((*x.T[:3], y))
