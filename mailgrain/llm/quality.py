@@ -4,7 +4,8 @@
    Each task adds up its own texts and hands on one table of fixed size; tables are added in a tree.
 2. The vectors are pooled per document (``quality_net.pooled``).
 3. A network learns ``labels.quality`` from at most ``sample`` labelled documents, those with the smallest
-   hashes, and its probabilities are calibrated by a temperature on rows kept out of the training.
+   hashes, and its probabilities are calibrated by a temperature on rows kept out of the training. Of an id with
+   several rows the text with the smallest hash is learned from.
 4. Every document is scored.
 
 Only the text goes into a score. Documents whose ``crc32(doc_id) mod 3`` is 1 give no label. Defined
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from mailgrain.llm import quality_net as N
 
@@ -54,10 +55,13 @@ def learned(docs: DataFrame, labels: DataFrame, table: np.ndarray, sample: int)
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(sample)
     )
-    rows = docs.select("doc_id", "text").join(given, F.col("doc_id") == F.col("_id")).select("label", "text")
-    pools = rows.mapInArrow(lambda it: N.features(it, table, SLICE_BYTES), "label double, pool array<double>")
-    # Repeated ids could make the sample larger than it is asked to be; only pooled vectors come together here.
-    pools = pools.limit(2 * sample).toArrow()
+    # At most ``sample`` rows, and an id may hold much of the corpus, so texts are not dealt by id.
+    rows = docs.select("doc_id", "text").join(F.broadcast(given), F.col("doc_id") == F.col("_id"))
+    rows = rows.select("_id", F.xxhash64("text").alias("_hash"), "label", "text")
+    schema = StructType(rows.schema.fields[:-1]).add("pool", ArrayType(DoubleType()))
+    pools = rows.mapInArrow(lambda it: N.features(it, table, SLICE_BYTES), schema)
+    # One text for each id, whatever holds its rows; each task keeps one row of an id before pools are moved.
+    pools = pools.groupBy("_id").agg(F.min(F.struct("_hash", "label", "pool")).alias("p")).select("p.label", "p.pool").toArrow()
     y = pools.column("label").to_numpy()
     x = pools.column("pool").combine_chunks().flatten().to_numpy().reshape(len(y), N.FEATURES)
     order = np.lexsort((*x.T[:3], y))

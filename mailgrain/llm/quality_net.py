@@ -114,14 +114,16 @@ def pooled(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.ndarr
 
 
 def features(batches, table: np.ndarray, limit: int):
-    """Arrow batches (label, text) to (label, pooled vector)."""
+    """Arrow batches whose last column is the text to the other columns and the pooled vector."""
     import pyarrow as pa
 
     for batch in batches:
-        for first, last, data, offsets in A.text_slices(batch.column(1), limit):
+        names = batch.schema.names[:-1]
+        for first, last, data, offsets in A.text_slices(batch.column(len(names)), limit):
             pool = pooled(data, offsets, table)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(pool.ravel()), FEATURES).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), lists], ["label", "pool"])
+            rest = [batch.column(c).slice(first, last - first) for c in names]
+            yield pa.RecordBatch.from_arrays([*rest, lists], [*names, "pool"])
 
 
 @dataclass(frozen=True)

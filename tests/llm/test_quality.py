@@ -1,3 +1,5 @@
+from zlib import crc32
+
 import duckdb
 import numpy as np
 
@@ -28,6 +30,20 @@ def test_labels_kept_out_do_not_matter(spark):
     assert first == second and all((first[i] >= 0.5) == bool(i % 2) for i in range(60))
 
 
+def test_an_id_with_most_rows_is_learned_from_once(spark):
+    once = [(i, f"good plain words {i}" if i % 2 else f"bad!! {i}!! ??") for i in range(60)]
+    hot = next(i for i, _ in once if crc32(str(i).encode()) % 3 != 1)
+    labels = docs(spark, [(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    table = quality.word_vectors(docs(spark, once))
+    want = quality.learned(docs(spark, once), labels, table, 60)
+    for rows in ([once[hot]] * 400 + once, once + [once[hot]] * 400):
+        got = quality.learned(docs(spark, rows), labels, table, 60)
+        assert all(np.array_equal(vars(got)[k], v) for k, v in vars(want).items())
+    other = [(hot, f"another text {i}") for i in range(200)] + once
+    one, two = (quality.learned(docs(spark, rows), labels, table, 60) for rows in (other, other[::-1]))
+    assert all(np.array_equal(vars(two)[k], v) for k, v in vars(one).items())
+
+
 def test_nulls_and_empty_tables(spark):
     rows = [(1, None, 9), (2, "", 9), (None, "some text", None), (3, "a " * 50000, 9), (3, "a b", 9), (3, "a b", 9)]
     frame = docs(spark, rows, "doc_id long, text string, score int")
