@@ -200,6 +200,15 @@ def message_hits(keywords: list[str], patterns: list[str]) -> Column:
     return F.concat(lowered, as_written, F.array_compact(F.array(*tests))) if tests else F.concat(lowered, as_written)
 
 
+def tested_patterns(weights: DataFrame) -> dict[str, list[str]]:
+    """The keywords and expressions of a weight table, in order; read by one small job."""
+    tested = weights.filter(F.col("category").isin("keywords", "patterns")).select("category", "pattern").distinct()
+    tests = {"keywords": [], "patterns": []}
+    for row in tested.orderBy("category", "pattern").toLocalIterator():
+        tests[row["category"]].append(row["pattern"])
+    return tests
+
+
 def classify_learned(mail: DataFrame, weights: DataFrame) -> DataFrame:
     """Both weighted classifiers with a weight table instead of fixed weights.
 
@@ -210,10 +219,7 @@ def classify_learned(mail: DataFrame, weights: DataFrame) -> DataFrame:
     fixed order, and their number is bounded by the message.
     """
     table = weights.filter(F.col("category").isin(READ_CATEGORIES)).select("category", "pattern", "weight")
-    tested = table.filter("category != 'headers'").select("category", "pattern").distinct().orderBy("category", "pattern")
-    tests = {kind: [] for kind in READ_CATEGORIES}
-    for row in tested.toLocalIterator():
-        tests[row["category"]].append(row["pattern"])
+    tests = tested_patterns(table)
     keys = identity(mail)
     hits = with_lowered(mail).select(
         *keys,

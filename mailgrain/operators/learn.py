@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from mailgrain import schemas
 from mailgrain.functions import features as X
 from mailgrain.functions.text import exploded, has
-from mailgrain.operators.classify import RATIO_WEIGHTS, shows, with_lowered
+from mailgrain.operators.classify import RATIO_WEIGHTS, shows, tested_patterns, with_lowered
 from mailgrain.sources.mailstore import folders_between
 
 # Weight per unit of frequency, for each category of patterns.
@@ -71,13 +71,17 @@ def _count(rows: DataFrame, tags: Column) -> DataFrame:
     )
 
 
-def pattern_counts(mail: DataFrame, zone: str = "UTC") -> DataFrame:
-    """How many messages show each pattern, over fourteen categories."""
+def pattern_counts(mail: DataFrame, zone: str = "UTC", weights: DataFrame | None = None) -> DataFrame:
+    """How many messages show each pattern, over fourteen categories.
+
+    Keywords and expressions are those of the table ``weights``, whatever was learned or added; by default the
+    fixed ones.
+    """
     body, low, links = F.col("body_text"), F.col("_low"), F.col("_links")
-    searched = [(shows(body, p), p) for p in RATIO_WEIGHTS["patterns"] if p != "link"]
+    tests = RATIO_WEIGHTS if weights is None else tested_patterns(weights)
     tags = [
-        *_tags("keywords", [(has(low, k), k) for k in RATIO_WEIGHTS["keywords"]]),
-        *_tags("patterns", [(links > 0, "link"), *searched]),
+        *_tags("keywords", [(has(low, k), k) for k in tests["keywords"]]),
+        *_tags("patterns", [(links > 0 if p == "link" else shows(body, p), p) for p in tests["patterns"]]),
         _tag("sender_patterns", X.sender_name(F.col("sender"))),
         *_tags("subject_patterns", X.subject_tests(F.col("_subject"))),
         _tag("time_patterns", X.hour_received(F.col("date_received"), zone).cast("string")),

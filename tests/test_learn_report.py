@@ -46,6 +46,26 @@ def test_counts_once_per_message(spark):
     }
 
 
+def test_added_keyword_and_expression_are_counted(spark):
+    added = [("keywords", "raffle", 0.9), ("patterns", "[A-Z]{3}-[0-9]+", 0.4), ("patterns", "curly_brackets", 0.1)]
+    weights = L.default_weights(spark).unionByName(spark.createDataFrame(added, "category string, pattern string, weight double"))
+    mail = mails(spark, [{"body": "Raffle ABC-1 http://a"}, {"body": "raffle abc-1 loan {x}"}, {}])
+    counts = L.pattern_counts(mail, weights=weights).filter("category in ('keywords', 'patterns')")
+    got = {(r["category"], r["pattern"]): r["n"] for r in counts.collect()}
+    assert got == {
+        ("keywords", "raffle"): 2,
+        ("keywords", "loan"): 1,
+        ("patterns", "[A-Z]{3}-[0-9]+"): 1,
+        ("patterns", "curly_brackets"): 1,
+        ("patterns", "link"): 1,
+    }
+    learned = L.learn_weights(L.pattern_counts(mail, weights=weights), mail).filter("pattern = 'raffle'").head()
+    assert learned["weight"] == 1.0
+    few = spark.createDataFrame(added[:1], "category string, pattern string, weight double")
+    rest = L.pattern_counts(mail, weights=few).filter("category in ('keywords', 'patterns')").collect()
+    assert [(r["pattern"], r["n"]) for r in rest] == [("raffle", 2)]
+
+
 def test_pattern_with_colon(spark):
     got = {r["pattern"] for r in L.pattern_counts(mails(spark, [{"sender": "a:b:c <x>"}])).collect()}
     assert "a:b:c" in got
