@@ -7,7 +7,7 @@ import zlib
 
 MAGIC = b"\x1f\x8b\x08"
 CHUNK = 1 << 20
-LONGEST_HEADER = 1 << 16
+FIRST = b"WARC/1."
 
 
 def opened(uri: str):
@@ -102,7 +102,7 @@ def find_magic(source: Bytes, place: int, end: int) -> int:
 def fields(head: bytes) -> dict[str, str] | None:
     """Header fields by lower-case name; None if this is no record header."""
     lines = head.split(b"\r\n")
-    if not lines[0].startswith(b"WARC/1."):
+    if not lines[0].startswith(FIRST):
         return None
     out = {}
     for line in lines[1:]:
@@ -115,7 +115,7 @@ def fields(head: bytes) -> dict[str, str] | None:
 
 def member(source: Bytes, place: int):
     """Decode the member at ``place``: (header fields, block, place after it), or None if it is no record."""
-    unpacker, parts, head, total = zlib.decompressobj(31), [], None, 0
+    unpacker, parts, head, first, last = zlib.decompressobj(31), [], None, b"", b""
     try:
         while not unpacker.eof:
             piece = source.at(place)
@@ -123,14 +123,21 @@ def member(source: Bytes, place: int):
                 return None
             parts.append(unpacker.decompress(piece))
             place += len(piece) - len(unpacker.unused_data)
-            total += len(parts[-1])
-            if head is None and (total >= LONGEST_HEADER or unpacker.eof or b"\r\n\r\n" in parts[-1]):
-                top, gap, _ = b"".join(parts).partition(b"\r\n\r\n")
-                head = fields(top) if gap else None
-                if head is None:
+            if head is None:
+                # However long the header is, its first bytes tell a candidate that is no record.
+                first = (first + parts[-1])[: len(FIRST)]
+                if not FIRST.startswith(first):
                     return None
+                last += parts[-1]
+                if b"\r\n\r\n" in last:
+                    head = fields(b"".join(parts).partition(b"\r\n\r\n")[0])
+                    if head is None:
+                        return None
+                last = last[-3:]
     except zlib.error:
         return None
+    if head is None:
+        return None
     whole = b"".join(parts)
     start = whole.index(b"\r\n\r\n") + 4
     length = int(head["content-length"]) if head["content-length"].isdigit() else -1

@@ -1,3 +1,4 @@
+import base64
 import gzip
 import hashlib
 import io
@@ -54,6 +55,15 @@ def test_revisits_nulls_repeats_and_extra_columns(spark):
     assert {r["payload_digest"] for r in out if r["payload_bytes"] == 100} == {digest}
 
 
+@pytest.mark.parametrize("range_bytes", [1 << 19, warc.RANGE_BYTES])
+def test_a_long_url_is_read_back(spark, range_bytes):
+    url = "http://a/" + base64.b64encode(random.Random(7).randbytes(1_500_000)).decode()
+    rows = [(1, "http://a", "x"), (2, url, "y"), (3, "http://b", "z")]
+    archives, out = trip(spark, rows, range_bytes=range_bytes)
+    assert sum(r["records"] for r in archives.collect()) == 3
+    assert sorted((r["page_id"], r["url"], r["payload"].decode(), r["intact"]) for r in out) == [(*r, True) for r in rows]
+
+
 def test_empty_table(spark):
     archives, out = trip(spark, [])
     assert archives.count() == 0 and out == []
