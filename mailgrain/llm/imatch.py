@@ -28,9 +28,8 @@ LEAST_SHARE, MOST_SHARE = 0.005, 0.1
 #: Sixteen subsets at each rate; a subset holds one of so many terms.
 SUBSETS, RATES = 16, (16, 64, 256, 1024, 4096)
 FILLED = 8
-#: Bits of a part; it travels as a short number.
-BITS = 16
-LEAST = 1 << (BITS - 1)
+#: Bits of a part.
+BITS = 24
 SLOTS = 1 << 14
 
 
@@ -61,7 +60,7 @@ def parts(text: Column, chosen: Column) -> Column:
         place = lambda x: F.pmod(F.xxhash64(x, F.lit(rate)), F.lit(rate)).cast("int")
         entries = F.transform(all_terms, lambda x: F.struct(place(x).alias("subset"), x.alias("term")))
         used = F.filter(entries, lambda e: e["subset"] < SUBSETS)
-        digest = lambda t: (F.hash(t).bitwiseAND(F.lit((1 << BITS) - 1)) - LEAST).cast("short")
+        digest = lambda t: F.hash(t).bitwiseAND(F.lit((1 << BITS) - 1))
         one = lambda u, r: let(F.filter(u, lambda e: e["subset"] == r), lambda p: F.when(F.size(p) > 0, digest(p["term"])))
         return let(used, lambda u: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda r: one(u, r)))
 
@@ -86,7 +85,7 @@ def likeness(one: Column, other: Column) -> Column:
 
 def spelled(fingerprint: Column) -> Column:
     """As text: hex digits for each part, a dash for an empty one."""
-    digits = lambda x: F.lower(F.lpad(F.hex(x.cast("int") + LEAST), BITS // 4, "0"))
+    digits = lambda x: F.lower(F.lpad(F.hex(x), BITS // 4, "0"))
     return F.array_join(F.transform(fingerprint, lambda x: F.coalesce(digits(x), F.lit("-"))), "")
 
 
@@ -118,23 +117,24 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` of every row
     of ``docs`` (doc_id, text). The edited text is the text with its last third replaced by the beginning of the next.
 
-    Texts are shuffled once; what a text's predecessor needs of it, a beginning and the fingerprint, is sent on.
+    Texts are shuffled once, without their fingerprints, which are computed behind it on either side; what a text's
+    predecessor needs of it, a beginning and the fingerprint, is sent on.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     chosen = lexicon(texts)
     keyed = texts.withColumn("key", F.xxhash64("text"))
     links = stored(followers(keyed.withColumn("n_chars", F.length("text"))), "followers")
-    ready = keyed.withColumn("parts", parts(F.col("text"), chosen))
+    printed = lambda rows: rows.withColumn("parts", parts(F.col("text"), chosen))
     same = lambda a, b: a["doc_id"].eqNullSafe(b["id"]) & (a["key"] == b["the_key"])
     renamed = links.withColumnRenamed("doc_id", "id").withColumnRenamed("key", "the_key")
     sent = (
-        ready.join(renamed, same(ready, renamed))
+        printed(keyed.join(renamed, same(keyed, renamed)))
         .groupBy(F.col("of_id").alias("id"), F.col("of_key").alias("the_key"))
         .agg(F.first(F.struct(F.expr("substring(text, 1, need)").alias("head"), F.col("parts").alias("next_parts"))).alias("next"))
     )
     length = F.length("text")
     kept = F.substring("text", F.lit(1), length - F.floor(length / 3).cast("int"))
-    joined = ready.join(sent, same(ready, sent)).withColumn("edited", F.concat(kept, F.col("next.head")))
+    joined = printed(keyed.join(sent, same(keyed, sent))).withColumn("edited", F.concat(kept, F.col("next.head")))
     done = joined.withColumn("edited_parts", parts(F.col("edited"), chosen))
     return done.select(
         "doc_id",

@@ -50,6 +50,15 @@ def test_parts_by_brute_force(spark):
         assert r["fingerprint"].count("-") + len(digits) // (imatch.BITS // 4) == length
 
 
+def test_texts_with_one_kept_term_have_prints_of_their_own(spark):
+    """Where few subsets hold the one term, only the width of a part tells two texts from each other."""
+    words = docs(spark, [(i, f"w{i}") for i in range(5000)])
+    parts = imatch.parts(F.col("text"), F.from_json(F.lit(str([[]] * imatch.SLOTS)), "array<array<bigint>>"))
+    filled = words.select(F.explode(F.filter(parts, lambda p: p.isNotNull())).alias("part"), "text").distinct()
+    total, different = filled.select("text").distinct().count(), filled.select("part").distinct().count()
+    assert different > 0.99 * total and total == 5000
+
+
 def test_nulls_ties_repeats_and_empty_table(spark):
     rows = [(3, None, 1), (2, "", 1), (2, "two two", 1), (1, "aa bb cc", 2), (1, "aa bb cc", 2), (None, "zz yy xx ww", 3)]
     out = run(docs(spark, rows, "doc_id long, text string, fingerprint int"))
