@@ -91,10 +91,51 @@ c AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) ||
     FROM t GROUP BY conv_id)
 SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM c"""
 
+OP11 = r"""
+WITH w AS (SELECT 'd' AS side, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents
+    UNION ALL SELECT 'b', item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+n AS (SELECT side, doc_id, word, count(*) AS n FROM w GROUP BY side, doc_id, word),
+crc_table AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t
+    FROM range(256) r(i)),
+each AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM n)),
+bucket AS (SELECT word, xor(4294967295, list_reduce(list_transform(range(1, len(h), 2), lambda p: CAST('0x' || h[p:p + 1] AS BIGINT)),
+        lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295)) % 10000 AS bucket FROM each, crc_table),
+per AS (SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 'b'), 0) AS t FROM n JOIN bucket USING (word) GROUP BY bucket),
+total AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM per),
+gain AS (SELECT bucket, CAST(floor(1000 * ln(CAST(per.t + 1 AS DOUBLE) * CAST(total.s + 10000 AS DOUBLE)
+        / (CAST(per.s + 1 AS DOUBLE) * CAST(total.t + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM per, total),
+doc AS (SELECT doc_id, sum(n) AS n, sum(n * gain) AS weight FROM n JOIN bucket USING (word) JOIN gain USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+scored AS (SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+        CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+            / 4294967296::DOUBLE))) AS BIGINT) AS score
+    FROM documents LEFT JOIN doc USING (doc_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+        count(*) OVER (PARTITION BY n_features >= 20) AS able FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= able * 10 // 100 THEN place END AS rank FROM ranked"""
+
+OP13 = """
+WITH usable AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec
+    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+        CAST(list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: coalesce(z[1] * z[2], 0))) AS BIGINT) AS score
+    FROM usable a JOIN usable b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positive AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM scores WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+    id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN scores USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 10"""
+
 ORACLES = {
     "op1_benchmark_decontamination": OP1,
     "op3_minhash_near_dedup": OP3,
     "op4_secret_scans": OP4,
     "op7_warc": OP7,
     "op8_chat_formatting": OP8,
+    "op11_importance_resampling": OP11,
+    "op13_hard_negatives": OP13,
 }

@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailgrain.llm import chat, decontaminate, imatch, near_dedup, piece_sampling, quality, secret_scan, sharding, token_counts, warc
+from mailgrain.llm import (
+    chat, decontaminate, hard_negatives, imatch, near_dedup, piece_sampling, pii, quality, resample, secret_scan, sharding, token_counts,
+    warc,
+)
 from mailgrain.llm.oracles import ORACLES  # noqa: F401
 from mailgrain.llm.tables import table, vocabulary
 
@@ -91,10 +94,30 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scanned(table(spark, sf_dir, "documents"), pii.trained(pii.labelled(spark)), ["doc_id"])
+    spans = F.col("spans")
+    return found.select(
+        "doc_id", *(pii.number(spans, kind).alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")),
+        F.sha2(pii.written(spans, only_base=True), 256).alias("base_sha256"), pii.written(spans).alias("spans"),
+    )
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.usable(table(spark, sf_dir, "embeddings"), scale=256, flip_every=7)
+    return hard_negatives.mined(rows)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_benchmark_decontamination, op2_quality_classifier, op3_minhash_near_dedup, op4_secret_scans,
         op5_document_fingerprints, op6_sharding, op7_warc, op8_chat_formatting, op9_sentencepiece, op10_token_counts,
+        op11_importance_resampling, op12_personal_data, op13_hard_negatives,
     )
 }
