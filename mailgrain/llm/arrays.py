@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 U64 = np.uint64
@@ -38,11 +40,24 @@ def prefix_hash(codes: np.ndarray) -> np.ndarray:
 
 
 def stretch_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of ``codes[start:end]``; equal stretches are equal wherever they stand."""
+    """Hash of ``codes[start:end]``, a short stretch; equal stretches are equal wherever they stand."""
     _, down = powers(len(prefix))
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(U64) * U64(0xD1342543DE82EF95))
 
 
+#: Stretches of more units than this are told apart by a digest: the sums alone do not tell some long regular ones apart.
+LONG = 32
+
+
+def hashed(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the stretches ``codes[start:end]``, of any length. Long ones are rare, and their bytes are read once."""
+    out = stretch_hash(prefix_hash(codes), start, end)
+    for i in np.flatnonzero(end - start > LONG).tolist():
+        digest = blake2b(codes[start[i] : end[i]].tobytes(), digest_size=8).digest()
+        out[i] = U64(int.from_bytes(digest, "little"))
+    return out
+
+
 _BYTE_CODES = mix(np.arange(1, 257, dtype=U64) * U64(0xA0761D6478BD642F)) | U64(1)
 
 
@@ -84,7 +99,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarra
     start = np.flatnonzero(inside & (first[:-1] | ~before))
     after = np.concatenate((inside[1:], [False]))
     end = np.flatnonzero(inside & (first[1:] | ~after)) + 1
-    hashes = stretch_hash(prefix_hash(codes[data]), start, end)
+    hashes = hashed(codes[data], start, end)
     return hashes, np.searchsorted(start, offsets).astype(np.int64)
 
 
@@ -149,3 +164,23 @@ def text_slices(column, limit: int):
     for first, last in slices(np.diff(offsets), limit):
         part = offsets[first : last + 1]
         yield first, last, data[part[0] : part[-1]], part - part[0]
+
+
+def parts(data: np.ndarray, limit: int):
+    """A text's bytes in parts of about ``limit`` that end behind a blank; one without blanks stays whole."""
+    blank = np.zeros(256, bool)
+    blank[list(SEPARATORS)] = True
+    start = 0
+    while len(data) - start > limit:
+        cut = start + limit
+        while cut < len(data):
+            stop = np.flatnonzero(blank[data[cut : cut + limit]])
+            if len(stop):
+                cut += int(stop[0]) + 1
+                break
+            cut += limit
+        if cut >= len(data):
+            break
+        yield data[start:cut]
+        start = cut
+    yield data[start:] if start else data

@@ -18,7 +18,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from mailgrain.llm import pieces
 
-SLICE_BYTES, SLICE_PIECES = 3 << 20, 1 << 20
+SLICE_BYTES, SLICE_PIECES = 512 << 10, 256 << 10
 
 
 def _others(frame: DataFrame, *taken: str) -> list[str]:

@@ -8,6 +8,7 @@ the text falls into pre-tokens that are worked out once however often they occur
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 
@@ -39,6 +40,10 @@ class Vocabulary:
     piece_start: np.ndarray
     byte_id: np.ndarray
 
+    def pairs(self) -> dict[int, int]:
+        """The piece by pair key."""
+        return dict(zip(self.pair_key.tolist(), self.pair_piece.tolist(), strict=True))
+
 
 def load(path: str) -> Vocabulary:
     """Read a merge vocabulary with byte pieces. Weights for sampling fall with the piece's place, as 1 / place."""
@@ -141,7 +146,66 @@ def ragged(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.repeat(start - offsets[:-1], length) + np.arange(offsets[-1]), offsets
 
 
+#: Longer sequences are merged place by place: in step, each of their many rounds would pass over all of them.
+LONG = 256
+
+
 def merge(symbols: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Merge every sequence to its end: symbols left, and whether the first one is still a lone space mark."""
+    length = np.diff(offsets)
+    long = length > LONG
+    if not long.any():
+        return merge_in_step(symbols, offsets, v)
+    left_over, alone = np.zeros(len(length), np.int64), np.zeros(len(length), bool)
+    short = np.flatnonzero(~long)
+    at, starts = ragged(offsets[:-1][short], length[short])
+    left_over[short], alone[short] = merge_in_step(symbols[at], starts, v)
+    for i in np.flatnonzero(long).tolist():
+        left_over[i], alone[i] = merge_long(symbols[offsets[i] : offsets[i + 1]], v)
+    return left_over, alone
+
+
+def merge_long(symbols: np.ndarray, v: Vocabulary) -> tuple[int, bool]:
+    """Merge one sequence, the lowest rank and then the leftmost place first, from a heap of all places where a pair
+    stands. A merge touches only the two pairs beside it, so the time is about in proportion to the length."""
+    n = len(symbols)
+    at, good = _pairs(symbols[:-1].astype(np.int64), symbols[1:].astype(np.int64), v)
+    piece = v.pair_piece[at]
+    wanted = [*np.where(good, piece, -1).tolist(), -1]  # by place: the piece that this and the next symbol make
+    own, rank, find = symbols.tolist(), v.rank.tolist(), v.pairs()
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = ((v.rank[piece[good]] << 32) | np.flatnonzero(good)).tolist()
+    heapify(heap)
+    left = n
+    while heap:
+        entry = heappop(heap)
+        i = entry & 0xFFFFFFFF
+        new = wanted[i]
+        if new < 0 or rank[new] != entry >> 32:
+            continue
+        j = after[i]
+        k, own[i], wanted[j] = after[j], new, -1
+        after[i] = k
+        left -= 1
+        wanted[i] = -1
+        if k < n:
+            before[k] = i
+        for a, b in ((before[i], i), (i, k)):
+            if a >= 0 and b < n:
+                wanted[a] = made = find.get(own[a] * v.size + own[b], -1)
+                if made >= 0:
+                    heappush(heap, rank[made] << 32 | a)
+    return left, own[0] == v.char_id[MARK]
+
+
+def _pairs(left: np.ndarray, right: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pairs stand in the vocabulary's list, and which of them stand there."""
+    keys = left * v.size + right
+    at = np.minimum(np.searchsorted(v.pair_key, keys), len(v.pair_key) - 1)
+    return at, v.pair_key[at] == keys
+
+
+def merge_in_step(symbols: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Merge every sequence to its end: symbols left, and whether the first one is still a lone space mark.
 
     All sequences work in step. In each round a sequence merges its pair of lowest rank: every place of it,
@@ -156,9 +220,8 @@ def merge(symbols: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> tuple[np.n
         row = A.rows_of(offsets)
         rank = np.full(len(symbols), NO_RANK)
         if len(symbols) > 1:
-            keys = symbols[:-1] * v.size + symbols[1:]
-            at = np.minimum(np.searchsorted(v.pair_key, keys), len(v.pair_key) - 1)
-            good = (v.pair_key[at] == keys) & (row[:-1] == row[1:])
+            at, good = _pairs(symbols[:-1], symbols[1:], v)
+            good &= row[:-1] == row[1:]
             piece = np.concatenate((v.pair_piece[at], [0]))
             rank[:-1][good] = v.rank[piece[:-1][good]]
         else:
@@ -225,7 +288,7 @@ def count_tokens(texts: list[str | None], v: Vocabulary, known: Known) -> np.nda
     marks = np.concatenate(([0], np.cumsum(ids == mark)))
     run = marks[last] - marks[first]
     begin = first + np.maximum(run - 1, 0)
-    hashes = A.stretch_hash(A.prefix_hash(symbol_codes(ids)), begin, last)
+    hashes = A.hashed(symbol_codes(ids), begin, last)
     kinds, example, which = np.unique(hashes, return_index=True, return_inverse=True)
     have, value = known.get(kinds)
     new = np.flatnonzero(~have)
@@ -329,7 +392,7 @@ def sample(texts: list[str | None], seeds: np.ndarray, v: Vocabulary, sharpness:
     own_mark[starts[:-1][np.diff(starts) > 0]] = False
     ids = np.where(own_mark, -1, v.char_id[points])
     first, last = pretokens(ids, starts, v.char_id[MARK])
-    hashes = A.stretch_hash(A.prefix_hash(symbol_codes(ids)), first, last)
+    hashes = A.hashed(symbol_codes(ids), first, last)
     _, example, which = np.unique(hashes, return_index=True, return_inverse=True)
     at, offsets = ragged(first[example], (last - first)[example])
     ways = lattice(ids[at], offsets, v, sharpness)

@@ -11,7 +11,8 @@
 Only the text goes into a score. Documents whose ``crc32(doc_id) mod 3`` is 1 give no label. Defined
 results: null and empty texts have a zero pool and the score that the network gives it; labels that are null, or
 repeated with different values, are left out; without labels of both kinds every score is the share of label 1 (a half
-if there are none); repeated rows are scored alike; the columns asked for are carried along, but for one named ``score``.
+if there are none); repeated rows are scored alike; the columns asked for are carried along, but for one named ``score``. A text longer
+than ``SLICE_BYTES`` is worked on in parts that end at blanks, so memory does not grow with it, but for a stretch without blanks.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from mailgrain.llm import quality_net as N
 
-SLICE_BYTES, BLOCK, FAN_IN = 2 << 20, 8192, 256
+SLICE_BYTES, BLOCK, FAN_IN = 256 << 10, 8192, 256
 
 
 def held_out(doc_id: Column) -> Column:

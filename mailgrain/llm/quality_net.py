@@ -33,7 +33,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     start, end = at[:-1], at[1:]
     word = kind[start] > 0
     start, end = start[word], end[word]
-    hashes = A.stretch_hash(A.prefix_hash(_CODES[data]), start, end)
+    hashes = A.hashed(_CODES[data], start, end)
     return (hashes >> U64(50)).astype(np.int64), np.searchsorted(start, offsets).astype(np.int64)
 
 
@@ -64,7 +64,8 @@ def gathered(batches, block: int, limit: int):
     total = np.zeros(BUCKETS * WIDTH, np.int64)
     for batch in batches:
         for _, _, data, offsets in A.text_slices(batch.column(0), limit):
-            total += contexts(data, offsets, places, signs)
+            for part in A.parts(data, limit) if len(offsets) == 2 else [data]:
+                total += contexts(part, offsets if part is data else np.array([0, len(part)]), places, signs)
     parts = total.reshape(-1, block)
     some = np.flatnonzero(parts.any(axis=1))
     task = TaskContext.get().partitionId()
@@ -92,25 +93,52 @@ def vectors(total: np.ndarray) -> np.ndarray:
     return np.divide(table, norm, out=np.zeros_like(table), where=norm > 0).astype(np.float32)
 
 
-def pooled(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Per text the mean and spread of its words' vectors, and the mean product of neighbours; a text without
-    words has zeros."""
-    bucket, starts = tokens(data, offsets)
-    out = np.zeros((len(starts) - 1, FEATURES))
-    counts = np.diff(starts)
-    some = np.flatnonzero(counts > 0)
-    if not len(some):
-        return out
-    begin, n = starts[:-1][some], counts[some][:, None].astype(np.float64)
-    own = table[bucket]
-    mean = np.add.reduceat(own, begin, axis=0, dtype=np.float64) / n
-    square = np.add.reduceat(own * own, begin, axis=0, dtype=np.float64) / n
-    out[some, :WIDTH] = mean
-    out[some, WIDTH : 2 * WIDTH] = np.sqrt(np.maximum(square - mean * mean, 0.0))
-    own[:-1] *= own[1:]
-    own[starts[1:][some] - 1] = 0.0
-    out[some, 2 * WIDTH :] = np.add.reduceat(own, begin, axis=0, dtype=np.float64) / np.maximum(n - 1, 1)
-    return out
+@dataclass(frozen=True)
+class Sums:
+    """What the pools of texts are made of, by text; sums of a text's parts add up."""
+
+    words: np.ndarray
+    own: np.ndarray  # sums of the words' vectors, of their squares, and of the products of neighbours
+    square: np.ndarray
+    product: np.ndarray
+
+    @classmethod
+    def of(cls, data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Sums:
+        bucket, starts = tokens(data, offsets)
+        counts = np.diff(starts)
+        own, square, product = (np.zeros((len(counts), WIDTH)) for _ in range(3))
+        some = np.flatnonzero(counts > 0)
+        if len(some):
+            begin, vector = starts[:-1][some], table[bucket]
+            own[some] = np.add.reduceat(vector, begin, axis=0, dtype=np.float64)
+            square[some] = np.add.reduceat(vector * vector, begin, axis=0, dtype=np.float64)
+            vector[:-1] *= vector[1:]
+            vector[starts[1:][some] - 1] = 0.0
+            product[some] = np.add.reduceat(vector, begin, axis=0, dtype=np.float64)
+        return cls(counts, own, square, product)
+
+    def plus(self, other: Sums) -> Sums:
+        return Sums(self.words + other.words, self.own + other.own, self.square + other.square, self.product + other.product)
+
+    def pools(self) -> np.ndarray:
+        """Per text the mean and spread of its words' vectors, and the mean product of neighbours; a text without
+        words has zeros."""
+        n = np.maximum(self.words, 1)[:, None].astype(np.float64)
+        mean = self.own / n
+        spread = np.sqrt(np.maximum(self.square / n - mean * mean, 0.0))
+        return np.concatenate((mean, spread, self.product / np.maximum(n - 1, 1)), axis=1)
+
+
+def pooled(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, limit: int = 1 << 62) -> np.ndarray:
+    """The pools of all texts. A text alone that is longer than ``limit`` bytes is summed up in parts that end at a blank; the
+    words on either side of such an end do not count as neighbours."""
+    if len(offsets) != 2 or len(data) <= limit:
+        return Sums.of(data, offsets, table).pools()
+    total = None
+    for part in A.parts(data, limit):
+        sums = Sums.of(part, np.array([0, len(part)]), table)
+        total = total.plus(sums) if total else sums
+    return total.pools()
 
 
 def features(batches, table: np.ndarray, limit: int):
@@ -120,7 +148,7 @@ def features(batches, table: np.ndarray, limit: int):
     for batch in batches:
         names = batch.schema.names[:-1]
         for first, last, data, offsets in A.text_slices(batch.column(len(names)), limit):
-            pool = pooled(data, offsets, table)
+            pool = pooled(data, offsets, table, limit)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(pool.ravel()), FEATURES).cast(pa.list_(pa.float64()))
             rest = [batch.column(c).slice(first, last - first) for c in names]
             yield pa.RecordBatch.from_arrays([*rest, lists], [*names, "pool"])
@@ -197,6 +225,6 @@ def scored(batches, table: np.ndarray, weights: dict, keep: list[str], limit: in
     net = Net(**weights)
     for batch in batches:
         for first, last, data, offsets in A.text_slices(batch.column("text"), limit):
-            score = np.round(net.score(pooled(data, offsets, table)), 6)
+            score = np.round(net.score(pooled(data, offsets, table, limit)), 6)
             rest = [batch.column(c).slice(first, last - first) for c in keep]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(score)], [*keep, "score"])

@@ -46,22 +46,6 @@ def runs(data: np.ndarray, offsets: np.ndarray, longest: int, buckets: int) -> l
     return out
 
 
-def _parts(text: np.ndarray, limit: int):
-    """A long text in parts that end behind a separator, so that no word is cut."""
-    start = 0
-    while len(text) - start > limit:
-        cut = start + limit
-        while cut < len(text):
-            stop = np.flatnonzero(~_WORD[text[cut : cut + limit]])
-            if len(stop):
-                cut += int(stop[0]) + 1
-                break
-            cut += limit
-        yield text[start:cut]
-        start = min(cut, len(text))
-    yield text[start:]
-
-
 def _context(part: np.ndarray, words: int) -> np.ndarray:
     """The last so many words of a part, with a space behind each."""
     stream, start, _, _ = normalised(part, np.array([0, len(part)]))
@@ -74,7 +58,7 @@ def measured(column, longest: int, buckets: int, limit: int):
     for first, last, data, offsets in A.text_slices(column, limit):
         long = last == first + 1 and len(data) > limit
         before = data[:0]
-        for part in _parts(data, limit) if long else [data]:
+        for part in A.parts(data, limit) if long else [data]:
             known = normalised(before, np.array([0, len(before)]))[1]
             whole = np.concatenate((before, part)) if len(before) else part
             bounds = np.array([0, len(whole)]) if long else offsets
