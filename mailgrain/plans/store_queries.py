@@ -10,6 +10,7 @@ from mailgrain.operators import actions as A
 from mailgrain.operators import calendar as K
 from mailgrain.operators import classify as C
 from mailgrain.operators import learn as L
+from mailgrain.operators import merge as G
 from mailgrain.operators import models as M
 from mailgrain.operators import quality as Q
 from mailgrain.operators import senders as S
@@ -26,7 +27,7 @@ _SAVED = ["account", "message_id", "sender", "subject", "body_text", "date_recei
 _SHARED_ID = V._KEY.format("seq - seq % 2")
 
 
-def _save_log(spark, sf_dir):
+def _save_batches(spark, sf_dir):
     """First saves of all mail and later re-saves of some. Two accounts share message ids, and two saves in a row
     share an arrival number."""
     two = F.concat(F.lit("acct-"), F.col("seq") % 2).alias("account")
@@ -35,6 +36,11 @@ def _save_log(spark, sf_dir):
     first = V.mail(spark, sf_dir).select(two, shared, *rest, "date_received", F.expr("seq div 2 * 2").alias("ingest_seq"))
     saves = V.saves(spark, sf_dir).withColumn("seq", F.col("mail_seq"))
     again = saves.select(two, shared, *rest, "date_received", F.expr("ingest_seq * 2 + 1").alias("ingest_seq"))
+    return first, again
+
+
+def _save_log(spark, sf_dir):
+    first, again = _save_batches(spark, sf_dir)
     return first.unionByName(again)
 
 
@@ -45,20 +51,33 @@ _SAVE_LOG = f"""{O.MAIL}, log AS (
     FROM (SELECT *, mail_seq AS seq FROM ({V.SAVES_SQL}) s0) s)"""
 
 
-@query(
-    "store_emails",
-    f"""WITH {_SAVE_LOG} SELECT account, message_id, sender, subject, body_text, ingest_seq,
-      strftime(date_received, {O.ISO}) AS received FROM log
-      QUALIFY row_number() OVER (PARTITION BY account, message_id ORDER BY ingest_seq DESC, date_received DESC) = 1""",
-)
+_LAST_SAVES = f"""WITH {_SAVE_LOG} SELECT account, message_id, sender, subject, body_text, ingest_seq,
+  strftime(date_received, {O.ISO}) AS received FROM log
+  QUALIFY row_number() OVER (PARTITION BY account, message_id ORDER BY ingest_seq DESC, date_received DESC) = 1"""
+
+
+def _as_saved(mail):
+    return mail.select(
+        "account", "message_id", "sender", "subject", "body_text", "ingest_seq", iso("date_received").alias("received")
+    )
+
+
+@query("store_emails", _LAST_SAVES)
 def store_emails(spark, sf_dir):
     path = shared_dir(spark, "emails")
     log = _save_log(spark, sf_dir)
     mailstore.write_mail(T.latest_saves(log), path, unit="month")
-    stored = mailstore.read_mail(spark, path, log.schema)
-    return stored.select(
-        "account", "message_id", "sender", "subject", "body_text", "ingest_seq", iso("date_received").alias("received")
-    )
+    return _as_saved(mailstore.read_mail(spark, path, log.schema))
+
+
+@query("merge_emails", _LAST_SAVES)
+def merge_emails(spark, sf_dir):
+    """The first saves, then the re-saves as a batch that moves some messages to other dates."""
+    path = shared_dir(spark, "emails")
+    first, again = _save_batches(spark, sf_dir)
+    for batch in (first, again):
+        G.merge_mail(batch, path, unit="month", prefix_digits=1)
+    return _as_saved(G.read_merged(spark, path, first.schema))
 
 
 def _mails_asked_for(spark, sf_dir, *columns):
