@@ -55,6 +55,15 @@ def copied_join(
     return big.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def joined_null_safe(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join in which nulls are equal; the keys are those of ``a``."""
+    b = b.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return a.join(b, same, how).drop(*(f"_{k}" for k in keys))
+
+
 #: What tells messages apart; ids and threads are unique within an account only.
 IDENTITY = ["provider", "account", "message_id"]
 

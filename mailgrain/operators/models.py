@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mailgrain.functions import features as X
 from mailgrain.operators.classify import classify_additive
+from mailgrain.operators.joins import identity
 
 
 def feature_map() -> Column:
@@ -30,17 +31,17 @@ def feature_map() -> Column:
 def build_training_set(mail: DataFrame, feedback: DataFrame) -> DataFrame:
     """Features of all mail with the user's label where there is one; a label makes a row validated.
 
-    ``feedback``: message_id, priority, category, unique per message.
+    ``feedback``: the message's identity, priority, category, unique per message.
     """
-    scored = classify_additive(mail)
+    scored, keys = classify_additive(mail), identity(mail)
     features = scored.select(
-        "message_id",
+        *keys,
         feature_map().alias("features"),
         F.col("score").alias("confidence"),
         F.col("date_received").alias("created_at"),
     )
-    return features.join(feedback, "message_id", "left").select(
-        "message_id",
+    return features.join(feedback, identity(feedback), "left").select(
+        *keys,
         "features",
         F.col("priority").alias("label_priority"),
         F.col("category").alias("label_category"),
@@ -52,9 +53,9 @@ def build_training_set(mail: DataFrame, feedback: DataFrame) -> DataFrame:
 
 def validated_training(samples: DataFrame, size: int | None = None) -> DataFrame:
     """Validated samples, newest first; no size, or zero, means all."""
-    rows = samples.filter("is_validated").orderBy(F.col("created_at").desc(), F.col("message_id"))
+    rows = samples.filter("is_validated").orderBy(F.col("created_at").desc(), *identity(samples))
     rows = rows.limit(size) if size else rows
-    return rows.select("message_id", "features", "label_priority", "label_category")
+    return rows.select(*identity(samples), "features", "label_priority", "label_category")
 
 
 def model_metrics(judged: DataFrame) -> DataFrame:

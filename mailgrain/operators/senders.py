@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mailgrain.functions.features import mail_preview, sender_domain_store
-from mailgrain.operators.joins import identity
+from mailgrain.operators.cooldown import taken
+from mailgrain.operators.joins import identity, joined_null_safe
+from mailgrain.session import stored
 
 # Our scale for the mean of user priorities.
 PRIORITY_VALUES = {"critical": 5, "important": 4, "normal": 3, "low": 2, "archive": 1}
@@ -53,17 +55,17 @@ def priority_value(priority: Column) -> Column:
 def sender_behaviour(mail: DataFrame, actions: DataFrame) -> DataFrame:
     """What the user does with each sender's mail.
 
-    ``mail``: message_id, sender, date_received, is_bot, user_priority. ``actions``: message_id,
+    ``mail``: its identity, sender, date_received, is_bot, user_priority. ``actions``: the message's identity and
     action_type. Actions are counted per message before the join, so a message with very many
     actions weighs one row in it.
     """
     of = lambda kind: F.count_if(F.col("action_type") == kind)
     kinds = ["read", "reply", "archive", "delete"]
-    per_mail = actions.groupBy("message_id").agg(*[of(kind).alias(kind) for kind in kinds])
+    per_mail = actions.groupBy(*identity(actions)).agg(*[of(kind).alias(kind) for kind in kinds])
     added = lambda kind: F.coalesce(F.sum(kind), F.lit(0)).alias(f"{kind}_count")
     bots = F.sum(F.col("is_bot").cast("int"))
     grouped = (
-        mail.join(per_mail, "message_id", "left")
+        mail.join(per_mail, identity(actions), "left")
         .groupBy("sender")
         .agg(
             F.count(F.lit(1)).alias("total_emails"),
@@ -79,11 +81,11 @@ def sender_behaviour(mail: DataFrame, actions: DataFrame) -> DataFrame:
 
 
 def notify_feed(mail: DataFrame, flags: DataFrame, minutes: int = COOLDOWN_MINUTES) -> DataFrame:
-    """Important mail as one line each, the first per account and ``minutes``-long window.
+    """Important mail as one line each: an account's first, then always the first that comes ``minutes`` or more behind the
+    last one shown.
 
-    Windows are fixed, so two lines may be closer than ``minutes`` across a window's edge; in
-    return no account's mail is ever walked through in order by one task. Lines are cut to size
-    before the join, so no body is shuffled.
+    Of mail that an account got at one time the first by ``seq`` and message counts. Lines are cut to size
+    before the join, so no body is shuffled, and only times go through the cooldown. Mail without a date is not shown.
     ``mail``: account, message_id, sender, subject, body_text, date_received, seq.
     ``flags``: the message's identity and is_important, unique per message.
     """
@@ -93,11 +95,16 @@ def notify_feed(mail: DataFrame, flags: DataFrame, minutes: int = COOLDOWN_MINUT
         F.concat(F.lit("Subject: "), F.col("subject")),
         F.concat(F.lit("Summary: "), mail_preview(F.col("body_text"))),
     )
-    first = F.min(F.struct("date_received", "seq", "message_id", "line"))
-    return (
-        mail.select(*identity(mail), "date_received", "seq", line.alias("line"))
-        .join(flags.filter("is_important"), identity(flags), "left_semi")
-        .groupBy("account", F.window("date_received", f"{minutes} minutes").alias("w"))
+    owner = [k for k in identity(mail) if k != "message_id"]
+    shown = mail.filter("date_received IS NOT NULL").select(*identity(mail), "date_received", "seq", line.alias("line"))
+    first = F.min(F.struct("seq", "message_id", "date_received", "line"))
+    lines = (
+        shown.join(flags.filter("is_important"), identity(flags), "left_semi")
+        .groupBy(*owner, F.unix_micros("date_received").alias("t"))
         .agg(first.alias("f"))
-        .select("account", "f.message_id", F.col("f.date_received").alias("sent_at"), "f.line")
+    )
+    lines = stored(lines, "lines")
+    sent = taken(lines.select(*owner, "t"), owner, minutes * 60_000_000)
+    return joined_null_safe(lines, sent, [*owner, "t"], "left_semi").select(
+        "account", "f.message_id", F.col("f.date_received").alias("sent_at"), "f.line"
     )

@@ -164,7 +164,7 @@ def cascade(rows: DataFrame, parents: DataFrame, column: str, key: str) -> DataF
 
 def live_raw_messages(raw: DataFrame, mail: DataFrame) -> DataFrame:
     """Raw messages not marked deleted whose mail is still stored."""
-    return raw.filter(~F.col("is_deleted")).join(mail.select("message_id"), "message_id", "left_semi")
+    return raw.filter(~F.col("is_deleted")).join(mail.select(*identity(raw)), identity(raw), "left_semi")
 
 
 def retention(mail: DataFrame, as_of: Column, days: int = 30) -> DataFrame:

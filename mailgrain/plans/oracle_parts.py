@@ -20,6 +20,12 @@ MAIL = f"""mail AS (SELECT *, make_timestamp(epoch_s * 1000000) AS date_received
   FROM ({V.MAIL_SQL}) v)"""
 
 
+def in_two_accounts(table: str, number: str, others: str = "message_id") -> str:
+    """``table`` with its rows dealt to two accounts that share their message ids; ``others`` are the columns to replace."""
+    return f"""(SELECT * EXCLUDE ({others}), concat('acct-', {number} % 2) AS account,
+      {V._KEY.format(f'{number} - {number} % 2')} AS message_id FROM {table})"""
+
+
 def count_of(text: str, pattern: str) -> str:
     return f"len(regexp_extract_all({text}, '{pattern}'))"
 

@@ -206,19 +206,21 @@ def deduplicated(spark, sf_dir):
 
 @query(
     "live_raw_messages",
-    f"""WITH raw AS (SELECT {V._KEY.format('page_id')} AS message_id, html, length(url) % 3 = 0 AS is_deleted FROM pages)
-      SELECT message_id, sha256(html) AS content FROM raw
-      WHERE NOT is_deleted AND message_id IN (SELECT {V._KEY.format('doc_id')} FROM documents)""",
+    f"""WITH raw AS (SELECT page_id AS seq, '' AS message_id, html, length(url) % 3 = 0 AS is_deleted FROM pages),
+      d AS (SELECT doc_id AS seq, '' AS message_id FROM documents)
+      SELECT account, message_id, sha256(html) AS content FROM {O.in_two_accounts('raw', 'seq')} r
+      WHERE NOT is_deleted AND (account, message_id) IN (SELECT (account, message_id) FROM {O.in_two_accounts('d', 'seq')} d)""",
 )
 def live_raw_messages(spark, sf_dir):
     pages = V.table(spark, sf_dir, "pages")
-    raw = pages.select(
-        F.lpad(F.lower(F.hex("page_id")), 16, "0").alias("message_id"),
+    raw = V.in_two_accounts(pages, "page_id").select(
+        "account",
+        "message_id",
         F.encode("html", "UTF-8").alias("raw_message"),
         (F.length("url") % 3 == 0).alias("is_deleted"),
     )
-    live = T.live_raw_messages(raw, V.mail(spark, sf_dir))
-    return live.select("message_id", F.sha2("raw_message", 256).alias("content"))
+    live = T.live_raw_messages(raw, V.in_two_accounts(V.mail(spark, sf_dir), "seq"))
+    return live.select("account", "message_id", F.sha2("raw_message", 256).alias("content"))
 
 
 _CHILDREN = {
@@ -355,21 +357,25 @@ def sender_stats(spark, sf_dir):
 
 @query(
     "sender_behaviour",
-    f"""WITH {O.ADDITIVE}, {O.UPDATES}, acts AS (SELECT message_id,
+    f"""WITH {O.ADDITIVE}, {O.UPDATES}, acts AS (SELECT account, message_id,
         {", ".join(f"count(*) FILTER (action_type = '{k}') AS n_{k}" for k in ("read", "reply", "archive", "delete"))}
-        FROM ({V.ACTIONS_SQL}) a GROUP BY 1)
+        FROM {O.in_two_accounts(f"({V.ACTIONS_SQL})", "mail_seq")} a GROUP BY 1, 2)
       SELECT sender AS sender_email, split_part(sender, '@', 2) AS sender_domain, count(*) AS total_emails,
         {", ".join(f"coalesce(sum(n_{k}), 0)::BIGINT AS {k}_count" for k in ("read", "reply", "archive", "delete"))},
         sum(CASE priority WHEN 'important' THEN 4 WHEN 'low' THEN 2 WHEN 'archive' THEN 1 END)::DOUBLE
           / count(priority)::DOUBLE AS avg_user_priority,
         count(*) FILTER (is_bot) * 2 > count(*) AS is_automated,
         strftime(min(date_received), {O.ISO}) AS first, strftime(max(date_received), {O.ISO}) AS last
-      FROM additive LEFT JOIN acts USING (message_id) LEFT JOIN feedback USING (message_id) GROUP BY 1, 2""",
+      FROM {O.in_two_accounts("additive", "seq", "account, message_id")} a LEFT JOIN acts USING (account, message_id)
+      LEFT JOIN {O.in_two_accounts("feedback", "update_seq")} f USING (account, message_id) GROUP BY 1, 2""",
 )
 def sender_behaviour(spark, sf_dir):
-    scored = C.classify_additive(V.mail(spark, sf_dir)).select("message_id", "sender", "date_received", "is_bot")
-    told = V.feedback(spark, sf_dir).select("message_id", F.col("priority").alias("user_priority"))
-    stats = S.sender_behaviour(scored.join(told, "message_id", "left"), V.actions(spark, sf_dir))
+    scored = V.in_two_accounts(C.classify_additive(V.mail(spark, sf_dir)), "seq")
+    told = V.in_two_accounts(V.feedback(spark, sf_dir), "update_seq")
+    told = told.select("account", "message_id", F.col("priority").alias("user_priority"))
+    mail = scored.select("account", "message_id", "sender", "date_received", "is_bot")
+    mail = mail.join(told, ["account", "message_id"], "left")
+    stats = S.sender_behaviour(mail, V.in_two_accounts(V.actions(spark, sf_dir), "mail_seq"))
     counts = [f"{k}_count" for k in ("read", "reply", "archive", "delete")]
     return stats.select(
         "sender_email", "sender_domain", "total_emails", *counts, "avg_user_priority", "is_automated",
@@ -379,11 +385,16 @@ def sender_behaviour(spark, sf_dir):
 
 @query(
     "notify_feed",
-    f"""WITH {IMPORTANT}, feed AS (SELECT *, {O.SQUEEZED} AS squeezed FROM important
-        WHERE known_sender OR has_word OR in_chain)
+    f"""WITH RECURSIVE {IMPORTANT}, feed AS (SELECT *, {O.SQUEEZED} AS squeezed FROM important
+        WHERE known_sender OR has_word OR in_chain
+        QUALIFY row_number() OVER (PARTITION BY account, date_received ORDER BY seq, message_id) = 1),
+      ahead AS (SELECT account, date_received, min(date_received) OVER (PARTITION BY account ORDER BY date_received
+        RANGE BETWEEN INTERVAL 5 MINUTE FOLLOWING AND UNBOUNDED FOLLOWING) AS next_date FROM feed),
+      sent AS (SELECT account, min(date_received) AS date_received FROM feed GROUP BY account
+        UNION ALL SELECT account, next_date FROM sent JOIN ahead USING (account, date_received) WHERE next_date IS NOT NULL)
       SELECT account, message_id, strftime(date_received, {O.ISO}) AS sent,
         concat('From: ', sender, ' | Subject: ', subject, ' | Summary: ', {O.PREVIEW.format('squeezed', 100)}) AS line
-      FROM feed QUALIFY row_number() OVER (PARTITION BY account, epoch_s // 300 ORDER BY date_received, seq) = 1""",
+      FROM feed JOIN sent USING (account, date_received)""",
 )
 def notify_feed(spark, sf_dir):
     mail, flags = important(spark, sf_dir)
@@ -409,7 +420,7 @@ def rules(spark, sf_dir):
     return apply_rules(mail, V.rules(spark, sf_dir))
 
 
-_FEATURES = f"""{O.ADDITIVE}, {O.UPDATES}, samples AS (SELECT message_id, date_received, score,
+_FEATURES = f"""{O.ADDITIVE}, {O.UPDATES}, samples AS (SELECT account, message_id, date_received, score,
   body_length::DOUBLE AS body_length, {O.LINE_MEAN} AS line_length, urls::DOUBLE AS url_count,
   hour(date_received)::DOUBLE AS hour,
   (CASE WHEN indicators = '' THEN 0 ELSE len(string_split(indicators, '|')) END)::DOUBLE AS indicators,
@@ -417,7 +428,8 @@ _FEATURES = f"""{O.ADDITIVE}, {O.UPDATES}, samples AS (SELECT message_id, date_r
   has_attachment::INT::DOUBLE AS has_attachment, contains(low_subject, 're:')::INT::DOUBLE AS is_reply,
   {O.SIGNATURE}::INT::DOUBLE AS has_signature, priority AS label_priority, category AS label_category,
   priority IS NOT NULL AS is_validated
-  FROM (SELECT * EXCLUDE (category) FROM additive) a LEFT JOIN feedback USING (message_id))"""
+  FROM {O.in_two_accounts("additive", "seq", "account, message_id, category")} a
+  LEFT JOIN {O.in_two_accounts("feedback", "update_seq")} f USING (account, message_id))"""
 _FEATURE_NAMES = [
     "score", "body_length", "line_length", "url_count", "hour", "indicators", "recipients",
     "has_attachment", "is_reply", "has_signature",
@@ -425,19 +437,19 @@ _FEATURE_NAMES = [
 
 
 def _samples(spark, sf_dir):
-    told = V.feedback(spark, sf_dir).select("message_id", "priority", "category")
-    return M.build_training_set(V.mail(spark, sf_dir), told)
+    told = V.in_two_accounts(V.feedback(spark, sf_dir), "update_seq").select("account", "message_id", "priority", "category")
+    return M.build_training_set(V.in_two_accounts(V.mail(spark, sf_dir), "seq"), told)
 
 
 def _spread_features(samples, *others):
     return samples.select(
-        "message_id", *[F.col("features")[name].alias(name) for name in _FEATURE_NAMES], *others
+        "account", "message_id", *[F.col("features")[name].alias(name) for name in _FEATURE_NAMES], *others
     )
 
 
 @query(
     "build_training_set",
-    f"""WITH {_FEATURES} SELECT message_id, {", ".join(_FEATURE_NAMES)}, label_priority, label_category, is_validated
+    f"""WITH {_FEATURES} SELECT account, message_id, {", ".join(_FEATURE_NAMES)}, label_priority, label_category, is_validated
       FROM samples""",
 )
 def build_training_set(spark, sf_dir):
@@ -446,7 +458,7 @@ def build_training_set(spark, sf_dir):
 
 @query(
     "save_training",
-    f"""WITH {_FEATURES} SELECT message_id, {", ".join(_FEATURE_NAMES)}, label_priority, is_validated FROM samples""",
+    f"""WITH {_FEATURES} SELECT account, message_id, {", ".join(_FEATURE_NAMES)}, label_priority, is_validated FROM samples""",
 )
 def save_training(spark, sf_dir):
     path = shared_dir(spark, "training")
@@ -458,8 +470,8 @@ def save_training(spark, sf_dir):
 
 @query(
     "validated_training",
-    f"""WITH {_FEATURES} SELECT message_id, {", ".join(_FEATURE_NAMES)}, label_priority, label_category FROM samples
-      WHERE is_validated ORDER BY date_received DESC, message_id""",
+    f"""WITH {_FEATURES} SELECT account, message_id, {", ".join(_FEATURE_NAMES)}, label_priority, label_category FROM samples
+      WHERE is_validated ORDER BY date_received DESC, account, message_id""",
 )
 def validated_training(spark, sf_dir):
     return _spread_features(M.validated_training(_samples(spark, sf_dir)), "label_priority", "label_category")
@@ -506,37 +518,44 @@ def feature_importance_top(spark, sf_dir):
     return M.feature_importance_top(scores, versions)
 
 
-_LABELS = f"""acts AS (SELECT * FROM ({V.ACTIONS_SQL}) a),
-  ops AS (SELECT message_id, unnest(CASE WHEN seq % 5 = 0 THEN ['INBOX', 'UNREAD', 'STARRED']
-      ELSE ['INBOX', 'UNREAD'] END) AS label, TRUE AS added, -1 AS seq FROM mail
-    UNION ALL SELECT message_id, CASE action_type WHEN 'read' THEN 'UNREAD' WHEN 'star' THEN 'STARRED'
+_LABELS = f"""acts AS (SELECT * FROM {O.in_two_accounts(f"({V.ACTIONS_SQL})", "mail_seq")} a),
+  ops AS (SELECT account, message_id, unnest(CASE WHEN seq % 5 = 0 THEN ['INBOX', 'UNREAD', 'STARRED']
+      ELSE ['INBOX', 'UNREAD'] END) AS label, TRUE AS added, -1 AS seq
+      FROM {O.in_two_accounts("mail", "seq", "account, message_id")} m
+    UNION ALL SELECT account, message_id, CASE action_type WHEN 'read' THEN 'UNREAD' WHEN 'star' THEN 'STARRED'
       WHEN 'unstar' THEN 'STARRED' WHEN 'delete' THEN 'TRASH' WHEN 'archive' THEN 'ARCHIVED' END,
       action_type NOT IN ('read', 'unstar'), seq FROM acts
       WHERE action_type IN ('read', 'star', 'unstar', 'delete', 'archive')
-    UNION ALL SELECT message_id, r_name, TRUE, seq FROM acts JOIN region ON lower(r_name) = lower(action_value)
-      WHERE action_type = 'move'),
-  last AS (SELECT * FROM ops QUALIFY row_number() OVER (PARTITION BY message_id, label ORDER BY seq DESC) = 1),
-  state AS (SELECT message_id,
+    UNION ALL SELECT account, message_id, r_name, TRUE, seq FROM acts JOIN region ON lower(r_name) = lower(action_value)
+      AND account = concat('acct-', r_regionkey % 2) WHERE action_type = 'move'),
+  last AS (SELECT * FROM ops QUALIFY row_number() OVER (PARTITION BY account, message_id, label ORDER BY seq DESC) = 1),
+  state AS (SELECT account, message_id,
     array_to_string(list_sort(list(CASE WHEN added THEN label END) FILTER (added)), '|') AS labels,
-    count(*) FILTER (added AND label = 'ARCHIVED') > 0 AS is_archived FROM last GROUP BY 1)"""
+    count(*) FILTER (added AND label = 'ARCHIVED') > 0 AS is_archived FROM last GROUP BY 1, 2)"""
 ACTION_STATE = f"""WITH {O.MAIL}, {_LABELS} SELECT * FROM state"""
 
 
+def shared_actions(spark, sf_dir):
+    """Mail and actions of two accounts that share their message ids."""
+    mail = V.in_two_accounts(V.mail(spark, sf_dir), "seq")
+    return mail, V.in_two_accounts(V.actions(spark, sf_dir), "mail_seq")
+
+
 @query("action_state", ACTION_STATE)
 def action_state(spark, sf_dir):
-    state = A.action_state(V.mail(spark, sf_dir), V.actions(spark, sf_dir), V.known_labels(spark, sf_dir))
-    return state.select("message_id", joined("labels").alias("labels"), "is_archived")
+    state = A.action_state(*shared_actions(spark, sf_dir), V.known_labels(spark, sf_dir))
+    return state.select("account", "message_id", joined("labels").alias("labels"), "is_archived")
 
 
 @query(
     "action_counts",
-    f"""SELECT message_id, action_type, count(*) AS n, strftime(min(ts), {O.ISO}) AS first,
-      strftime(max(ts), {O.ISO}) AS last FROM ({V.ACTIONS_SQL}) a GROUP BY 1, 2""",
+    f"""SELECT account, message_id, action_type, count(*) AS n, strftime(min(ts), {O.ISO}) AS first,
+      strftime(max(ts), {O.ISO}) AS last FROM {O.in_two_accounts(f"({V.ACTIONS_SQL})", "mail_seq")} a GROUP BY 1, 2, 3""",
 )
 def action_counts(spark, sf_dir):
-    counts = A.action_counts(V.actions(spark, sf_dir))
+    counts = A.action_counts(shared_actions(spark, sf_dir)[1])
     return counts.select(
-        "message_id", "action_type", "n", iso("first_at").alias("first"), iso("last_at").alias("last")
+        "account", "message_id", "action_type", "n", iso("first_at").alias("first"), iso("last_at").alias("last")
     )
 
 

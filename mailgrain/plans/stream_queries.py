@@ -61,7 +61,6 @@ def stream_hour_counts(spark, sf_dir):
 @query("stream_action_state", ACTION_STATE)
 def stream_action_state(spark, sf_dir):
     acts = _view(spark, sf_dir, V.ACTIONS_SQL, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    state = X.stream_action_state(
-        acts, V.mail(spark, sf_dir), V.known_labels(spark, sf_dir), shared_dir(spark, "actions")
-    )
-    return state.select("message_id", joined("labels").alias("labels"), "is_archived")
+    acts, mail = V.in_two_accounts(acts, "mail_seq"), V.in_two_accounts(V.mail(spark, sf_dir), "seq")
+    state = X.stream_action_state(acts, mail, V.known_labels(spark, sf_dir), shared_dir(spark, "actions"))
+    return state.select("account", "message_id", joined("labels").alias("labels"), "is_archived")

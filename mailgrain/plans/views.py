@@ -82,7 +82,7 @@ FROM events
 """
 
 ACTIONS_SQL = f"""
-SELECT {_KEY.format('user_id')} AS message_id, ts, event_id AS seq,
+SELECT {_KEY.format('user_id')} AS message_id, user_id AS mail_seq, ts, event_id AS seq,
   CASE event_type
     WHEN 'view' THEN 'read'
     WHEN 'click' THEN CASE WHEN value >= 20 THEN 'star' ELSE 'unstar' END
@@ -353,7 +353,15 @@ def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def known_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "region").select(F.col("r_name").alias("name"))
+    """Each label is known to one of two accounts."""
+    account = F.concat(F.lit("acct-"), F.col("r_regionkey") % 2)
+    return table(spark, sf_dir, "region").select(account.alias("account"), F.col("r_name").alias("name"))
+
+
+def in_two_accounts(rows: DataFrame, number: str) -> DataFrame:
+    """Rows dealt to two accounts that share their message ids, by a number of each row."""
+    shared = F.expr(_KEY.format(f"{number} - {number} % 2"))
+    return rows.withColumns({"account": F.concat(F.lit("acct-"), F.col(number) % 2), "message_id": shared})
 
 
 def fields(spark: SparkSession, sf_dir: str) -> DataFrame:

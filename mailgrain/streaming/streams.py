@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 from mailgrain.functions.features import content_hash
 from mailgrain.operators import actions as A
 from mailgrain.operators import senders as S
+from mailgrain.operators.joins import identity
 
 
 def read_files(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -93,4 +94,4 @@ def stream_sender_stats(saves: DataFrame, path: str) -> DataFrame:
 def stream_action_state(actions: DataFrame, mail: DataFrame, known_labels: DataFrame, path: str) -> DataFrame:
     run_parts(actions, path, lambda batch: A.last_ops(A.label_ops(batch, known_labels)))
     stored = read_parts(actions.sparkSession, path)
-    return A.state_of(A.last_ops(A.initial_ops(mail).unionByName(stored)))
+    return A.state_of(A.last_ops(A.initial_ops(mail, identity(actions)).unionByName(stored)))

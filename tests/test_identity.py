@@ -5,7 +5,9 @@ import base64
 from pyspark.sql import functions as F
 
 from mailgrain.functions import mime
+from mailgrain.operators import actions as A
 from mailgrain.operators import classify as C
+from mailgrain.operators import models as M
 from mailgrain.operators import report as R
 from mailgrain.operators import senders as S
 from mailgrain.operators import store as T
@@ -78,3 +80,31 @@ def test_ties_of_top_lists(spark):
     rows = [("b", 1), ("a", 1), ("c", 1)]
     counted = spark.createDataFrame(rows, "sender string, seq long")
     assert [r["sender"] for r in R.top_senders(counted, 2).collect()] == ["a", "b"]
+
+
+def test_actions_stay_in_their_account(spark):
+    mail = spark.createDataFrame([("x", "m1", "s", ["UNREAD"]), ("y", "m1", "t", ["UNREAD"])], "account string, message_id string, sender string, labels array<string>")
+    rows = [("x", "m1", "read", None, 1), ("x", "m1", "move", "WORK", 2), ("y", "m1", "move", "work", 3), ("y", "m1", "star", None, 4)]
+    acts = spark.createDataFrame(rows, "account string, message_id string, action_type string, action_value string, seq long")
+    acts = acts.withColumn("ts", F.timestamp_seconds("seq"))
+    known = spark.createDataFrame([("x", "Work"), ("y", "Home")], "account string, name string")
+    state = {r["account"]: r["labels"] for r in A.action_state(mail, acts, known).collect()}
+    assert state == {"x": ["Work"], "y": ["STARRED", "UNREAD"]}
+    everywhere = {r["account"]: r["labels"] for r in A.action_state(mail, acts, known.select("name")).collect()}
+    assert everywhere == {"x": ["Work"], "y": ["STARRED", "UNREAD", "Work"]}
+    assert {(r["account"], r["action_type"]): r["n"] for r in A.action_counts(acts).collect()} == {(a, k): 1 for a, _, k, _, _ in rows}
+    seen = mail.withColumns({"date_received": F.lit(None).cast("timestamp"), "is_bot": F.lit(False), "user_priority": F.lit(None).cast("string")})
+    behaviour = {r["sender_email"]: r["read_count"] for r in S.sender_behaviour(seen, acts).collect()}
+    assert behaviour == {"s": 1, "t": 0}
+
+
+def test_labels_and_raw_messages_stay_in_their_account(spark):
+    rows = [("x", "1", "s@x.de", "a", "b", {"from": "s"}), ("y", "1", "s@x.de", "a", "b", {"from": "s"})]
+    mail = spark.createDataFrame(rows, "account string, message_id string, sender string, subject string, body_text string, headers map<string,string>")
+    mail = mail.withColumns({"recipients": F.array(F.lit("r")), "has_attachment": F.lit(False), "date_received": F.timestamp_seconds(F.lit(0))})
+    told = spark.createDataFrame([("y", "1", "low", "work")], "account string, message_id string, priority string, category string")
+    samples = M.build_training_set(mail, told)
+    assert {r["account"]: r["label_priority"] for r in samples.collect()} == {"x": None, "y": "low"}
+    assert [r["account"] for r in M.validated_training(samples).collect()] == ["y"]
+    raw = spark.createDataFrame([("x", "1", False), ("z", "1", False), ("y", "1", True)], "account string, message_id string, is_deleted boolean")
+    assert [r["account"] for r in T.live_raw_messages(raw, mail).collect()] == ["x"]

@@ -132,13 +132,13 @@ def test_behaviour(spark):
     assert out["t"]["is_automated"] and out["t"]["read_count"] == 0 and out["t"]["avg_user_priority"] is None
 
 
-def test_feed_windows(spark):
+def test_feed_cooldown(spark):
     minutes = lambda m: datetime(2025, 1, 1, 0, m)
-    rows = [("a", str(i), "s", "t", "b  b", minutes(m), i) for i, m in enumerate([0, 3, 6, 7])]
+    rows = [("a", str(i), "s", "t", "b  b", minutes(m), i) for i, m in enumerate([0, 3, 6, 8])]
     mail = spark.createDataFrame(rows, "account string, message_id string, sender string, subject string, body_text string, date_received timestamp, seq long")
     flags = spark.createDataFrame([("0", False), ("1", True), ("2", True), ("3", True)], "message_id string, is_important boolean")
     feed = S.notify_feed(mail, flags).orderBy("sent_at").collect()
-    assert [r["message_id"] for r in feed] == ["1", "2"]
+    assert [r["message_id"] for r in feed] == ["1", "3"]
     assert feed[0]["line"] == "From: s | Subject: t | Summary: b b"
 
 

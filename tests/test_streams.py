@@ -42,7 +42,8 @@ def test_sender_stats(spark, tmp_path):
 
 
 def test_action_state_with_replay(spark, tmp_path):
-    mail, acts, known = V.mail(spark, SF_DIR), V.actions(spark, SF_DIR), V.known_labels(spark, SF_DIR)
+    mail, acts = V.in_two_accounts(V.mail(spark, SF_DIR), "seq"), V.in_two_accounts(V.actions(spark, SF_DIR), "mail_seq")
+    known = V.known_labels(spark, SF_DIR)
     schema = split_files(acts, str(tmp_path / "in"), by(F.col("seq").desc()))
     stream = X.read_files(spark, str(tmp_path / "in"), schema, files_per_batch=1)
     got = X.stream_action_state(stream, mail, known, str(tmp_path / "out"))
@@ -51,7 +52,7 @@ def test_action_state_with_replay(spark, tmp_path):
     # The same rows once more under another batch id change nothing.
     ops = A.last_ops(A.label_ops(acts, known))
     ops.write.parquet(str(tmp_path / "out" / "parts" / "batch=99"))
-    again = A.state_of(A.last_ops(A.initial_ops(mail).unionByName(X.read_parts(spark, str(tmp_path / "out")))))
+    again = A.state_of(A.last_ops(A.initial_ops(mail, ["account", "message_id"]).unionByName(X.read_parts(spark, str(tmp_path / "out")))))
     assert same(again, want)
 
 
