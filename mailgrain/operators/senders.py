@@ -26,15 +26,19 @@ def sender_parts(saves: DataFrame) -> DataFrame:
     )
 
 
-def merge_sender_parts(parts: DataFrame) -> DataFrame:
-    """Parts of any number of batches to one row per sender; the order of merging is immaterial."""
-    merged = parts.groupBy("sender").agg(
-        F.sum("saves").alias("total_emails"), F.max("last").alias("last"), F.min("first_seen").alias("first_seen")
+def merged_parts(parts: DataFrame) -> DataFrame:
+    """Parts of any number of batches to one part; the order of merging is immaterial."""
+    return parts.groupBy("sender").agg(
+        F.sum("saves").alias("saves"), F.max("last").alias("last"), F.min("first_seen").alias("first_seen")
     )
-    return merged.select(
+
+
+def merge_sender_parts(parts: DataFrame) -> DataFrame:
+    """Parts of any number of batches to one row per sender."""
+    return merged_parts(parts).select(
         F.col("sender").alias("sender_email"),
         sender_domain_store(F.col("sender")).alias("sender_domain"),
-        "total_emails",
+        F.col("saves").alias("total_emails"),
         "first_seen",
         F.col("last.date_received").alias("last_seen"),
     )

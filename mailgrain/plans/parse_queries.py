@@ -13,6 +13,7 @@ from mailgrain.plans.registry import iso, joined, query
 from mailgrain.session import shared_dir
 from mailgrain.sources import exports as E
 from mailgrain.sources import mailstore
+from mailgrain.streaming import streams
 
 _BAD = "seq % 50 = 4 AND seq % 4 IN (0, 1, 3)"
 _STRICT = f"CASE WHEN {_BAD} THEN NULL WHEN seq % 4 = 2 THEN '' ELSE body_text END"
@@ -41,12 +42,12 @@ def _gmail(spark, sf_dir, lenient=False):
     "scan_mail_export",
     f"""WITH {_PARSED} SELECT message_id, thread_id, sender, recipients, subject, strict AS body_text,
       strftime(date_received, {O.ISO}) AS received, {O.ratio_score("coalesce(strict, '')")} > 0.5 AS is_bot
-      FROM parsed ORDER BY date_received DESC, message_id LIMIT 50""",
+      FROM parsed""",
 )
 def scan_mail_export(spark, sf_dir):
     raw = E.sound(E.read_gmail(spark, _exported(spark, V.gmail_export(spark, sf_dir), "gmail")))
-    newest = C.classify_ratio(E.recent_gmail(raw, "main", size=50))
-    return newest.select(
+    scanned = C.classify_ratio(E.parse_gmail(raw, "main"))
+    return scanned.select(
         "message_id", "thread_id", "sender", joined("recipients").alias("recipients"), "subject", "body_text",
         iso("date_received").alias("received"), "is_bot",
     )
@@ -55,13 +56,30 @@ def scan_mail_export(spark, sf_dir):
 @query(
     "scan_mail_window",
     f"""WITH {O.MAIL} SELECT message_id, sender, strftime(date_received, {O.ISO}) AS received FROM mail
-      WHERE date_received >= {O.WINDOW[12]} AND date_received <= TIMESTAMP '2025-06-30'
-      ORDER BY date_received DESC, account, message_id LIMIT 1000""",
+      WHERE date_received >= {O.WINDOW[12]} AND date_received <= TIMESTAMP '2025-06-30'""",
 )
 def scan_mail_window(spark, sf_dir):
     as_of = F.lit("2025-06-30 00:00:00").cast("timestamp")
-    newest = E.window_scan(V.stored_mail(spark, sf_dir), as_of, months_back=12, size=1000)
-    return newest.select("message_id", "sender", iso("date_received").alias("received"))
+    found = E.window_scan(V.stored_mail(spark, sf_dir), as_of, months_back=12)
+    return found.select("message_id", "sender", iso("date_received").alias("received"))
+
+
+@query(
+    "scan_new_mail",
+    f"""WITH {_PARSED} SELECT message_id, thread_id, sender, recipients, subject, strict AS body_text,
+      strftime(date_received, {O.ISO}) AS received FROM parsed""",
+)
+def scan_new_mail(spark, sf_dir):
+    """An export taken in as it grows: the second run reads only the files that the first has not seen."""
+    messages, path = V.gmail_export(spark, sf_dir), shared_dir(spark, "inbox")
+    first, folder = F.pmod(F.xxhash64("id"), F.lit(3)) > 0, _exported(spark, messages.limit(0), "growing")
+    for some in (first, ~first):
+        messages.filter(some).write.mode("append").json(folder)
+        mail = streams.take_in(E.stream_gmail(spark, folder), lambda lines: E.parse_gmail(E.sound(lines), "main"), path)
+    return mail.select(
+        "message_id", "thread_id", "sender", joined("recipients").alias("recipients"), "subject", "body_text",
+        iso("date_received").alias("received"),
+    )
 
 
 @query(

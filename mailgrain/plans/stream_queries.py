@@ -30,6 +30,33 @@ def stream_dedup(spark, sf_dir):
     return X.run_append(X.first_contents(timed, "date_received", "800 days"), shared_dir(spark, "dedup"))
 
 
+@query(
+    "stream_new_contents",
+    f"""WITH {O.MAIL}, m AS (SELECT *, CASE WHEN seq % 3 = 0 THEN 'the same' ELSE body_text END AS body FROM mail)
+      SELECT sha256(body) AS content_hash, min(struct_pack(s := seq, a := account, m := message_id)).m AS message_id
+      FROM m GROUP BY 1""",
+)
+def stream_new_contents(spark, sf_dir):
+    """Every content once, with the message that brought it, checked against all that was stored before."""
+    mail = _view(spark, sf_dir, V.MAIL_SQL, "documents").withColumn("ingest_seq", F.col("seq"))
+    mail = mail.withColumn("body_text", F.when(F.col("seq") % 3 == 0, "the same").otherwise(F.col("body_text")))
+    path = shared_dir(spark, "contents")
+    X.run_new_contents(mail, path)
+    return X.new_contents(spark, path).select("content_hash", "message_id")
+
+
+@query(
+    "stream_closed_hours",
+    f"""WITH h AS (SELECT date_trunc('hour', ts) AS hour_start, count(*) AS n FROM events GROUP BY 1)
+      SELECT strftime(hour_start, {O.ISO}) AS hour_start, n FROM h
+      WHERE hour_start + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 6 HOUR""",
+)
+def stream_closed_hours(spark, sf_dir):
+    events = _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    closed = X.run_append(X.closed_hours(events, "ts", "6 hours"), shared_dir(spark, "closed"))
+    return closed.select(iso("hour_start").alias("hour_start"), "n")
+
+
 @query(
     "stream_sender_stats",
     f"""WITH s AS ({V.SAVES_SQL}) SELECT sender AS sender_email, split_part(sender, '@', 2) AS sender_domain,

@@ -27,6 +27,12 @@ def read_flat(spark: SparkSession, path: str) -> DataFrame:
     return _read_lines(spark, path, type(schemas.PROTON)(list(schemas.PROTON.fields)))
 
 
+def stream_gmail(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a nested export as a stream of files."""
+    kept = type(schemas.GMAIL)(list(schemas.GMAIL.fields)).add("_damaged", "string")
+    return spark.readStream.schema(kept).option("columnNameOfCorruptRecord", "_damaged").json(path)
+
+
 def sound(raw: DataFrame) -> DataFrame:
     """The messages of an export without its damaged lines; those are what ``_damaged`` holds."""
     return raw.filter("_damaged IS NULL").drop("_damaged")

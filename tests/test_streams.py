@@ -1,6 +1,7 @@
 """Streams over several files against the batch forms, with repeats, late rows and replays."""
 
 from datetime import datetime, timedelta
+from hashlib import sha256
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from mailgrain.operators import actions as A
 from mailgrain.operators import senders as S
 from mailgrain.operators import store as T
 from mailgrain.plans import views as V
+from mailgrain.streaming import parts as P
 from mailgrain.streaming import streams as X
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -92,3 +94,111 @@ def test_parts_merge_in_any_order(spark, sorting):
     halves = [S.sender_parts(saves.filter(F.col("ingest_seq") % 2 == k)) for k in (0, 1)]
     first, second = halves if sorting == "asc" else halves[::-1]
     assert same(S.merge_sender_parts(first.unionByName(second)), S.sender_stats(saves))
+
+
+def folders_of(path):
+    return len([p for p in (path / "parts").glob("batch=[0-9]*")]) + len([p for p in (path / "merged").glob("level=*/part=*")])
+
+
+def test_a_thousand_parts_leave_few_folders(spark, tmp_path):
+    """Parts of three rows each: the same sums before, during and after, and a bounded number of folders."""
+    path, merge = str(tmp_path), X.merged_hours
+    day = datetime(2025, 1, 1)
+    part = lambda i: spark.createDataFrame([(day + timedelta(hours=i % 5), i)], "hour_start timestamp, n long")
+    P.write_part(part(0).limit(0), P.part_path(path, 0, -1))
+    want, most, fan = {}, 0, 4
+    for i in range(70):
+        P.write_part(part(i), P.part_path(path, 0, i))
+        want[i % 5] = want.get(i % 5, 0) + i
+        P.compact(spark, path, merge, i, fan=fan)
+        most = max(most, folders_of(tmp_path))
+        if i % 7 == 0 or i > 62:
+            got = {r["hour_start"].hour: r["n"] for r in merge(X.read_parts(spark, path, fan)).collect()}
+            assert got == want
+    assert most <= 2 * fan * 4 and len(P.live_parts(spark, path, fan=fan)) <= 1 + 4 * (fan - 1)
+
+
+def test_a_lost_merge_and_a_repeated_batch_change_nothing(spark, tmp_path, monkeypatch):
+    path, merge = str(tmp_path), X.merged_hours
+    part = lambda n: spark.createDataFrame([(datetime(2025, 1, 1), n)], "hour_start timestamp, n long")
+    total = lambda: merge(X.read_parts(spark, path, 2)).head()["n"]
+    P.write_part(part(0).limit(0), P.part_path(path, 0, -1))
+    for i in range(2):
+        P.write_part(part(10**i), P.part_path(path, 0, i))
+    with monkeypatch.context() as m:
+        m.setattr(P.folders, "switch", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            P.compact(spark, path, merge, 1, fan=2)
+    assert total() == 11  # merged, but not switched
+    for _ in range(2):  # the batch comes again, and once more after the switch
+        P.write_part(part(10), P.part_path(path, 0, 1))
+        P.compact(spark, path, merge, 1, fan=2)
+        assert total() == 11
+    for i in (2, 3, 4):
+        P.write_part(part(10**i), P.part_path(path, 0, i))
+        P.compact(spark, path, merge, i, fan=2)
+        assert total() == int("1" * (i + 1))
+    assert sorted(p.name for p in (tmp_path / "merged").glob("level=*/*")) == ["part=0", "part=0", "part=1"]
+
+
+def test_streams_merge_their_parts(spark, tmp_path):
+    saves = V.saves(spark, SF_DIR)
+    schema = split_files(saves, str(tmp_path / "in"), by("ingest_seq"), files=9)
+    stream = X.read_files(spark, str(tmp_path / "in"), schema, files_per_batch=1)
+    X.run_parts(stream, str(tmp_path / "out"), S.sender_parts, merge=S.merged_parts, fan=2)
+    assert len(P.live_parts(spark, str(tmp_path / "out"), fan=2)) == 2  # one of eight, one of one
+    assert same(S.merge_sender_parts(X.read_parts(spark, str(tmp_path / "out"), 2)), S.sender_stats(saves))
+
+
+def test_contents_are_checked_against_all_before(spark, tmp_path, monkeypatch):
+    """Repeats after any time are found, and only the folders of a batch's hashes are read."""
+    rows = [(f"m{i}", i, None if i == 5 else f"text {i % 7}" if i < 60 else f"late {i}") for i in range(66)] + [("z", 99, "text 0")]
+    mail = spark.createDataFrame(rows, "message_id string, ingest_seq long, body_text string")
+    schema = split_files(mail, str(tmp_path / "in"), by("ingest_seq"), files=5)
+    stream, out = X.read_files(spark, str(tmp_path / "in"), schema, files_per_batch=1), str(tmp_path / "out")
+    read, asked = P.folders.read, []
+    monkeypatch.setattr(P.folders, "read", lambda s, schema, paths: asked.append((schema.names, paths)) or read(s, schema, paths))
+    X.run_new_contents(stream, out, fan=2)
+    got = {(r["content_hash"], r["message_id"]) for r in X.new_contents(spark, out, 2).collect()}
+    log = {}
+    for name, seq, text in sorted(rows, key=lambda r: r[1]):
+        log.setdefault(sha256((text or "").encode()).hexdigest(), name)
+    assert got == set(log.items())
+    for names, paths in asked:
+        if names == ["content_hash"]:
+            assert all("/prefix=" in p for p in paths)
+
+
+def test_hours_close_once(spark, tmp_path):
+    """Late rows within the delay count, rows behind it do not, and no hour comes twice."""
+    hour = lambda h, m=0: datetime(2025, 1, 1) + timedelta(hours=h, minutes=m)
+    batches = [[hour(0), hour(0, 59), hour(3)], [hour(1), hour(2, 30), hour(5)], [hour(0, 30), hour(9)], [hour(8), hour(8, 1), hour(20)]]
+    source = str(tmp_path / "in")
+    closed, seen = [], []
+    for times in batches:
+        spark.createDataFrame([(t,) for t in times], "ts timestamp").coalesce(1).write.mode("append").parquet(source)
+        stream = X.read_files(spark, source, spark.createDataFrame([], "ts timestamp").schema, files_per_batch=1)
+        rows = X.run_append(X.closed_hours(stream, "ts", "2 hours"), str(tmp_path / "out")).collect()
+        closed.append(sorted((r["hour_start"].hour, r["n"]) for r in rows))
+        seen += times
+    assert closed == [[(0, 2)], [(0, 2), (1, 1), (2, 1)], [(0, 2), (1, 1), (2, 1), (3, 1), (5, 1)], [(0, 2), (1, 1), (2, 1), (3, 1), (5, 1), (8, 2), (9, 1)]]
+
+
+def test_an_export_is_taken_in_by_new_files_only(spark, tmp_path):
+    from mailgrain.sources import exports as E
+
+    export, messages = tmp_path / "export", V.gmail_export(spark, SF_DIR)
+    parse = lambda lines: E.parse_gmail(E.sound(lines), "main")
+    some = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
+    messages.filter(some).write.json(str(export))
+    once = X.take_in(E.stream_gmail(spark, str(export)), parse, str(tmp_path / "mail")).count()
+    files = set(export.glob("*.json"))
+    for old in files:
+        old.write_text('{"id": "read again"}\n')  # a second reading would show
+    messages.filter(~some).write.mode("append").json(str(export))
+    (export / "damaged.json").write_text('{"id": "cut off\n')
+    mail = X.take_in(E.stream_gmail(spark, str(export)), parse, str(tmp_path / "mail"))
+    want = E.parse_gmail(messages, "main")
+    assert 0 < once < mail.count() == want.count()
+    columns = ["message_id", "thread_id", "sender", "subject", "body_text", "date_received", "seq"]
+    assert same(mail.select(columns), want.select(columns))
