@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mailgrain.operators import joins as J
+from mailgrain.operators import rules
 from mailgrain.operators.rules import apply_rules
 
 
@@ -95,3 +96,17 @@ def test_rules_by_brute_force(spark):
 def test_no_rules(spark):
     frame = spark.createDataFrame([("m", "s", "d", "c", "t")], "message_id string, sender string, domain string, category string, subject string")
     assert apply_rules(frame, spark.createDataFrame([], RULE)).count() == 0
+
+
+def test_only_pieces_of_rules_become_rows(spark):
+    """Rows out of the explode are near the hits, and no subject goes with them."""
+    dice = random.Random(8)
+    text = lambda n: "".join(dice.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    mails = [("x", f"m{i}", text(200) + (" invoice" if i % 50 == 0 else "")) for i in range(500)]
+    mail = spark.createDataFrame(mails, "account string, message_id string, subject string")
+    pieces = spark.createDataFrame([("voi",), ("#9x",), ("é",)], "piece string")
+    rows = rules.subject_pieces(mail, pieces)
+    assert rows.columns == ["account", "message_id", "piece"]
+    hits = sum("voi" in s for _, _, s in mails)
+    assert hits <= rows.count() <= 2 * hits + 50
+    assert rules.subject_pieces(mail, pieces.limit(0)).count() == 0
