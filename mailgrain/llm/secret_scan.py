@@ -9,15 +9,17 @@
 4. Base spans all stay, each with its class. Bare candidates become spans only where they are live.
 
 Everything runs as column expressions. A row's spans are put together by a key that is given and stored once,
-so repeated ids and repeated rows keep spans of their own. Defined results: a null text is an empty text and has
+so repeated ids and repeated rows keep spans of their own. The matches of a very long text are as many narrow rows; places,
+overlaps and masks cost time in proportion to them. Defined results: a null text is an empty text and has
 no spans; a null source is an owner of its own, a null id a repository of its own; all columns asked for are carried
 along, and ``spans`` replaces a column of that name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from mailgrain.llm.columns import stretches
 from mailgrain.llm.tables import stored
 from mailgrain.operators.joins import salted_join
 
@@ -34,42 +36,51 @@ WIDE_OWNERS, LEAST_DIFFERENT = 3, 10
 MASK = "[SECRET]"
 
 
-def _found(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    """All counting matches of one pattern as structs (start, kind_no, end, value).
-
-    The stretches between matches and the matches themselves come from the same left-to-right search, so
-    start is the length of everything before.
-    """
-    none = F.array().cast("array<struct<start:int,kind_no:int,end:int,value:string>>")
-    gaps, regex = F.split(text, pattern, -1), F.lit(pattern)
+def _matches(text: Column, kind: str, pattern: str, group: int) -> Column:
+    """All matches of one pattern, counting or not, as structs (gap, whole, value): the lengths of the stretch before the match
+    and of the match. Stretches and matches come from the same left-to-right search."""
+    none = F.array().cast("array<struct<kind_no:int,gap:int,whole:int,value:string>>")
+    regex = F.lit(pattern)
     steps = F.arrays_zip(
-        gaps.alias("gap"),
-        F.regexp_extract_all(text, regex, 0).alias("whole"),
+        F.transform(F.split(text, pattern, -1), F.length).alias("gap"),
+        F.transform(F.regexp_extract_all(text, regex, 0), F.length).alias("whole"),
         F.regexp_extract_all(text, regex, group).alias("value"),
     )
-
-    def add(state: Column, step: Column) -> Column:
-        start = state["at"] + F.length(step["gap"])
-        end = start + F.coalesce(F.length(step["whole"]), F.lit(0))
-        span = F.struct(
-            start.alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), end.alias("end"), step["value"].alias("value")
-        )
-        counts = F.length(step["value"]) >= least
-        return F.struct(end.alias("at"), F.when(counts, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
-
-    begin = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-    return F.when(F.regexp_like(text, regex), F.aggregate(steps, begin, add)["spans"]).otherwise(none)
-
-
-def candidates(text: Column) -> Column:
-    """Base spans and bare candidates outside them, by start and kind."""
-    base = F.concat(*(_found(text, kind, *rule) for kind, rule in BASE.items()))
-    mixed = lambda c: (
-        c["value"].rlike("[a-z]") & c["value"].rlike("[A-Z]") & c["value"].rlike("[0-9]")
+    found = F.transform(
+        steps, lambda s: F.struct(F.lit(KINDS.index(kind)).alias("kind_no"), s["gap"].alias("gap"), s["whole"].alias("whole"), s["value"].alias("value"))
     )
-    bare = F.filter(_found(text, "bare", BARE, 0, 20), mixed)
-    clear = F.filter(bare, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return F.array_sort(F.concat(base, clear))
+    # Behind the last match there is a stretch only.
+    return F.when(F.regexp_like(text, regex), F.filter(found, lambda s: s["whole"].isNotNull())).otherwise(none)
+
+
+def matches(text: Column) -> Column:
+    """The matches of all kinds, each kind's in their order."""
+    base = [_matches(text, kind, pattern, group) for kind, (pattern, group, _) in BASE.items()]
+    return F.concat(*base, _matches(text, "bare", BARE, 0))
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """Base spans, and bare candidates outside them, of ``rows`` (_row, _found and others): the other columns with ``start, kind_no,
+    end, value``. Places are running sums over a text's matches, so the work grows with their number, not its square."""
+    others = [c for c in rows.columns if c != "_found"]
+    each = rows.select(*others, F.posexplode("_found").alias("_i", "m")).select(*others, "_i", "m.*").repartition("_row")
+    before = Window.partitionBy("_row", "kind_no").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("end", F.sum(F.col("gap") + F.col("whole")).over(before).cast("int"))
+    each = each.withColumn("start", F.col("end") - F.col("whole"))
+    least = F.lit(20)
+    for kind, (_, _, size) in BASE.items():
+        least = F.when(F.col("kind_no") == KINDS.index(kind), size).otherwise(least)
+    value, is_base = F.col("value"), F.col("kind_no") < len(BASE)
+    mixed = value.rlike("[a-z]") & value.rlike("[A-Z]") & value.rlike("[0-9]")
+    each = each.filter((F.length("value") >= least) & (is_base | mixed))
+    # A bare candidate is clear of all base spans if those that begin before it end before it, and the next begins behind it.
+    earlier = Window.partitionBy("_row").orderBy("start", "kind_no").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("_row").orderBy(F.col("start").desc(), F.col("kind_no").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.coalesce(F.max(F.when(is_base, F.col("end"))).over(earlier), F.lit(0))
+    next_base = F.coalesce(F.min(F.when(is_base, F.col("start"))).over(later), F.col("end"))
+    each = each.withColumns({"_reach": reach, "_next": next_base})
+    clear = is_base | ((F.col("_reach") <= F.col("start")) & (F.col("_next") >= F.col("end")))
+    return each.filter(clear).select(*others, "start", "kind_no", "end", "value")
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -86,20 +97,20 @@ def _class(value: Column, owners: Column) -> Column:
 
 
 def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of every row of ``docs`` (doc_id, source, text) and ``spans``:
-    array of (start, kind_no, end, class, repositories, owners) by start and kind."""
-    text = F.coalesce("text", F.lit(""))
+    """The columns ``keep`` of every row of ``docs`` (doc_id, source, text) and ``spans``: array of (start, kind_no, end, class,
+    repositories, owners, fresh, reach) by start and kind. ``fresh`` says that no span before overlaps this one, and ``reach`` how
+    far the spans up to it go."""
     rows = docs.select(
         *keep,
         F.col("doc_id").alias("_repository"),
         F.col("source").alias("_owner"),
         F.monotonically_increasing_id().alias("_row"),
-        candidates(text).alias("_found"),
+        matches(F.coalesce("text", F.lit(""))).alias("_found"),
     )
-    rows = stored(rows, "candidates")
+    rows = stored(rows, "matches")
     some = F.size("_found") > 0
-    each = rows.filter(some).select("_row", "_repository", "_owner", F.explode("_found").alias("c"))
-    each = each.select("_row", "_repository", "_owner", "c.*", F.md5("c.value").alias("hash"))
+    each = candidates(rows.filter(some).select("_row", "_repository", "_owner", "_found"))
+    each = stored(each.withColumn("hash", F.md5("value")), "candidates")
     counts = ownership(
         each.select(
             "hash",
@@ -108,9 +119,13 @@ def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
         )
     )
     each = salted_join(each, stored(counts, "ownership"), ["hash"], F.col("_row"))
-    span = F.struct("start", "kind_no", "end", _class(F.col("value"), F.col("owners")).alias("class"), "repositories", "owners")
-    each = each.select("_row", span.alias("span")).filter((F.col("span.kind_no") < len(BASE)) | (F.col("span.class") == "live"))
-    lists = each.groupBy("_row").agg(F.sort_array(F.collect_list("span")).alias("spans"))
+    each = each.withColumn("class", _class(F.col("value"), F.col("owners")))
+    each = each.filter((F.col("kind_no") < len(BASE)) | (F.col("class") == "live"))
+    order = Window.partitionBy("_row").orderBy("start", "kind_no")
+    furthest = lambda to: F.max("end").over(order.rowsBetween(Window.unboundedPreceding, to))
+    each = each.withColumns({"fresh": F.coalesce(furthest(-1) <= F.col("start"), F.lit(True)), "reach": furthest(0)})
+    span = F.struct("start", "kind_no", "end", "class", "repositories", "owners", "fresh", "reach")
+    lists = each.groupBy("_row").agg(F.sort_array(F.collect_list(span)).alias("spans"))
     none = F.array().cast(lists.schema["spans"].dataType)
     kept = [c for c in keep if c != "spans"]
     with_some = rows.filter(some).join(lists, "_row", "left").select(*kept, F.coalesce("spans", none).alias("spans"))
@@ -127,15 +142,10 @@ def written(spans: Column, only_base: bool = False) -> Column:
 
 def masked(text: Column, spans: Column) -> Column:
     """The text with every span, and every group of overlapping ones, replaced by one mask."""
-
-    def step(state: Column, span: Column) -> Column:
-        new = span["start"] >= state["at"]
-        gap = F.substring(text, state["at"] + 1, span["start"] - state["at"])
-        return F.struct(
-            F.greatest(state["at"], span["end"]).alias("at"),
-            F.when(new, F.concat(state["out"], gap, F.lit(MASK))).otherwise(state["out"]).alias("out"),
-        )
-
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    finish = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, begin, step, finish)).otherwise(text)
+    starts = F.transform(F.filter(spans, lambda s: s["fresh"]), lambda s: s["start"])
+    last = lambda s, i: F.coalesce(F.get(spans, i + 1)["fresh"], F.lit(True))
+    ends = F.transform(F.filter(spans, last), lambda s: s["reach"])
+    froms = F.concat(F.array(F.lit(0)), ends)
+    tos = F.concat(starts, F.array(F.length(text)))
+    gaps = stretches(text, F.arrays_zip(froms.alias("start"), tos.alias("end")))
+    return F.when(F.size(spans) > 0, F.array_join(gaps, MASK)).otherwise(text)

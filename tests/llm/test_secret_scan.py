@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -60,3 +62,30 @@ def test_nulls_repeats_extra_columns_and_empty_table(spark):
         [("None", "assign:0:14"), ("1", ""), ("1", "assign:0:14"), ("1", "assign:0:14"), ("2", "")]
     )
     assert scan(spark, []).count() == 0
+
+
+def masks(text):
+    """The text with every group of overlapping base spans masked, by a plain loop."""
+    out, at = "", 0
+    for a, b in sorted((m.start(), m.end()) for _, p, g, n in BASE for m in p.finditer(text) if len(m.group(g)) >= n):
+        if a >= at:
+            out += text[at:a] + S.MASK
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_long_texts_with_many_spans(spark):
+    """Overlaps, blocks cut anywhere, characters beyond the first plane; the time grows with the spans, not their square."""
+    rng, seconds = random.Random(4), {}
+    bits = ["token=", "abcdef", hashlib.md5(b"y").hexdigest(), " ", "😀é ", "AKIA" + "Z" * 20, "\n", "x" * 900, "secret: "]
+    for n in (2_000, 20_000):
+        texts = ["".join(rng.choices(bits, k=n)) for _ in range(2)] + [(hashlib.md5(b"z").hexdigest() + " ") * n, "é" * 4096, "😀" * 8192 + "token=abcdefg"]
+        rows = [(i, t, "s") for i, t in enumerate(texts)]
+        start = time.monotonic()
+        out = S.scanned(docs(spark, rows, SCHEMA), ["doc_id", "text"])
+        got = out.select("doc_id", S.written(F.col("spans"), True).alias("base"), S.masked(F.col("text"), F.col("spans")).alias("m")).collect()
+        seconds[n] = time.monotonic() - start
+        assert {r["doc_id"]: r["base"] for r in got} == {i: brute(t) for i, t, _ in rows}
+        bare = S.scanned(docs(spark, rows, SCHEMA), ["doc_id"]).filter(F.exists("spans", lambda s: s["kind_no"] == 3)).count()
+        assert bare == 0 and {r["doc_id"]: r["m"] for r in got} == {i: masks(t) for i, t, _ in rows}
+    assert seconds[20_000] < 30 * seconds[2_000]
