@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from mailgrain.functions import features as X
 from mailgrain.functions.text import found, has, has_any, labelled, let
 from mailgrain.operators.joins import copied_join, identity, salted_join
+from mailgrain.session import stored
 
 # Default weights of the two weighted classifiers, in the order they are checked.
 RATIO_WEIGHTS = {
@@ -182,24 +183,6 @@ def confidence_band(score: Column, low: float = LOW, high: float = HIGH) -> Colu
     return F.when(score < low, "low").when(score < high, "uncertain").otherwise("high")
 
 
-def message_hits(keywords: list[str], patterns: list[str]) -> Column:
-    """``(tag, ratio, mean)`` of the header names, keywords and patterns one message shows; needs ``with_lowered``.
-
-    A tag is ``category:pattern``. Header names count in lower case for the ratio and as written for the mean.
-    """
-    entry = lambda tag, ratio, mean: F.struct(
-        tag.alias("tag"), F.lit(ratio).alias("ratio"), F.lit(mean).alias("mean")
-    )
-    named = lambda n: F.concat(F.lit("headers:"), n)
-    written = F.coalesce(F.map_keys("headers"), F.array().cast("array<string>"))
-    lowered = F.transform(F.array_distinct("_names"), lambda n: entry(named(n), True, False))
-    as_written = F.transform(written, lambda n: entry(named(n), False, True))
-    words = [F.when(has(F.col("_low"), k), entry(F.lit(f"keywords:{k}"), True, True)) for k in keywords]
-    regexes = [F.when(shows(F.col("body_text"), p), entry(F.lit(f"patterns:{p}"), True, True)) for p in patterns]
-    tests = words + regexes
-    return F.concat(lowered, as_written, F.array_compact(F.array(*tests))) if tests else F.concat(lowered, as_written)
-
-
 def tested_patterns(weights: DataFrame) -> dict[str, list[str]]:
     """The keywords and expressions of a weight table, in order; read by one small job."""
     tested = weights.filter(F.col("category").isin("keywords", "patterns")).select("category", "pattern").distinct()
@@ -209,33 +192,59 @@ def tested_patterns(weights: DataFrame) -> dict[str, list[str]]:
     return tests
 
 
+def _entry(tag: Column, weight: Column, ratio: bool, mean: bool) -> Column:
+    """One weight and the scores it counts for, under its ``category:pattern``."""
+    return F.struct(tag.alias("tag"), weight.alias("weight"), F.lit(ratio).alias("ratio"), F.lit(mean).alias("mean"))
+
+
+def header_weights(names: DataFrame, weights: DataFrame) -> DataFrame:
+    """``names, known`` for every distinct list of header names: the weights that the list shows.
+
+    Header names count in lower case for the ratio and as written for the mean. Mail has few lists of names, so
+    each is looked up once, not once a message; names such as ``from`` sit in every list, so each weight is copied.
+    """
+    lists = names.select("names").distinct()
+    marked = lambda n, ratio: F.struct(n.alias("pattern"), F.lit(ratio).alias("ratio"), F.lit(not ratio).alias("mean"))
+    lowered = F.transform(F.array_distinct(F.transform("names", F.lower)), lambda n: marked(n, True))
+    each = lists.select("names", F.explode(F.concat(lowered, F.transform("names", lambda n: marked(n, False)))).alias("h"))
+    table = weights.filter("category = 'headers' AND weight IS NOT NULL").select("pattern", "weight")
+    found = copied_join(each.select("names", "h.*"), table, ["pattern"], F.xxhash64("names"))
+    tag = F.concat(F.lit("headers:"), "pattern")
+    return found.groupBy("names").agg(F.collect_list(F.struct(tag.alias("tag"), "weight", "ratio", "mean")).alias("known"))
+
+
 def classify_learned(mail: DataFrame, weights: DataFrame) -> DataFrame:
     """Both weighted classifiers with a weight table instead of fixed weights.
 
     Returns the message's identity, ``hits``, ``ratio_score``, ``ratio_bot``, ``mean_score``, ``mean_bot``.
     Keywords and expressions are those of the table, whatever was learned or added; each is tested in place, so
-    their texts are read first, by one small job. Header names are unbounded and joined; names such as ``from``
-    sit in every message, so each weight is copied to several partitions. A message's weights are added in a
-    fixed order, and their number is bounded by the message.
+    they are read first with their weights, by one small job. Header names are unbounded and looked up by lists of names; a
+    list that a third of all mail has is spread in the join. A message's weights are added in a fixed order, and their
+    number is bounded by the message.
     """
-    table = weights.filter(F.col("category").isin(READ_CATEGORIES)).select("category", "pattern", "weight")
-    tests = tested_patterns(table)
+    table = stored(weights.filter(F.col("category").isin(READ_CATEGORIES)).select("category", "pattern", "weight"), "weights")
     keys = identity(mail)
-    hits = with_lowered(mail).select(
+    tests = {"keywords": lambda k: has(F.col("_low"), k), "patterns": lambda p: shows(F.col("body_text"), p)}
+    tested = table.filter(F.col("category").isin(*tests) & F.col("weight").isNotNull()).orderBy("category", "pattern", "weight")
+    shown = [
+        F.when(tests[r["category"]](r["pattern"]), _entry(F.lit(f"{r['category']}:{r['pattern']}"), F.lit(r["weight"]), True, True))
+        for r in tested.toLocalIterator()
+    ]
+    none = F.filter(F.array(_entry(F.lit(""), F.lit(0.0), False, False)), lambda _: F.lit(False))
+    rows = with_lowered(mail).select(
         *keys,
+        F.array_sort(F.coalesce(F.map_keys("headers"), F.array().cast("array<string>"))).alias("names"),
         (F.length("body_text") > 1000).alias("_long"),
-        F.explode_outer(message_hits(tests["keywords"], tests["patterns"])).alias("h"),
+        (F.array_compact(F.array(*shown)) if shown else none).alias("_shown"),
     )
-    tagged = table.select(F.concat_ws(":", "category", "pattern").alias("tag"), "weight")
-    joined = copied_join(hits.select(*keys, "_long", "h.*"), tagged, ["tag"], F.xxhash64(*keys), "left")
-    known = F.when(F.col("weight").isNotNull(), F.struct("tag", "weight", "ratio", "mean"))
-    folded = joined.groupBy(*keys, "_long").agg(F.array_sort(F.collect_list(known)).alias("w"))
+    joined = salted_join(rows, header_weights(rows, table), ["names"], F.xxhash64(*keys), "left")
+    joined = joined.withColumn("w", F.array_sort(F.concat(F.coalesce("known", none), "_shown")))
     of = lambda kind: F.filter("w", lambda x: x[kind])
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x["weight"])
     bonus = F.when(F.col("_long"), 0.1).otherwise(0.0)
     ratio = F.when(total(of("ratio")) > 0, 1.0).otherwise(0.0)
     return (
-        folded.select(
+        joined.select(
             *keys,
             F.size(of("ratio")).alias("hits"),
             F.least(ratio + bonus, F.lit(1.0)).alias("ratio_score"),

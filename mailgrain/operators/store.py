@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mailgrain.functions.features import content_hash
 from mailgrain.operators.joins import identity, pick_per_key, salted_join
+from mailgrain.session import stored
 from mailgrain.sources.mailstore import folders_between
 
 
@@ -109,23 +110,23 @@ def store_hashes(hashes: DataFrame) -> DataFrame:
 def is_duplicate(hashes: DataFrame) -> DataFrame:
     """Whether another message had the same content earlier; a message's own re-saves are none.
 
-    Saves with one ``ingest_seq`` are ordered by message. Per content the first save is found, and the
-    first of any other message; a save is compared with whichever is not of its own message. Contents that
-    only one message has drop out before the join, and a content in a third of all mail is spread in it.
+    Saves with one ``ingest_seq`` are ordered by message. Per content the first two messages are found, each by
+    its first save, and a save is compared with whichever is not of its own message. The hashes are stored once, for they
+    are read several times; of a content in a third of all mail each task sends on two messages only, and its saves are spread
+    in the join.
     """
     keys = identity(hashes)
-    place = lambda name: F.struct("ingest_seq", *keys).alias(name)
+    hashes = stored(hashes.select(*keys, "ingest_seq", "content_hash"), "hashes")
+    place = F.struct("ingest_seq", *keys)
     firsts = hashes.filter("content_hash IS NOT NULL").groupBy("content_hash", *keys).agg(F.min("ingest_seq").alias("ingest_seq"))
-    first = firsts.groupBy("content_hash").agg(F.min(place("p")).alias("first"), F.count(F.lit(1)).alias("n"))
-    first = first.filter("n > 1").drop("n")
-    own = lambda p: F.struct(*(F.col(f"{p}.{k}") for k in keys))
-    me = F.struct(*keys)
-    others = salted_join(firsts, first, ["content_hash"], F.xxhash64(*keys)).filter(me != own("first"))
-    second = others.groupBy("content_hash").agg(F.min(place("p")).alias("second"))
-    known = first.join(second, "content_hash")
+    rank = F.row_number().over(Window.partitionBy("content_hash").orderBy("ingest_seq", *keys))
+    two = firsts.withColumn("rank", rank).filter("rank <= 2").groupBy("content_hash")
+    known = two.agg(*[F.min(F.when(F.col("rank") == n, place)).alias(c) for n, c in ((1, "first"), (2, "second"))])
+    known = known.filter("second IS NOT NULL")
     marked = salted_join(hashes, known, ["content_hash"], F.xxhash64("ingest_seq", *keys), "left")
-    rival = F.when(me == own("first"), F.col("second")).otherwise(F.col("first"))
-    return marked.select(*keys, "ingest_seq", "content_hash", F.coalesce(rival < place("p"), F.lit(False)).alias("is_duplicate"))
+    own_first = F.struct(*keys).eqNullSafe(F.struct(*(F.col(f"first.{k}") for k in keys)))
+    rival = F.when(own_first, F.col("second")).otherwise(F.col("first"))
+    return marked.select(*keys, "ingest_seq", "content_hash", F.coalesce(rival < place, F.lit(False)).alias("is_duplicate"))
 
 
 def deduplicated(rows: DataFrame) -> DataFrame:
