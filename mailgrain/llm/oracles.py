@@ -9,10 +9,13 @@ _SHINGLES = """CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1,
     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"""
 
 OP1 = f"""
-WITH d AS (SELECT doc_id, unnest({_SHINGLES}) AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
-b AS (SELECT item_id, unnest(own) AS s, len(own) AS n FROM (SELECT item_id, {_SHINGLES} AS own FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)))
+WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents), bw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+d AS (SELECT doc_id, unnest({_SHINGLES}) AS s FROM dw),
+b AS (SELECT item_id, unnest(own) AS s, len(own) AS n FROM (SELECT item_id, {_SHINGLES} AS own FROM bw WHERE len(w) >= 5)),
+small AS (SELECT item_id, ' ' || array_to_string(w, ' ') || ' ' AS s FROM bw WHERE len(w) BETWEEN 1 AND 4)
 SELECT doc_id, item_id, CAST(n AS INTEGER) AS n_shingles, CAST(count(*) AS INTEGER) AS n_shared, count(*) / n AS containment
-FROM d JOIN b USING (s) GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 75 * n"""
+FROM d JOIN b USING (s) GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 75 * n
+UNION ALL SELECT doc_id, item_id, 1, 1, 1.0::DOUBLE FROM dw JOIN small ON contains(' ' || array_to_string(w, ' ') || ' ', s)"""
 
 OP3 = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),

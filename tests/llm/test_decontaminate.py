@@ -1,5 +1,5 @@
 from mailgrain.llm import decontaminate
-from tests.llm.helpers import docs, read, shingles
+from tests.llm.helpers import docs, read, shingles, words
 
 ITEMS = "item_id long, text string"
 
@@ -13,8 +13,11 @@ def brute(texts, items):
     out = {}
     for i, t in texts:
         for k, x in items:
-            own = shingles(x)
-            both = len(own & shingles(t))
+            own, w, v = shingles(x), words(x), words(t)
+            if 0 < len(w) < 5:
+                both = int(any(v[j : j + len(w)] == w for j in range(len(v))))
+            else:
+                both = len(own & shingles(t))
             if own and 100 * both >= 75 * len(own):
                 out[(i, k)] = max(out.get((i, k), (0, 0)), (both, len(own)))
     return out
@@ -55,3 +58,22 @@ def test_nulls_repeats_extra_columns_and_empty_tables(spark):
     assert decontaminate.leaks(none, marks).count() == 0
     assert decontaminate.leaks(frame, docs(spark, [], ITEMS)).count() == 0
     assert decontaminate.leaks(none, docs(spark, [], ITEMS)).count() == 0
+
+
+def test_short_items_in_long_documents(spark):
+    filler = [f"w{k}" for k in range(3000)]
+    texts = [
+        (1, " ".join(filler)),
+        (2, "w10 w11 w12\tW13"),
+        (3, "w10 w11 w12 w1 w13"),
+        (4, "w13"),
+        (5, " ".join(["x", "y"] * 2000)),  # a short item many times
+        (6, "ax yb x"),  # parts of words are none
+        (7, None),
+        (8, "w2999"),
+    ]
+    items = [(1, "w10 w11 w12 w13"), (2, "w12 w13"), (3, "w2999"), (4, "x y"), (5, "W1 w2 w3"), (6, "w3 w1 w2"), (7, " ".join(filler[5:30])), (8, None), (9, "y x y x y")]
+    got = found(spark, texts, items)
+    assert got == brute(texts, items)
+    assert {(1, 1), (2, 1), (1, 2), (2, 2), (1, 3), (8, 3), (5, 4), (1, 5), (1, 7), (5, 9)} == set(got)
+    assert found(spark, texts, items[:6]) == brute(texts, items[:6])  # short items only
