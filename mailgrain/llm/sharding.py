@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 RACKS_PER_REGION, SHARDS_PER_RACK = 4, 5
 #: A shard's slots are dealt in 16**3 slices, so no task orders a whole shard.
 SLICE_DIGITS = 3
+#: Equal rows get their slots in runs of this many, so that no list of slots grows with their number.
+RUN = 4096
 
 
 @dataclass(frozen=True)
@@ -86,30 +88,31 @@ def shard_of(key: Column, tree: list[Leaf]) -> Column:
 def placed(docs: DataFrame, tree: list[Leaf]) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` for every row of ``docs`` (doc_id, text).
 
-    Slots count from 0 within a shard. A shard is numbered in slices: the slices' counts are added up first,
-    and each slice is ordered on its own, so only narrow rows are shuffled, once, and no shard has to fit a
-    task.
+    Slots count from 0 within a shard. Rows equal in id, size and checksum are counted before the shuffle and become
+    rows again at the end, so neither a repeated row nor a repeated id with many texts loads one task: slices go by id and
+    checksum. The slices' counts are added up first, and each slice is ordered on its own; only narrow rows are shuffled.
     """
     text = F.coalesce("text", F.lit(""))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    rows = docs.select(
-        "doc_id",
-        (F.octet_length(text) + 16).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"),
+    narrow = docs.select(
+        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
+    )
+    alike = narrow.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
+    rows = alike.select(
+        "*",
         # Never null; said so, or the join below would test it with a second descent.
         F.coalesce(shard_of(key, tree), F.lit(-1)).alias("shard"),
         shard_of(key, with_added(tree)).alias("grown_shard"),
-        F.coalesce(F.substring(F.md5(key), 1, SLICE_DIGITS), F.lit("")).alias("slice"),
+        F.coalesce(F.substring(F.md5(F.concat_ws("/", key, "text_crc32")), 1, SLICE_DIGITS), F.lit("")).alias("slice"),
     )
-    before = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("shard", "slice").agg(F.count(F.lit(1)).alias("n"))
-    starts = counts.select("shard", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = rows.groupBy("shard", "slice").agg(F.sum("n").alias("n"))
+    starts = counts.select("shard", "slice", earlier(Window.partitionBy("shard").orderBy("slice")).alias("start"))
     order = Window.partitionBy("shard", "slice").orderBy("doc_id", "text_crc32", "size")
-    return (
-        rows.withColumn("rank", F.row_number().over(order))
-        .join(starts, ["shard", "slice"])
-        .select(
-            "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-            (F.col("start") + F.col("rank") - 1).alias("slot"), "grown_shard",
-        )
-    )
+    dealt = rows.withColumn("before", earlier(order)).join(starts, ["shard", "slice"])
+    first = F.col("start") + F.col("before")
+    runs = dealt.withColumn("run", F.explode(F.sequence(first, first + F.col("n") - 1, F.lit(RUN).cast("long"))))
+    last = F.least(F.col("run") + RUN, first + F.col("n")) - 1
+    return runs.select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(F.sequence("run", last)).alias("slot"), "grown_shard"
+    )

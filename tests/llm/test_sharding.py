@@ -81,3 +81,15 @@ def test_nulls_repeats_extra_columns_and_empty_table(spark):
     per = Counter(r["shard"] for r in out)
     assert sorted((r["shard"], r["slot"]) for r in out) == [(s, k) for s in sorted(per) for k in range(per[s])]
     assert S.placed(docs(spark, []), S.layout(40)).count() == 0
+
+
+def test_one_id_with_many_rows_is_split(spark):
+    same = spark.range(10000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("again and again").alias("text"))
+    texts = spark.range(10000).select(F.lit(5).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    others = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    rows = same.unionByName(texts).unionByName(others)
+    out = S.placed(rows, S.layout(4))
+    assert out.count() == 20100 and out.filter("doc_id = 5").select("shard").distinct().count() == 1
+    assert out.filter("size = 31").count() == 10000
+    per = out.groupBy("shard").agg(F.count("slot"), F.countDistinct("slot"), F.min("slot"), F.max("slot")).collect()
+    assert all(r[1] == r[2] and r[3] == 0 and r[4] == r[1] - 1 for r in per)
