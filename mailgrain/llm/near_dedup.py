@@ -13,9 +13,15 @@ shingles of five words (fewer words: the whole sequence; none: empty). Two texts
    the first round each class uses one centre of all its buckets, its pivot: the member that shares most.
    Pairs are compared on the full sets, and confirmed links join classes to components.
 5. A star can miss a link between two members that are both unlike the centre. So a bucket whose members
-   lie in different components goes on with new centres, the most shared first and many more each round,
-   paired only with fitting members of other components, until it lies in one component or every member was
-   a centre. What two members have in common with the same pivot bounds their intersection further. No bucket is capped.
+   lie in different components goes on. A member that was a centre has met all others and leaves the bucket. The
+   next centres are the most shared members outside the bucket's largest component, ``MORE_CENTRES`` times as
+   many each round, and meet only fitting members of other components. A bucket is done when what is left of it lies
+   in one component. What two members have in common with the same pivot bounds their intersection further. No
+   bucket is capped: members of the largest component never meet each other, and only a bucket of texts that
+   are all unlike each other, and could all be alike by these bounds, comes to all its pairs.
+
+Buckets and texts that hold many rows are spread: bucket facts go back to members by band and salt, centres are
+copied once per ``PAIRS`` pairs of their bucket, texts once per ``LOAD`` pairs.
 
 Defined results: null and empty texts, and texts of white space, have no shingles, are linked with
 nothing and form a component of their own row; equal rows are copies of each other; rows with a null id
@@ -35,9 +41,11 @@ WIDTH, PER_CENT = 5, 75
 BANDS, ROWS = 40, 4
 SLICE_BYTES = 512 << 10
 #: Centres of a bucket in the first star round, and how many times as many in each next one.
-FIRST_CENTRES, MORE_CENTRES = 64, 1024
-#: Pairs per copy of a text that many pairs need.
-LOAD = 1000
+FIRST_CENTRES, MORE_CENTRES = 64, 8
+#: Pairs per copy of a text that many pairs need, and of a bucket's centres.
+LOAD, PAIRS = 1000, 1 << 16
+#: Over so many parts a bucket is spread when it is told what holds for all of it.
+SALTS = 64
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -62,11 +70,26 @@ def classes_of(rows: DataFrame) -> DataFrame:
     return stored(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
 
 
+def _with_salt(members: DataFrame) -> DataFrame:
+    return members.withColumn("salt", F.pmod(F.xxhash64("node", F.lit("salt")), F.lit(SALTS)).cast("int"))
+
+
+def _salts() -> Column:
+    """The salts that occur, as the bits of one number."""
+    return F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")
+
+
+def _per_salt(buckets: DataFrame) -> DataFrame:
+    """One row per bucket and salt that occurs in it, instead of one per bucket with ``salts``."""
+    occurs = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit("salts", i) == 1)
+    return buckets.withColumn("salt", F.explode(occurs)).drop("salts")
+
+
 def bucket_members(classes: DataFrame) -> DataFrame:
     """``band, place, node`` of buckets with more than one class; ``place`` is the band's number."""
-    entries = classes.select("node", F.posexplode("bands").alias("place", "band"))
-    shared = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
-    return stored(entries.join(shared, "band"), "buckets")
+    entries = _with_salt(classes.select("node", F.posexplode("bands").alias("place", "band")))
+    shared = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n"), _salts()).filter("n > 1").select("band", "salts")
+    return stored(entries.join(_per_salt(shared), ["band", "salt"]).drop("salt"), "buckets")
 
 
 def texts_of(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
@@ -117,11 +140,16 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def mixed_buckets(members: DataFrame, facts: DataFrame) -> DataFrame:
-    """Members of buckets that span components, with the ``facts`` of their classes, ``root`` among them."""
-    kept = [c for c in members.columns if c == "node" or c not in facts.columns]
-    told = members.select(kept).join(facts, "node")
-    mixed = told.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    return stored(told.join(mixed.filter("low < high").select("band"), "band"), "mixed")
+    """Members of buckets that span components, with the ``facts`` of their classes, ``root`` among them, the bucket's
+    number of members ``n`` and the root ``top`` of most of them."""
+    kept = [c for c in members.columns if c == "node" or c not in (*facts.columns, "n", "top")]
+    told = _with_salt(members.select(kept).join(facts, "node"))
+    parts = told.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), _salts())
+    buckets = parts.groupBy("band").agg(
+        F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("top"), F.bit_or("salts").alias("salts")
+    )
+    mixed = _per_salt(buckets.filter("roots > 1").drop("roots"))
+    return stored(told.join(mixed, ["band", "salt"]).drop("salt"), "mixed")
 
 
 def _best() -> Column:
@@ -132,50 +160,58 @@ def _best() -> Column:
 def pivots_of(members: DataFrame) -> DataFrame:
     """``node, pivot``: of all members of a class's buckets the one with the largest shared part, which is
     that of a text of which the others are edited copies."""
-    best = members.groupBy("band").agg(F.max(_best()).alias("best"))
-    chosen = members.select("band", "node").join(best, "band").groupBy("node").agg(F.max("best").alias("best"))
+    members = _with_salt(members)
+    best = members.groupBy("band").agg(F.max(_best()).alias("best"), _salts())
+    chosen = members.select("band", "salt", "node").join(_per_salt(best), ["band", "salt"])
+    chosen = chosen.groupBy("node").agg(F.max("best").alias("best"))
     return stored(chosen.select("node", F.col("best.node").alias("pivot")), "pivots")
 
 
-def next_centres(mixed: DataFrame, used: DataFrame | None, per_bucket: int) -> DataFrame:
-    """Up to ``per_bucket`` members of each bucket that were no centre yet, the most shared first."""
-    left = mixed if used is None else mixed.join(used, ["band", "node"], "left_anti")
+def next_centres(mixed: DataFrame, per_bucket: int) -> DataFrame:
+    """Up to ``per_bucket`` of the rows ``mixed`` of each bucket, the most shared first."""
     seat = F.pmod(F.xxhash64("node", F.lit(per_bucket)), F.lit(per_bucket))
-    rest = [c for c in mixed.columns if c not in ("band", "place", "node")]
-    picked = left.groupBy("band", seat.alias("seat")).agg(F.max(F.struct(_best().alias("best"), *rest)).alias("c"))
+    rest = [c for c in mixed.columns if c not in ("band", "place", "node", "top")]
+    picked = mixed.groupBy("band", seat.alias("seat")).agg(F.max(F.struct(_best().alias("best"), *rest)).alias("c"))
     return stored(picked.select("band", F.col("c.best.node").alias("node"), *(f"c.{r}" for r in rest)), "centres")
 
 
-def star_pairs(mixed: DataFrame, centres: DataFrame, tried: DataFrame) -> DataFrame:
-    """Centres with the fitting members of other components, without pairs already compared.
+def star_pairs(mixed: DataFrame, centres: DataFrame, tried: DataFrame, per_bucket: int) -> DataFrame:
+    """``a, b``: centres with the fitting members of other components, without the pairs ``tried`` (low, high).
 
-    Two classes meet in every bucket they share. Their pair comes from the first of these, where each is a centre
-    sooner or later, and not from the others.
+    Two classes meet in every bucket they share. Their pair comes from the first of these, once one of them is a
+    centre there, and not from the others.
     """
-    hubs = centres.select("band", F.struct(*(c for c in centres.columns if c != "band")).alias("hub"))
+    copies = F.ceil(F.col("n") * F.least(F.col("n"), F.lit(per_bucket)) / F.lit(PAIRS)).cast("int")
+    hubs = centres.select("band", F.struct(*(c for c in centres.columns if c != "band")).alias("hub"), copies.alias("copies"))
+    hubs = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    members = mixed.withColumn("salt", F.pmod(F.xxhash64("node"), copies).cast("int"))
     before = lambda bands: F.slice(bands, F.lit(1), F.col("place"))
     met = F.arrays_overlap(before(F.col("bands")), before(F.col("hub.bands")))
     pairs = (
-        mixed.join(hubs, "band")
+        members.join(hubs, ["band", "salt"])
         .filter((F.col("root") != F.col("hub.root")) & _fits("", "hub.") & ~met)
-        .select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b"))
-        .distinct()
+        .groupBy(F.least("hub.node", "node").alias("low"), F.greatest("hub.node", "node").alias("high"))
+        .agg(F.max("hub.node").alias("a"))
     )
-    return pairs.join(tried, ["a", "b"], "left_anti")
+    pairs = pairs.join(tried, ["low", "high"], "left_anti")
+    return pairs.select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"))
 
 
-def compared(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``a, b, both, linked`` for pairs (a, b) of classes, a stored table; ``both`` counts common shingles.
+def _with_text(pairs: DataFrame, texts: DataFrame, end: str, other: str) -> DataFrame:
+    """``pairs`` with the text of their ``end``; a class in many pairs is copied once per ``LOAD`` pairs, so that no
+    task gets them all."""
+    loads = pairs.groupBy(end).agg(F.ceil(F.count(F.lit(1)) / LOAD).cast("int").alias("copies"))
+    many = loads.filter("copies > 1")
+    dealt = pairs.join(many, end, "left")
+    dealt = dealt.withColumn("salt", F.coalesce(F.pmod(F.xxhash64(other), F.col("copies")).cast("int"), F.lit(0))).drop("copies")
+    copied = texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}")).join(loads, end)
+    copied = copied.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    return dealt.join(copied, [end, "salt"]).drop("salt")
 
-    A class in many pairs is copied once per ``LOAD`` pairs, so that no task gets them all.
-    """
-    loads = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LOAD).cast("int").alias("copies"))
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(loads, "a")
-    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    salt = F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("salt")
-    dealt = pairs.join(loads, "a").select("a", "b", salt)
-    both = dealt.join(right, "b").join(left, ["a", "salt"]).select("a", "b", "text_a", "text_b")
+
+def compared(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``a, b, both, linked`` for pairs (a, b) of classes, a stored table; ``both`` counts common shingles."""
+    both = _with_text(_with_text(pairs, texts, "b", "a"), texts, "a", "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(lambda it: minhash.compare(it, WIDTH, PER_CENT, SLICE_BYTES), "a long, b long, both long, linked boolean")
 
 
@@ -220,24 +256,22 @@ def near_groups(docs: DataFrame) -> DataFrame:
     roots = components(found.filter("linked").select("a", "b"))
     labels = pivots.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     labels = stored(labels, "labels")
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tried = pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
     inside = found.select(F.col("b").alias("node"), F.col("both").alias("inside"))
     facts = labels.join(pivots, "node").join(inside, "node", "left").join(classes.select("node", "bands"), "node")
     members = mixed_buckets(members, facts).withColumn("inside", F.coalesce("inside", "shared"))
-    used, per_bucket = None, FIRST_CENTRES
+    outside, per_bucket = members, FIRST_CENTRES
     while True:
-        centres = next_centres(members, used, per_bucket)
+        centres = next_centres(outside, per_bucket)
         if not centres.limit(1).count():
             break
-        pairs = stored(star_pairs(members, centres, tried), "pairs")
+        pairs = stored(star_pairs(members, centres, tried, per_bucket), "pairs")
         if pairs.limit(1).count():
             new = stored(compared(texts, pairs), "links").filter("linked").select("a", "b")
-            tried = tried.unionByName(pairs)
             if new.limit(1).count():
                 labels = merged(labels, new)
-                members = mixed_buckets(members, labels)
-        centres = centres.select("band", "node")
-        used = centres if used is None else used.unionByName(centres)
+        members = mixed_buckets(members.join(centres.select("band", "node"), ["band", "node"], "left_anti"), labels)
+        outside = members.filter("root != top")
         per_bucket *= MORE_CENTRES
     named = classes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))

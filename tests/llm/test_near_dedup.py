@@ -37,6 +37,44 @@ def test_star_with_unlike_arms_and_chains(spark):
     assert got[500]["component_id"] == 0 and got[111]["component_id"] == 0
 
 
+def families(rng, n, arms, size=60):
+    """Texts of ``n`` families that share half of their words with all others, ``arms`` edited copies of each."""
+    common = [f"c{i}" for i in range(size)]
+    rows = []
+    for f in range(n):
+        base = common + [f"f{f}_{i}" for i in range(size // 2)]
+        for _ in range(arms):
+            out = list(base)
+            for at in rng.sample(range(0, len(out), 6), 2):
+                out[at] = f"x{rng.random()}"
+            rows.append((len(rows), " ".join(out)))
+    return rows
+
+
+def test_many_rounds_and_copies_by_brute_force(spark, monkeypatch):
+    """One centre a bucket at first, twice as many in each next round, and every text and centre copied."""
+    for name, value in (("FIRST_CENTRES", 1), ("MORE_CENTRES", 2), ("LOAD", 2), ("PAIRS", 4)):
+        monkeypatch.setattr(near_dedup, name, value)
+    rows = families(random.Random(6), 12, 6)
+    assert {i: r["component_id"] for i, r in groups(docs(spark, rows)).items()} == components(rows)
+
+
+def test_only_strays_go_on_in_a_bucket(spark):
+    """A bucket of one component of 300 and two strays: later centres are the strays, and centres leave."""
+    node = "band long, place int, node long, size long, shared long, pivot long, inside long, bands array<long>"
+    rows = [(7, 0, i, 100, 100, i, 100, [7]) for i in range(302)]
+    labels = docs(spark, [(i, 0 if i < 300 else i) for i in range(302)], "node long, root long")
+    mixed = near_dedup.mixed_buckets(docs(spark, rows, node), labels)
+    assert {(r["n"], r["top"]) for r in mixed.collect()} == {(302, 0)}
+    centres = near_dedup.next_centres(mixed.filter("root != top"), 512)
+    assert sorted(r["node"] for r in centres.collect()) == [300, 301]
+    tried = docs(spark, [(0, 300)], "low long, high long")
+    pairs = [(r["a"], r["b"]) for r in near_dedup.star_pairs(mixed, centres, tried, 512).collect()]
+    assert len(pairs) == len(set(pairs)) == 2 * 300 - 1 + 1 and all(a >= 300 for a, _ in pairs)
+    left = mixed.join(centres.select("band", "node"), ["band", "node"], "left_anti")
+    assert near_dedup.mixed_buckets(left, labels).count() == 0
+
+
 def test_threshold_is_met_exactly(spark):
     words = [f"w{i}" for i in range(11)]  # 7 shingles; six of them and two more make 6 / 8
     rows = [(1, " ".join(words)), (2, " ".join(words[:10] + ["other"])), (3, " ".join(["a", *words[1:10], "b"]))]
