@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mailgrain.operators.joins import salted_join
+from mailgrain.session import stored
 
 # Hours before the due date at which reminders fall, and the default snooze.
 REMINDER_HOURS = [168, 48, 24, 3]
@@ -38,14 +39,14 @@ def due_reminders(events: DataFrame, reminders: DataFrame, as_of: Column) -> Dat
     """Open events whose next reminder is due, with their reminders in order.
 
     One row per event and reminder; an event without reminders keeps one row with NULLs. Matching
-    rows come from a salted join, the rest from an anti-join against the distinct event ids, so a
-    busy event is split and never gathered.
+    rows come from a salted join, the rest from an anti-join against the event ids found, so a
+    busy event is split and never gathered. Events are read once, and of reminders the event ids once more, for hot ones.
     """
     due = events.filter(F.col("reminder_status").isin(OPEN_STATUSES) & (F.col("next_reminder_at") <= as_of))
-    due = due.withColumnRenamed("id", "event_id")
+    due = stored(due.withColumnRenamed("id", "event_id"), "due")
     held = reminders.withColumnRenamed("id", "reminder_id")
-    with_reminders = salted_join(held, due, ["event_id"], F.col("reminder_id"))
-    without = due.join(held.select("event_id").distinct(), "event_id", "left_anti")
+    with_reminders = stored(salted_join(held, due, ["event_id"], F.col("reminder_id")), "held")
+    without = due.join(with_reminders.select("event_id").distinct(), "event_id", "left_anti")
     rows = with_reminders.unionByName(without, allowMissingColumns=True)
     return rows.orderBy("next_reminder_at", "event_id", "reminder_time", "reminder_id")
 

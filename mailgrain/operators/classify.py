@@ -259,14 +259,15 @@ def flag_importance(mail: DataFrame, whitelist: DataFrame) -> DataFrame:
     """Important by known sender, by word, or by being part of a reply chain of its account.
 
     ``whitelist`` has one column, ``sender``. Thread sizes are counted before they are joined, and
-    both joins spread hot keys, for a sender or thread may hold much of the mailbox.
+    both joins spread hot keys, for a sender or thread may hold much of the mailbox. Mail is read once, for narrow rows
+    that are stored; threads and hot keys are counted on those.
     """
     keys = identity(mail)
     thread = [k for k in keys if k != "message_id"] + ["thread_id"]
-    threads = mail.groupBy(*thread).agg((F.count(F.lit(1)) > 1).alias("in_chain"))
-    known = whitelist.select("sender").distinct().withColumn("known_sender", F.lit(True))
     words = F.lower(F.concat_ws(" ", "subject", "body_text"))
-    marked = mail.select(*keys, "thread_id", "sender", has_any(words, IMPORTANT_WORDS).alias("has_word"))
+    marked = stored(mail.select(*keys, "thread_id", "sender", has_any(words, IMPORTANT_WORDS).alias("has_word")), "marked")
+    threads = marked.groupBy(*thread).agg((F.count(F.lit(1)) > 1).alias("in_chain"))
+    known = whitelist.select("sender").distinct().withColumn("known_sender", F.lit(True))
     spread = F.xxhash64(*keys)
     joined = copied_join(marked, known, ["sender"], spread, "left")
     joined = salted_join(joined, threads, thread, spread, "left")
