@@ -47,7 +47,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     coded = piece_sampling.encode(docs.select(COLUMNS), vocabulary(), F.col("doc_id"), F.col("text"))
-    coded = coded.withColumn("n_pieces", F.size("pieces"))
+    # Stored, so that no task holds two Python workers at once: Spark keeps idle ones, with their memory, for later stages.
+    coded = stored(coded.withColumn("n_pieces", F.size("pieces")), "pieces")
     return piece_sampling.decode(coded, vocabulary(), keep_pieces=True).select(*COLUMNS, "n_pieces", "pieces")
 
 

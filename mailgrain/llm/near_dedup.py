@@ -39,7 +39,7 @@ from mailgrain.llm.tables import stored
 WIDTH, PER_CENT = 5, 75
 #: At a similarity of 0.75 a pair shares no bucket with probability (1 - 0.75**4)**40, about 3e-7.
 BANDS, ROWS = 40, 4
-SLICE_BYTES = 512 << 10
+SLICE_BYTES = 128 << 10
 #: Centres of a bucket in the first star round, and how many times as many in each next one.
 FIRST_CENTRES, MORE_CENTRES = 64, 8
 #: Pairs per copy of a text that many pairs need, and of a bucket's centres.

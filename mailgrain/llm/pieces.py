@@ -448,9 +448,9 @@ def encoded(batches, vocabulary, sharpness: float, limit: int):
     for batch in batches:
         column = batch.column(1)
         lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-        texts, seeds = column.to_pylist(), batch.column(0).to_numpy(zero_copy_only=False)
+        seeds = batch.column(0).to_numpy(zero_copy_only=False)
         for a, b in A.slices(lengths, limit):
-            ids, starts = sample(texts[a:b], seeds[a:b].view(np.uint64), v, sharpness)
+            ids, starts = sample(column.slice(a, b - a).to_pylist(), seeds[a:b].view(np.uint64), v, sharpness)
             lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))
             rest = [c.slice(a, b - a) for c in batch.columns[2:]]
             yield pa.RecordBatch.from_arrays([*rest, lists], [*batch.schema.names[2:], "pieces"])

@@ -34,6 +34,12 @@ def test_native_plans(spark, name):
     assert not re.search(r"Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoopJoin", plan)
 
 
+def test_no_task_of_the_last_stage_holds_two_python_workers(spark):
+    frame = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(20)
+    plan = corpus_pipeline.sentencepiece(spark, frame, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("MapInArrow", plan)) == 1
+
+
 def test_pipeline_by_brute_force(spark):
     """Each stage against plain Python on what the stage before kept; all decisions take effect."""
     frame = spark.read.parquet(f"{SF_DIR}/documents.parquet")

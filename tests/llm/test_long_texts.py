@@ -6,10 +6,11 @@ import time
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
-from mailgrain.llm import arrays, near_dedup, pieces, quality_net, word_runs
+from mailgrain.llm import arrays, minhash, near_dedup, pieces, quality_net, word_runs
 from mailgrain.llm.tables import vocabulary
 from tests.llm.helpers import docs
 
@@ -108,3 +109,24 @@ def test_parts_are_the_text():
         assert b"".join(p.tobytes() for p in cut) == text
         assert all(p.tobytes()[-1:] == b" " for p in cut[:-1])
     assert word_runs.normalised(data[:0], np.array([0, 0]))[0].size == 0
+
+
+def first_peak(make):
+    """Most MB that are held until the first batch comes."""
+    tracemalloc.start()
+    next(make())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak / (1 << 20)
+
+
+def test_a_batch_of_many_texts_is_worked_on_in_slices_of_bounded_memory():
+    held = type("Held", (), {"value": vars(pieces.load(vocabulary()))})
+    ids, texts = pa.array(range(4000)), pa.array(["ab cd " * 2000] * 4000)
+    batch = pa.RecordBatch.from_arrays([ids, texts], ["_seed", "_text"])
+    assert first_peak(lambda: pieces.encoded([batch], held, 1.0, 16 << 10)) < 10
+    rng = random.Random(1)
+    ids, texts = pa.array(range(1000)), pa.array([" ".join(f"w{rng.randrange(10**6)}" for _ in range(300)) for _ in range(1000)])
+    arrays.powers(1 << 20)
+    batch = pa.RecordBatch.from_arrays([ids, ids, texts], ["doc_id", "text_key", "text"])
+    assert first_peak(lambda: minhash.describe([batch], near_dedup.WIDTH, 160, 4, near_dedup.SLICE_BYTES)) < 8
